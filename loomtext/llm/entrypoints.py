@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, license_scan, packing
+from . import decontamination, license_scan, packing, quality_cnn, substring_dedup
 from .oracle import SQL
 
 
@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             packing.op2_hierarchical_packing,
             decontamination.op3_benchmark_decontamination,
+            quality_cnn.op5_quality_classifier,
+            substring_dedup.op7_substring_dedup,
             license_scan.op10_license_scan,
         )
     }
