@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, license_scan, packing, quality_cnn, substring_dedup
+from . import decontamination, embedding_dedup, license_scan, ngram_join, packing, quality_cnn, substring_dedup
 from .oracle import SQL
 
 
@@ -17,7 +17,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             packing.op2_hierarchical_packing,
             decontamination.op3_benchmark_decontamination,
             quality_cnn.op5_quality_classifier,
+            embedding_dedup.op6_embedding_near_dedup,
             substring_dedup.op7_substring_dedup,
+            ngram_join.op9_ngram_jaccard_join,
             license_scan.op10_license_scan,
         )
     }
