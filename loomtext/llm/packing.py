@@ -33,39 +33,119 @@ PIECES = (
 )
 
 
+#: ASCII punctuation without the apostrophe, which can begin a contraction.
+_TAIL = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
+
+
+def _ends_in_letter(w: bytes) -> bool:
+    """The last character is an ASCII letter or digit, or a Latin-1 letter: punctuation after it is a new token."""
+    return w[-1:].isalnum() or (w[-2:-1] == b"\xc3" and w[-1] not in (0x97, 0xB7))
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write bytes that are not printable as the letters from 256 on, in order."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+#: Words of these characters (a-z and lower-case Latin-1 letters) are one token of the pre-tokenizer as they stand.
+_PLAIN = frozenset("abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)])))
+
+
 class ChunkTokenizer:
-    """Token ids of whole texts, encoding each distinct run of non-white-space bytes once.
+    """Token ids of whole texts, encoding runs of non-white-space bytes once each.
+
+    The tokenizer lower-cases, drops white space, never matches across it, and splits punctuation from a letter or
+    digit before it.  So the ids of a text are those of its lower-cased runs in order, and a run's ids are those of
+    its word and of the punctuation at its end.  Texts that may hold special tokens are encoded as they are.
 
-    The tokenizer's rules drop white space and never match across it, so the ids of a text are those of its
-    space-separated runs in order.  The cache holds at most ``limit`` runs.
+    The cache has two generations of at most ``limit`` runs; the older is dropped when the younger is full.
     """
 
-    def __init__(self, path: str, limit: int = 250_000, longest: int = 48):
+    def __init__(self, path: str, limit: int = 300_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.longest = Tokenizer.from_file(path), limit, longest
-        self.cache: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    @classmethod
+    def of(cls, path: str) -> ChunkTokenizer:
+        """One for each process: Python workers serve many tasks."""
+        if path not in _TOKENIZERS:
+            _TOKENIZERS[path] = cls(path)
+        return _TOKENIZERS[path]
+
+    def _raw(self, texts: list[str]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in coded]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text, its ids as little-endian 32-bit numbers."""
-        runs = [t.encode().split() if t else [] for t in texts]
-        cache = self.cache
-        new = {w for r in runs for w in r if w not in cache}
+        raw = [t.encode() if t else b"" for t in texts]
+        runs = [[] if b"<|" in r else r.lower().split() for r in raw]
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        young = self.young
+        got = [list(map(young.get, r)) for r in runs]  # one look-up a run: they cost most
+        gaps = [(i, [k for k, v in enumerate(g) if v is None]) for i, g in enumerate(got) if None in g]
+        extra = self._learn({runs[i][k] for i, ks in gaps for k in ks})
+        for i, ks in gaps:
+            for k in ks:
+                w = runs[i][k]
+                got[i][k] = extra[w] if w in extra else young[w]
+        out = [b"".join(g) for g in got]
+        for i, r in enumerate(raw):
+            if b"<|" in r:
+                out[i] = self._raw([texts[i]])[0]
+        return out
+
+    def _learn(self, new: set[bytes]) -> dict[bytes, bytes]:
+        """Put new runs into the cache; returns those too long for it."""
+        young, old, cut, unknown = self.young, self.old, [], set()
+        for w in new:
+            ids = old.get(w)
+            if ids is not None:
+                young[w] = ids
+                continue
+            core = w.rstrip(_TAIL)
+            if core and core != w and _ends_in_letter(core):
+                tail = w[len(core) :]
+                cut.append((w, core, tail))
+                parts = (core, tail)
+            else:
+                parts = (w,)
+            for x in parts:
+                if x not in young:
+                    ids = old.get(x)
+                    if ids is None:
+                        unknown.add(x)
+                    else:
+                        young[x] = ids
         extra: dict[bytes, bytes] = {}
-        if new:
-            if len(cache) + len(new) > self.limit:
-                cache.clear()
-                new = {w for r in runs for w in r}
-            order = list(new)
-            for at in range(0, len(order), 2048):
-                part = order[at : at + 2048]
-                coded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-                for w, e in zip(part, coded):
-                    (cache if len(w) <= self.longest else extra)[w] = np.array(e.ids, "<u4").tobytes()
-        if extra:
-            return [b"".join([cache[w] if w in cache else extra[w] for w in r]) for r in runs]
-        return [b"".join([cache[w] for w in r]) for r in runs]
+        order = []
+        for w in unknown:
+            plain = w.decode().lower()
+            if len(w) <= self.longest and _PLAIN.issuperset(plain):  # the merges alone: nothing to normalise or split
+                found = self.model.tokenize(plain.encode().decode("latin-1").translate(_LETTERS))
+                young[w] = b"".join([t.id.to_bytes(4, "little") for t in found])
+            else:
+                order.append(w)
+        for at in range(0, len(order), 4096):
+            part = order[at : at + 4096]
+            for w, ids in zip(part, self._raw([w.decode() for w in part])):
+                (young if len(w) <= self.longest else extra)[w] = ids
+        for w, core, tail in cut:
+            ids = (young.get(core) or extra.get(core, b"")) + (young.get(tail) or extra.get(tail, b""))
+            (young if len(w) <= self.longest else extra)[w] = ids
+        return extra
+
+
+_TOKENIZERS: dict[str, ChunkTokenizer] = {}
 
 
 class Packer:
@@ -181,7 +261,7 @@ def pack_documents(
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok = ChunkTokenizer(tokenizer_path)
+        tok = ChunkTokenizer.of(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
         top = TaskContext.get().partitionId() << 40
         packer = Packer(context, tiers)
