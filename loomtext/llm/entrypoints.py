@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_dedup, license_scan, ngram_join, packing, quality_cnn, substring_dedup
+from . import decontamination, embedding_dedup, license_scan, lm_scoring, ngram_join, packing, quality_cnn, substring_dedup
 from .oracle import SQL
 
 
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
+            lm_scoring.op1_lm_scoring,
             packing.op2_hierarchical_packing,
             decontamination.op3_benchmark_decontamination,
             quality_cnn.op5_quality_classifier,
