@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_dedup, license_scan, lm_scoring, ngram_join, packing, quality_cnn, substring_dedup
+from . import decontamination, embedding_dedup, html_extract, license_scan, lm_scoring, ngram_join, packing, quality_cnn, substring_dedup
 from .oracle import SQL
 
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             lm_scoring.op1_lm_scoring,
             packing.op2_hierarchical_packing,
             decontamination.op3_benchmark_decontamination,
+            html_extract.op4_html_extraction,
             quality_cnn.op5_quality_classifier,
             embedding_dedup.op6_embedding_near_dedup,
             substring_dedup.op7_substring_dedup,
