@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_dedup, html_extract, license_scan, lm_scoring, ngram_join, packing, quality_cnn, substring_dedup
+from . import decontamination, embedding_dedup, html_extract, license_scan, lm_scoring, ngram_join, packing, quality_cnn, substring_dedup, suffix_dedup
 from .oracle import SQL
 
 
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             quality_cnn.op5_quality_classifier,
             embedding_dedup.op6_embedding_near_dedup,
             substring_dedup.op7_substring_dedup,
+            suffix_dedup.op8_suffix_array_dedup,
             ngram_join.op9_ngram_jaccard_join,
             license_scan.op10_license_scan,
         )
