@@ -58,6 +58,30 @@ def stream_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[
         yield pd.concat(held) if len(held) > 1 else held[0]
 
 
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], rows: int = 20_000) -> Iterator[pd.DataFrame]:
+    """Frames of several whole groups of a sorted partition, of about ``rows`` rows or one group."""
+    held: list[pd.DataFrame] = []
+    n = 0
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        held.append(pdf)
+        n += len(pdf)
+        if n < rows:
+            continue
+        frame = pd.concat(held, ignore_index=True)
+        tail = np.ones(len(frame), bool)
+        for c in keys:
+            v = frame[c].to_numpy()
+            tail &= v == v[-1]
+        cut = int(np.flatnonzero(~tail)[-1]) + 1 if not tail.all() else 0
+        if cut:
+            yield frame.iloc[:cut]
+        held, n = [frame.iloc[cut:]], len(frame) - cut
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
 class Forest:
     """Union-find over 0..n-1 that returns star edges."""
 

@@ -5,14 +5,15 @@ Jaccard similarity t only if they share one of the first |A| - ceil(t |A|) + 1 a
 any common order, so these prefixes route classes to blocks; elements that are frequent inside some input partition
 come last in the order, which keeps frequent passages out of the prefixes.  The order decides cost, never results.
 
-Inside blocks, candidates come from an R-tree over count vectors: the elements are hashed to groups, a class is the
-point of its group counts, and two classes share at most the sum of the smaller counts; a node is bounded by the sum
-of the query's counts and the node's largest ones.  What survives is verified on the sets themselves.
+Inside blocks, candidates come from R-trees over count vectors: the elements are hashed to groups, a class is the
+point of its group counts, and two classes share at most the sum of the smaller counts.  A block's points are packed
+into leaves by size; a leaf is bounded by its largest counts and smallest size.  All trees of an Arrow batch are
+searched at once.  A pair must also pass the positional filter at the shared element.
 
-Only components are asked for, so the join runs in two rounds.  First every class meets one leader of each of its
-blocks, which links whole groups of copies by star edges.  Then only blocks that still hold several components are
-joined in full, in chunk pairs of bounded size, over pairs of different components.  No link between components is
-lost and no group is expanded into its pairs.
+Only components are asked for, so blocks return star edges of their candidate graph, never its pairs.  The
+components of that graph are clusters; every class's text is sent to its cluster once (large clusters as chunk
+pairs), where sets are built and pairs that are not yet connected are verified by the exact similarity.  Verified
+star edges give the result.  Nothing is lost: linked classes share a block, pass both filters and meet in a cluster.
 
 Defined cases: null or empty texts and texts of white space have an empty set and stay alone; fewer words than n are
 one shingle, the whole sequence; repeated rows are copies of each other; null ids: see keyed(), such a row's component
@@ -28,10 +29,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import grouped, split_blocks, stream_groups
+from .blocks import grouped, split_blocks, stream_groups, whole_groups
 from .common import WordHasher, bounded_batches, connected_components, gram_hashes, key_id, keyed, lower_space_words, mix, signed, stored
 
-GROUPS = 32
+GROUPS = 64
+#: A saturated count stands for any larger one.
+FULL = 255
+WIDE = 512
 
 
 def shingles(h: np.ndarray, n: int) -> np.ndarray:
@@ -47,51 +51,75 @@ def count_vector(s: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     return np.bincount((s >> np.uint64(40)).astype(np.int64) % groups, minlength=groups).astype(np.int32)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    return np.minimum(counts, FULL).astype(np.uint8).tobytes()
+
+
+def shared_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of the smaller counts; where both are saturated the bound is open."""
+    low = np.minimum(a, b)
+    out = low.sum(1, dtype=np.int64)
+    if low.dtype == np.uint8 and len(low) and low.max() == FULL:
+        out[(low == FULL).any(1)] = 1 << 60
+    return out
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n + (-percent * n) // 100 + 1  # n - ceil(percent n / 100) + 1
 
 
-class CountVectorTree:
-    """Sort-tile packed R-tree over count vectors with batch search."""
-
-    def __init__(self, counts: np.ndarray, sizes: np.ndarray, leaf: int = 16, fan: int = 8):
-        order = np.lexsort((counts[:, 0], sizes)) if counts.shape[1] else np.argsort(sizes, kind="stable")
-        tile = max(leaf * fan, 1)
-        for a in range(0, len(order), tile * fan):  # tiles of like size, ordered by their fullest group
-            part = order[a : a + tile * fan]
-            order[a : a + tile * fan] = part[np.argsort(counts[part, counts[part].sum(0).argmax()], kind="stable")]
-        self.order, self.counts, self.sizes = order, counts[order], sizes[order]
-        self.levels: list[tuple[np.ndarray, np.ndarray, int]] = []
-        high, low, width = self.counts, self.sizes, leaf
-        while len(high) > 1 or not self.levels:
-            cut = np.arange(0, len(high), width)
-            high, low = np.maximum.reduceat(high, cut, axis=0), np.minimum.reduceat(low, cut)
-            self.levels.append((high, low, width))
-            width = fan
-            if len(high) == 1:
-                break
-
-    def search(self, counts: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, point) pairs that may reach the similarity."""
-        q = np.arange(len(counts))
-        node = np.zeros(len(counts), np.int64)
-        for k in range(len(self.levels) - 1, -1, -1):
-            high, low, width = self.levels[k]
-            keep = self._may(counts[q], sizes[q], high[node], low[node], percent)
-            q, node = q[keep], node[keep]
-            below = len(self.levels[k - 1][0]) if k else len(self.counts)
-            first = node * width
-            n = np.minimum(width, below - first)
-            q = np.repeat(q, n)
-            node = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        keep = self._may(counts[q], sizes[q], self.counts[node], self.sizes[node], percent)
-        keep &= 100 * np.minimum(sizes[q], self.sizes[node]) >= percent * np.maximum(sizes[q], self.sizes[node])
-        return q[keep], self.order[node[keep]]
+def needed(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Least overlap of sets of these sizes."""
+    return -((-percent * (na + nb)) // (100 + percent))
 
-    @staticmethod
-    def _may(qc: np.ndarray, qs: np.ndarray, high: np.ndarray, low: np.ndarray, percent: int) -> np.ndarray:
-        bound = np.minimum(qc, high).sum(1, dtype=np.int64)
-        return (100 + percent) * bound >= percent * (qs + low)
+
+def forest_search(
+    first: np.ndarray, counts: np.ndarray, sizes: np.ndarray, places: np.ndarray | None, percent: int, leaf: int = 16, slab: int = 400_000
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs (i, j), i < j, within blocks: rows first[b] to first[b + 1] - 1, by rising size.
+
+    Every block is a packed R-tree of leaves of ``leaf`` points.  ``places`` are the positions of the block's element
+    in the rows' orders, for the positional filter.
+    """
+    total = int(first[-1])
+    if not total:
+        return
+    block = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    leaves = -(-np.diff(first) // leaf)
+    leaf_top = np.concatenate(([0], np.cumsum(leaves)))
+    leaf_block = np.repeat(np.arange(len(leaves)), leaves)
+    leaf_first = first[leaf_block] + (np.arange(leaf_top[-1]) - leaf_top[leaf_block]) * leaf
+    leaf_last = np.minimum(leaf_first + leaf, first[leaf_block + 1])
+    high, low = np.maximum.reduceat(counts, leaf_first, axis=0), sizes[leaf_first]
+    own = leaf_top[block] + (np.arange(total) - first[block]) // leaf
+    visits = np.cumsum(leaf_top[block + 1] - own)
+    at = 0
+    while at < total:
+        base = visits[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(visits, base + slab // leaf, side="right")))
+        i = np.arange(at, end)
+        n = leaf_top[block[i] + 1] - own[i]
+        q = np.repeat(i, n)
+        node = np.repeat(own[i], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        keep = 100 * sizes[q] >= percent * low[node]
+        q, node = q[keep], node[keep]
+        far = np.flatnonzero(node != own[q])
+        if len(far):
+            keep = np.ones(len(q), bool)
+            keep[far] = (100 + percent) * shared_bound(counts[q[far]], high[node[far]]) >= percent * (sizes[q[far]] + low[node[far]])
+            q, node = q[keep], node[keep]
+        start = np.maximum(leaf_first[node], q + 1)
+        n = np.maximum(leaf_last[node] - start, 0)
+        x = np.repeat(q, n)
+        y = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        keep = 100 * sizes[x] >= percent * sizes[y]
+        if places is not None:
+            need = needed(sizes[x], sizes[y], percent)
+            keep &= (places[x] <= sizes[x] - need) & (places[y] <= sizes[y] - need)
+        x, y = x[keep], y[keep]
+        keep = shared_bound(counts[x], counts[y]) >= needed(sizes[x], sizes[y], percent)
+        yield x[keep], y[keep]
+        at = end
 
 
 def _describe(n: int, report: int):
@@ -105,7 +133,7 @@ def _describe(n: int, report: int):
             rows = []
             for k1, k2, text in zip(pdf["k1"], pdf["k2"], pdf["text"]):
                 s = shingles(hasher(lower_space_words(text if isinstance(text, str) else None)), n)
-                rows.append((0, k1, k2, class_id(s), len(s), count_vector(s).tobytes()))
+                rows.append((0, k1, k2, class_id(s), len(s), packed(count_vector(s))))
                 held.append(s)
                 total += len(s)
             yield pd.DataFrame(rows, columns=["kind", "k1", "k2", "cid", "n", "counts"])
@@ -136,14 +164,15 @@ def _frequent(held: list[np.ndarray], report: int) -> pd.DataFrame:
     return pd.DataFrame({"kind": 1, "k1": 0, "k2": 0, "cid": signed(x[edge[many]]), "n": n[many], "counts": b""})
 
 
-def _prefixes(n: int, percent: int, hot: np.ndarray, hot_n: np.ndarray, salt_rows: int):
-    """(key, salt, salts, cid) for the prefix elements of each distinct set of a task."""
+def _prefixes(n: int, percent: int, hot: np.ndarray, hot_n: np.ndarray):
+    """(key, cid, place, leads) for the prefix elements of each distinct set of a task.  leads: the element may be
+    the first common one if the set is the smaller of a pair."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = WordHasher()
         seen: set[int] = set()
         for pdf in batches:
-            keys, ids, salts, own = [], [], [], []
+            keys, ids, places, leads = [], [], [], []
             for text in pdf["text"]:
                 s = shingles(hasher(lower_space_words(text if isinstance(text, str) else None)), n)
                 cid = class_id(s)
@@ -160,181 +189,132 @@ def _prefixes(n: int, percent: int, hot: np.ndarray, hot_n: np.ndarray, salt_row
                 order = np.lexsort((s, freq))[:p]
                 keys.append(signed(s[order]))
                 ids.append(np.full(p, cid))
-                salts.append(freq[order] // salt_rows + 1)
-                own.append((cid & 0x7FFFFFFF) % salts[-1])
+                places.append(np.arange(p, dtype=np.int32))
+                leads.append(places[-1] <= len(s) - needed(len(s), len(s), percent))
             if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys), "salt": np.concatenate(own).astype(np.int32), "salts": np.concatenate(salts).astype(np.int32), "cid": np.concatenate(ids)})
+                yield pd.DataFrame({"key": np.concatenate(keys), "cid": np.concatenate(ids), "place": np.concatenate(places), "leads": np.concatenate(leads)})
 
     return run
 
 
-def _tree_join(percent: int):
-    """Pairs of classes of different components in a group that the count vectors allow."""
+class Links:
+    """Star edges between int64 ids by union-find, bounded by the ids of one batch."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in stream_groups(batches, ["key", "_i", "_j"]):
-            i, j = g["_i"].iat[0], g["_j"].iat[0]
-            c = g["_c"].to_numpy()
-            comp, cid, sizes = g["comp"].to_numpy(), g["cid"].to_numpy(), g["n"].to_numpy()
-            if len(g) < 2 or comp.min() == comp.max():
-                continue
-            counts = np.frombuffer(b"".join(g["counts"]), np.int32).reshape(len(g), -1)
-            left, right = np.flatnonzero(c == i), np.flatnonzero(c == j)
-            tree = CountVectorTree(counts[right], sizes[right])
-            for at in range(0, len(left), 256):
-                own = left[at : at + 256]
-                q, p = tree.search(counts[own], sizes[own], percent)
-                a, b = own[q], right[p]
-                keep = comp[a] != comp[b]
-                if i == j:
-                    keep &= a < b
-                a, b = cid[a[keep]], cid[b[keep]]
-                if len(a):
-                    yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    def __init__(self):
+        self.up: dict[int, int] = {}
 
-    return run
+    def find(self, x: int) -> int:
+        up = self.up
+        up.setdefault(x, x)
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def add(self, a: int, b: int) -> None:
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+
+    def frame(self) -> pd.DataFrame:
+        rows = [(x, r) for x in self.up if (r := self.find(x)) != x]
+        return pd.DataFrame(rows, columns=["u", "v"], dtype="int64")
 
 
-def _bounded(percent: int):
-    """Pairs that the count vectors allow, of rows with both vectors."""
+def _block_edges(percent: int):
+    """Star edges of the candidate graph, of blocks that are sorted by (key, _i, _j, n)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            x = np.frombuffer(b"".join(pdf["ca"]), np.int32).reshape(len(pdf), -1)
-            y = np.frombuffer(b"".join(pdf["cb"]), np.int32).reshape(len(pdf), -1)
-            na, nb = pdf["na"].to_numpy(), pdf["nb"].to_numpy()
-            keep = CountVectorTree._may(x, na, y, nb, percent) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
-            yield pdf.loc[keep, ["a", "b"]]
+        for pdf in whole_groups(batches, ["key", "_i", "_j"]):
+            key, i, j = pdf["key"].to_numpy(), pdf["_i"].to_numpy(), pdf["_j"].to_numpy()
+            new = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            first = np.concatenate(([0], new, [len(pdf)]))
+            counts = np.frombuffer(b"".join(pdf["counts"]), np.uint8).reshape(len(pdf), -1)
+            cid, c = pdf["cid"].to_numpy(), pdf["_c"].to_numpy()
+            links = Links()
+            for x, y in forest_search(first, counts, pdf["n"].to_numpy(), pdf["place"].to_numpy(), percent):
+                keep = ((i[x] == j[x]) | (c[x] != c[y])) & (cid[x] != cid[y])
+                pairs = np.unique(np.stack((cid[x[keep]], cid[y[keep]]), 1), axis=0)
+                for a, b in pairs.tolist():
+                    links.add(a, b)
+            yield links.frame()
 
     return run
 
 
-def _verify(n: int, percent: int):
-    """Exact similarity of members against the leader that comes first in their group: (u, v) for links."""
+def _cluster_links(n: int, percent: int):
+    """Star edges of verified links within the groups of clusters."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = WordHasher()
-        group, lead = None, None
-        for pdf in batches:
-            out = []
-            for b, salt, member, cid, text in zip(pdf["b"], pdf["salt"], pdf["member"], pdf["cid"], pdf["text"]):
-                if not member:
-                    if (b, salt) != group:
-                        group, lead = (b, salt), shingles(hasher(lower_space_words(text)), n)
-                    continue
-                s = shingles(hasher(lower_space_words(text)), n)
-                both = len(np.intersect1d(s, lead, assume_unique=True))
-                if 100 * both >= percent * (len(s) + len(lead) - both):
-                    out.append((cid, b))
-            yield pd.DataFrame(out, columns=["u", "v"])
+        for g in stream_groups(batches, ["cluster", "_i", "_j"]):
+            g = g.drop_duplicates("cid")
+            sets = [shingles(hasher(lower_space_words(t)), n) for t in g["text"]]
+            order = np.argsort([len(s) for s in sets], kind="stable")
+            sets = [sets[k] for k in order]
+            cid, c = g["cid"].to_numpy()[order], g["_c"].to_numpy()[order]
+            within = g["_i"].iat[0] == g["_j"].iat[0]
+            sizes = np.array([len(s) for s in sets])
+            counts = np.stack([np.minimum(count_vector(s, WIDE), 65_535).astype(np.uint16) for s in sets])
+            if counts.max() == 65_535:
+                counts = np.stack([count_vector(s, WIDE) for s in sets])
+            links = Links()
+            for x, y in forest_search(np.array([0, len(sets)]), counts, sizes, None, percent, slab=60_000):
+                for a, b in zip(x.tolist(), y.tolist()):
+                    if (within or c[a] != c[b]) and links.find(int(cid[a])) != links.find(int(cid[b])):
+                        both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                        if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                            links.add(int(cid[a]), int(cid[b]))
+            yield links.frame()
 
     return run
 
 
-class NgramJoin:
-    """One run of the join over keyed() rows."""
-
-    def __init__(self, rows: DataFrame, n: int, percent: int, report: int, order_limit: int, salt_rows: int, chunk: int):
-        self.spark, self.rows, self.n, self.percent, self.chunk = rows.sparkSession, rows, n, percent, chunk
-        spark = self.spark
-        described = rows.mapInPandas(_describe(n, report), "kind int, k1 long, k2 long, cid long, n long, counts binary")
-        facts = stored(spark, described, "sets")
-        self.docs = facts.where("kind = 0").select("k1", "k2", "cid", "n")
-        classes = (
-            facts.where("kind = 0 and n > 0").groupBy("cid")
-            .agg(F.min(F.struct("k1", "k2")).alias("one"), F.max("n").alias("n"), F.max("counts").alias("counts"))
-        )
-        self.classes = stored(spark, classes, "classes")
-        # the order's last elements: a bounded list that only decides how blocks fall
-        hot = facts.where("kind = 1").groupBy("cid").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cid").limit(order_limit).toPandas()
-        keys = hot["cid"].to_numpy(np.int64).view(np.uint64)
-        at = np.argsort(keys)
-        emit = _prefixes(n, percent, keys[at], hot["n"].to_numpy(np.int64)[at], salt_rows)
-        routed = rows.where("text is not null").mapInPandas(emit, "key long, salt int, salts int, cid long")
-        w = Window.partitionBy("key", "salt")
-        block = routed.withColumns({"leader": F.min("cid").over(w), "last": F.max("cid").over(w)})
-        self.blocks = stored(spark, block.where("leader != last or salts > 1").select("key", "salts", "cid", "leader"), "blocks")
-
-    def leader_pairs(self) -> DataFrame:
-        """(a, b): each class with the leader that it shares most blocks with; leaders of a salted key with the
-        smallest of them."""
-        salted = self.blocks.where("salts > 1")
-        tops = salted.groupBy("key").agg(F.min("leader").alias("b")).join(salted.select("key", F.col("leader").alias("a")).distinct(), "key")
-        met = self.blocks.select(F.col("cid").alias("a"), F.col("leader").alias("b")).unionAll(tops.select("a", "b")).where("a != b")
-        votes = met.groupBy("a", "b").agg(F.count("*").alias("c"))
-        best = votes.groupBy("a").agg(F.max(F.struct("c", (-F.col("b")).alias("nb"))).alias("x"))
-        return best.select("a", (-F.col("x.nb")).alias("b"))
-
-    def open_blocks(self, components: DataFrame) -> DataFrame:
-        """(key, cid, comp) of the blocks that hold several components."""
-        placed = self.blocks.select("key", "cid").join(components.withColumnRenamed("id", "cid"), "cid", "left")
-        placed = placed.select("key", "cid", F.coalesce("component", "cid").alias("comp"))
-        mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
-        return placed.join(mixed, "key")
-
-    def tree_pairs(self, blocks: DataFrame) -> DataFrame:
-        """(a, b): pairs of classes of different components in a block that the count-vector R-trees let through."""
-        rows = blocks.dropDuplicates(["key", "cid"]).join(self.classes.select("cid", "n", "counts"), "cid")
-        split = split_blocks(rows.select("key", "cid", "comp", "n", "counts"), ["key"], "cid", self.chunk)
-        found = grouped(split, ["key", "_i", "_j"]).mapInPandas(_tree_join(self.percent), "a long, b long")
-        return found.distinct()
-
-    def links(self, pairs: DataFrame, name: str) -> DataFrame:
-        """(u, v): the pairs that reach the similarity, by their sets.  Members go to the leader b, whose set is
-        built once for at most 256 of them; texts travel, for they are smaller than sets."""
-        spark, c = self.spark, self.classes
-        wide = pairs.join(c.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca")), "a")
-        wide = wide.join(c.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb")), "b")
-        pairs = stored(spark, wide.select("a", "b", "na", "nb", "ca", "cb").mapInPandas(_bounded(self.percent), "a long, b long"), f"{name}-pairs")
-        wanted = pairs.select(F.col("a").alias("cid")).unionAll(pairs.select("b")).distinct().join(c, "cid").select("cid", "one.*")
-        texts = stored(spark, self.rows.join(wanted, ["k1", "k2"]).select("cid", "text"), f"{name}-texts")
-        parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / 256).cast("int").alias("p"))
-        dealt = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), "p").cast("int").alias("salt"))
-        members = dealt.withColumnRenamed("a", "cid").join(texts, "cid").select("b", "salt", F.lit(1).alias("member"), "cid", "text")
-        leads = dealt.select("b", "salt").distinct().join(texts.withColumnRenamed("cid", "b"), "b").select("b", "salt", F.lit(0).alias("member"), F.col("b").alias("cid"), "text")
-        groups = grouped(members.unionAll(leads), ["b", "salt"], ["member"])
-        return stored(spark, groups.mapInPandas(_verify(self.n, self.percent), "u long, v long"), f"{name}-links")
-
-    def components(self, rounds: int = 2) -> DataFrame:
-        """(id, component) of all classes with links; see the module's text.  ``rounds`` of leaders come first;
-        they only save work, the last round is complete."""
-        pairs = self.leader_pairs()
-        links, comps = None, None
-        for k in range(rounds):
-            new = self.links(pairs, f"leaders{k}")
-            links = new if links is None else links.unionAll(new)
-            comps = connected_components(self.spark, links, "ngram-cc")
-            rest = stored(self.spark, self.open_blocks(comps), f"open{k}")
-            if rest.isEmpty():
-                return comps
-            if k + 1 < rounds:
-                # one leader of another component for each class: of the block's smallest component
-                first = rest.groupBy("key").agg(F.min(F.struct("comp", "cid")).alias("f"))
-                met = rest.join(first, "key").where("comp != f.comp").select(F.col("cid").alias("a"), F.col("f.cid").alias("b"))
-                votes = met.groupBy("a", "b").agg(F.count("*").alias("c"))
-                best = votes.groupBy("a").agg(F.max(F.struct("c", (-F.col("b")).alias("nb"))).alias("x"))
-                pairs = best.select("a", (-F.col("x.nb")).alias("b"))
-        links = links.unionAll(self.links(self.tree_pairs(rest), "trees"))
-        return connected_components(self.spark, links, "ngram-cc")
+def ngram_components(rows: DataFrame, n: int, percent: int, report: int, order_limit: int, chunk: int, cluster_chunk: int) -> tuple[DataFrame, DataFrame]:
+    """Of keyed() rows: (k1, k2, cid, n) of every row, and (id, component) of the classes with links."""
+    spark = rows.sparkSession
+    described = rows.mapInPandas(_describe(n, report), "kind int, k1 long, k2 long, cid long, n long, counts binary")
+    facts = stored(spark, described, "sets")
+    docs = facts.where("kind = 0").select("k1", "k2", "cid", "n")
+    classes = (
+        facts.where("kind = 0 and n > 0").groupBy("cid")
+        .agg(F.min(F.struct("k1", "k2")).alias("one"), F.max("n").alias("n"), F.max("counts").alias("counts"))
+    )
+    classes = stored(spark, classes, "classes")
+    # the order's last elements: a bounded list that only decides how blocks fall
+    hot = facts.where("kind = 1").groupBy("cid").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cid").limit(order_limit).toPandas()
+    keys = hot["cid"].to_numpy(np.int64).view(np.uint64)
+    at = np.argsort(keys)
+    emit = _prefixes(n, percent, keys[at], hot["n"].to_numpy(np.int64)[at])
+    routed = rows.where("text is not null").mapInPandas(emit, "key long, cid long, place int, leads boolean")
+    # blocks of one class, and blocks where no element can lead, go; sizes come from partial aggregates
+    w = Window.partitionBy("key")
+    live = routed.withColumns({"x": F.min("cid").over(w), "y": F.max("cid").over(w), "l": F.max("leads").over(w)}).where("x != y and l")
+    blocks = stored(spark, live.select("key", "cid", "place"), "blocks")
+    split = split_blocks(blocks, ["key"], "cid", chunk).join(classes.select("cid", "n", "counts"), "cid")
+    edges = grouped(split, ["key", "_i", "_j"], ["n"]).mapInPandas(_block_edges(percent), "u long, v long")
+    clusters = connected_components(spark, stored(spark, edges, "block-edges"), "clusters")
+    members = stored(spark, clusters.join(classes.select("cid", "one.*"), clusters["id"] == classes["cid"]).select("k1", "k2", "cid", F.col("component").alias("cluster")), "members")
+    spread = split_blocks(members, ["cluster"], "cid", cluster_chunk)
+    texts = rows.join(spread, ["k1", "k2"]).select("cluster", "_i", "_j", "_c", "cid", "text")
+    links = grouped(texts, ["cluster", "_i", "_j"]).mapInPandas(_cluster_links(n, percent), "u long, v long")
+    return docs, connected_components(spark, stored(spark, links, "ngram-links"), "ngram-cc")
 
 
 def ngram_join(
-    docs: DataFrame, n: int = 5, percent: int = 80, report: int = 16, order_limit: int = 200_000, salt_rows: int = 20_000,
-    chunk: int = 512, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, n: int = 5, percent: int = 80, report: int = 16, order_limit: int = 200_000,
+    chunk: int = 1024, cluster_chunk: int = 128, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Per document: k1, k2 (its row key), n_shingles and component_id, the smallest id reachable by links.
 
     ``percent``: Jaccard similarity in hundredths.  ``report``: from how many texts of one task an element counts
-    as frequent; ``order_limit``: how many of those the order knows; ``salt_rows`` and ``chunk``: sizes at which
-    blocks are split.  None of these four changes results.
+    as frequent; ``order_limit``: how many of those the order knows; ``chunk`` and ``cluster_chunk``: sizes at which
+    blocks and clusters are split.  None of these four changes results.
     """
     bounded_batches(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
-    join = NgramJoin(rows, n, percent, report, order_limit, salt_rows, chunk)
-    comps = join.components()
-    placed = join.docs.join(comps.withColumnRenamed("id", "cid"), "cid", "left").select(
+    described, comps = ngram_components(rows, n, percent, report, order_limit, chunk, cluster_chunk)
+    placed = described.join(comps.withColumnRenamed("id", "cid"), "cid", "left").select(
         "k1", "k2", "n", F.when(F.col("n") > 0, F.coalesce("component", "cid")).alias("comp")
     )
     placed = stored(docs.sparkSession, placed, "placed")
