@@ -166,7 +166,16 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     path = os.path.join(shared_dir(spark), f"loomtext-{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more (what came from them is itself stored)."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -211,19 +220,23 @@ def connected_components(spark: SparkSession, edges: DataFrame, name: str = "cc"
                 f"{name}-jump",
             )
             moved = not nxt.where("moved").isEmpty()
-            hook = nxt.select("id", "p")
+            discard(hook)
+            hook = nxt
             if not moved:
                 break
+        hook = hook.select("id", "p")
         maps.append(hook)
         left = hook.select(F.col("id").alias("a"), F.col("p").alias("pa"))
         right = hook.select(F.col("id").alias("b"), F.col("p").alias("pb"))
-        e = stored(
+        contracted = stored(
             spark,
             e.join(left, "a").join(right, "b")
             .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
             .where("a < b").distinct(),
             f"{name}-edges",
         )
+        discard(e)
+        e = contracted
     if not maps:
         return e.select(F.col("a").alias("id"), F.col("b").alias("component"))
     out = maps[0]

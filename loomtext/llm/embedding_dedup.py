@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Forest, grouped, split_blocks, stream_groups
-from .common import connected_components, stored
+from .common import connected_components, discard, stored
 
 _ROTATIONS: dict[int, np.ndarray] = {}
 
@@ -168,6 +168,7 @@ def link_embeddings(
     spread = stored(spark, spread, "cells")
     groups = grouped(split_blocks(spread, ["block", "label", "dims", "cell"], "id", chunk), ["block", "label", "dims", "cell", "_i", "_j"])
     found = stored(spark, groups.mapInPandas(_join(blocks, threshold, budget), "id long, links long, peer long"), "links")
+    discard(spread)
     degree = found.groupBy("id").agg(F.sum("links").alias("links"))
     edges = found.where("id != peer").select(F.col("id").alias("u"), F.col("peer").alias("v"))
     components = connected_components(spark, edges, "vectors-cc")

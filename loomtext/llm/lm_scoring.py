@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, key_id, keyed, lower_space_words, release, stored
+from .common import bounded_batches, discard, key_id, keyed, lower_space_words, release, stored
 from .quality_cnn import held_out
 
 END = b"\x00\n"  # no word holds a line feed
@@ -485,7 +485,9 @@ def fit(rows: DataFrame, head_words: int, vocabulary: int, hidden: int, warm_doc
     lang.params = net.p
     shared = spark.sparkContext.broadcast(lang)
     trained = rows.select("text").mapInPandas(_train_task(shared, 3e-3, 2e-3, buffer), "part int, tokens long, x binary")
-    means = average(stored(spark, trained, "trained")).toPandas().sort_values("part")
+    trained = stored(spark, trained, "trained")
+    means = average(trained).toPandas().sort_values("part")
+    discard(trained)
     if len(means):
         flat = np.concatenate([np.frombuffer(b, np.float32) for b in means["x"]])
         lang.params = _unpack(flat, net.p)

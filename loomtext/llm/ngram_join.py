@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blocks import grouped, split_blocks, stream_groups, whole_groups
-from .common import WordHasher, bounded_batches, connected_components, gram_hashes, key_id, keyed, lower_space_words, mix, signed, stored
+from .common import WordHasher, bounded_batches, connected_components, discard, gram_hashes, key_id, keyed, lower_space_words, mix, signed, stored
 
 GROUPS = 64
 #: A saturated count stands for any larger one.
@@ -293,7 +293,9 @@ def ngram_components(rows: DataFrame, n: int, percent: int, report: int, order_l
     blocks = stored(spark, live.select("key", "cid", "place"), "blocks")
     split = split_blocks(blocks, ["key"], "cid", chunk).join(classes.select("cid", "n", "counts"), "cid")
     edges = grouped(split, ["key", "_i", "_j"], ["n"]).mapInPandas(_block_edges(percent), "u long, v long")
-    clusters = connected_components(spark, stored(spark, edges, "block-edges"), "clusters")
+    edges = stored(spark, edges, "block-edges")
+    discard(blocks)
+    clusters = connected_components(spark, edges, "clusters")
     members = stored(spark, clusters.join(classes.select("cid", "one.*"), clusters["id"] == classes["cid"]).select("k1", "k2", "cid", F.col("component").alias("cluster")), "members")
     spread = split_blocks(members, ["cluster"], "cid", cluster_chunk)
     texts = rows.join(spread, ["k1", "k2"]).select("cluster", "_i", "_j", "_c", "cid", "text")

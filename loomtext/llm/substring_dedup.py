@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SpanHash, WordHasher, bounded_batches, gram_hashes, key_id, keyed, signed, space_words, stored
+from .common import SpanHash, WordHasher, bounded_batches, discard, gram_hashes, key_id, keyed, signed, space_words, stored
 
 OCCURRENCES = "h long, sh long, k1 long, k2 long, n int, spans array<int>"
 
@@ -107,6 +107,7 @@ def repeated_windows(spark: SparkSession, rows: DataFrame, window: int, k: int)
         .where("total > 1").select("h", (F.col("a") != F.col("b")).alias("several"))
     )
     seeded = stored(spark, occ.join(seeds, "h"), "seeded")
+    discard(occ)
     classes = (
         seeded.where("several").groupBy("h", "sh")
         .agg(F.sum("n").alias("copies"), F.min(F.struct("k1", "k2", F.slice("spans", 1, 2).alias("span"))).alias("one"))

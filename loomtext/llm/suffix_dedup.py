@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import grouped, stream_groups
-from .common import SpanHash, WordHasher, bounded_batches, gram_hashes, key_id, keyed, signed, space_words, stored
+from .common import SpanHash, WordHasher, bounded_batches, discard, key_id, keyed, signed, space_words, stored
 from .substring_dedup import OCCURRENCES, _drop, _emit
 
 SUFFIXES = "h long, salt int, k1 long, k2 long, at int, lo int, hi int, copies long, salted boolean, after binary, before binary, wins binary"
@@ -112,6 +112,7 @@ def repeated_runs(spark: SparkSession, rows: DataFrame, window: int, k: int, arr
         .where("total > 1").select("h", (F.col("a") != F.col("b")).alias("several"))
     )
     kept = stored(spark, occ.join(shared, "h"), "suffixes")
+    discard(occ)
     classes = stored(
         spark,
         kept.where("several").groupBy("h", "sh").agg(F.sum("n").alias("copies"), F.min(F.struct("k1", "k2", F.slice("spans", 1, 2).alias("span"))).alias("one")),
