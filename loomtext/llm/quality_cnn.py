@@ -191,11 +191,11 @@ def fit_quality(
         .where("y in (0, 1) and i is not null").groupBy("i").agg(F.min("y").alias("y"), F.max("y").alias("y2"))
         .where("y = y2").select("i", "y")
     )
-    sample = (
-        docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
-        .where(~held_out("i", fold, folds)).join(given, "i")
-        .orderBy(F.xxhash64("i"), "i").limit(sample_rows).toPandas()
-    )
+    # the drawn ids are at most sample_rows rows, so they are broadcast; no text is shuffled or sorted
+    ids = docs.select(F.col(id_col).alias("i")).where(~held_out("i", fold, folds)).join(given, "i").distinct()
+    drawn = ids.orderBy(F.xxhash64("i"), "i").limit(sample_rows)
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(drawn), "i")
+    sample = texts.toPandas().sort_values(["i", "t"]).drop_duplicates("i")
     if sample.empty:
         return None, 0.5
     y = sample["y"].to_numpy()
