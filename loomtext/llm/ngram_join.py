@@ -10,10 +10,10 @@ point of its group counts, and two classes share at most the sum of the smaller
 into leaves by size; a leaf is bounded by its largest counts and smallest size.  All trees of an Arrow batch are
 searched at once.  A pair must also pass the positional filter at the shared element.
 
-Only components are asked for, so blocks return star edges of their candidate graph, never its pairs.  The
-components of that graph are clusters; every class's text is sent to its cluster once (large clusters as chunk
-pairs), where sets are built and pairs that are not yet connected are verified by the exact similarity.  Verified
-star edges give the result.  Nothing is lost: linked classes share a block, pass both filters and meet in a cluster.
+Only components are asked for.  Small blocks return their candidate pairs, large ones star edges of their candidate
+graph; the components of all of these are clusters.  Every class's text is sent to its cluster, where sets are built
+and pairs that are not yet connected are verified by the exact similarity; see Clusters for large ones.  Nothing is
+lost: linked classes share enough blocks, pass both filters and meet in a cluster.
 
 Defined cases: null or empty texts and texts of white space have an empty set and stay alone; fewer words than n are
 one shingle, the whole sequence; repeated rows are copies of each other; null ids: see keyed(), such a row's component
@@ -36,6 +36,7 @@ GROUPS = 64
 #: A saturated count stands for any larger one.
 FULL = 255
 WIDE = 512
+LARGE, MANY = 1024, 5
 
 
 def shingles(h: np.ndarray, n: int) -> np.ndarray:
@@ -68,6 +69,12 @@ def prefix_length(n: int, percent: int) -> int:
     return n + (-percent * n) // 100 + 1  # n - ceil(percent n / 100) + 1
 
 
+def shared_keys(n: np.ndarray) -> np.ndarray:
+    """How many prefix elements a pair must share, by its smaller size: prefixes are longer by one less.  Count
+    vectors say little about large sets, and one rare passage in common would make candidates of them."""
+    return np.where(n >= LARGE, MANY, 1)
+
+
 def needed(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     """Least overlap of sets of these sizes."""
     return -((-percent * (na + nb)) // (100 + percent))
@@ -115,6 +122,7 @@ def forest_search(
         keep = 100 * sizes[x] >= percent * sizes[y]
         if places is not None:
             need = needed(sizes[x], sizes[y], percent)
+            need -= shared_keys(sizes[x]) - 1
             keep &= (places[x] <= sizes[x] - need) & (places[y] <= sizes[y] - need)
         x, y = x[keep], y[keep]
         keep = shared_bound(counts[x], counts[y]) >= needed(sizes[x], sizes[y], percent)
@@ -185,12 +193,13 @@ def _prefixes(n: int, percent: int, hot: np.ndarray, hot_n: np.ndarray):
                     at = np.searchsorted(hot, s)
                     at[at == len(hot)] = 0
                     freq = np.where(hot[at] == s, hot_n[at], 0)
-                p = prefix_length(len(s), percent)
+                more = int(shared_keys(np.array(len(s)))) - 1
+                p = min(prefix_length(len(s), percent) + more, len(s))
                 order = np.lexsort((s, freq))[:p]
                 keys.append(signed(s[order]))
                 ids.append(np.full(p, cid))
                 places.append(np.arange(p, dtype=np.int32))
-                leads.append(places[-1] <= len(s) - needed(len(s), len(s), percent))
+                leads.append(places[-1] <= len(s) - needed(len(s), len(s), percent) + more)
             if keys:
                 yield pd.DataFrame({"key": np.concatenate(keys), "cid": np.concatenate(ids), "place": np.concatenate(places), "leads": np.concatenate(leads)})
 
@@ -221,56 +230,118 @@ class Links:
         return pd.DataFrame(rows, columns=["u", "v"], dtype="int64")
 
 
-def _block_edges(percent: int):
-    """Star edges of the candidate graph, of blocks that are sorted by (key, _i, _j, n)."""
+CANDIDATES = "a long, b long, n long, keys long"
+
+
+def _block_pairs(percent: int, hot_rows: int):
+    """Candidate pairs of blocks sorted by (key, _i, _j, n), with their smaller size and the number of blocks.
+
+    Of a block with more than ``hot_rows`` rows only star edges of its candidate graph come out, which count as
+    sharing enough: what they connect is a superset of the block's pairs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(batches, ["key", "_i", "_j"]):
             key, i, j = pdf["key"].to_numpy(), pdf["_i"].to_numpy(), pdf["_j"].to_numpy()
             new = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             first = np.concatenate(([0], new, [len(pdf)]))
+            hot = np.repeat(np.diff(first) > hot_rows, np.diff(first))
             counts = np.frombuffer(b"".join(pdf["counts"]), np.uint8).reshape(len(pdf), -1)
-            cid, c = pdf["cid"].to_numpy(), pdf["_c"].to_numpy()
-            links = Links()
-            for x, y in forest_search(first, counts, pdf["n"].to_numpy(), pdf["place"].to_numpy(), percent):
+            cid, c, sizes = pdf["cid"].to_numpy(), pdf["_c"].to_numpy(), pdf["n"].to_numpy()
+            links, found = Links(), []
+            for x, y in forest_search(first, counts, sizes, pdf["place"].to_numpy(), percent):
                 keep = ((i[x] == j[x]) | (c[x] != c[y])) & (cid[x] != cid[y])
-                pairs = np.unique(np.stack((cid[x[keep]], cid[y[keep]]), 1), axis=0)
-                for a, b in pairs.tolist():
+                x, y = x[keep], y[keep]
+                for a, b in np.unique(np.stack((cid[x[hot[x]]], cid[y[hot[x]]]), 1), axis=0).tolist():
                     links.add(a, b)
-            yield links.frame()
+                x, y = x[~hot[x]], y[~hot[x]]
+                found.append(np.stack((np.minimum(cid[x], cid[y]), np.maximum(cid[x], cid[y]), sizes[x]), 1))
+            stars = links.frame().rename(columns={"u": "a", "v": "b"}).assign(n=0, keys=1)
+            pairs, times = np.unique(np.concatenate(found), axis=0, return_counts=True) if found else (np.empty((0, 3), np.int64), [])
+            yield pd.concat([stars, pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "n": pairs[:, 2], "keys": times})])
 
     return run
 
 
-def _cluster_links(n: int, percent: int):
-    """Star edges of verified links within the groups of clusters."""
+def _verify(n: int, percent: int):
+    """Star edges between components by verified pairs in groups of (cluster, _i, _j); rows say on which side of the
+    group they stand and which component they belong to."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = WordHasher()
         for g in stream_groups(batches, ["cluster", "_i", "_j"]):
-            g = g.drop_duplicates("cid")
+            g = g.drop_duplicates(["cid", "left", "right"])
             sets = [shingles(hasher(lower_space_words(t)), n) for t in g["text"]]
             order = np.argsort([len(s) for s in sets], kind="stable")
             sets = [sets[k] for k in order]
-            cid, c = g["cid"].to_numpy()[order], g["_c"].to_numpy()[order]
-            within = g["_i"].iat[0] == g["_j"].iat[0]
+            comp, left, right = (g[c].to_numpy()[order] for c in ("comp", "left", "right"))
             sizes = np.array([len(s) for s in sets])
             counts = np.stack([np.minimum(count_vector(s, WIDE), 65_535).astype(np.uint16) for s in sets])
             if counts.max() == 65_535:
                 counts = np.stack([count_vector(s, WIDE) for s in sets])
             links = Links()
             for x, y in forest_search(np.array([0, len(sets)]), counts, sizes, None, percent, slab=60_000):
-                for a, b in zip(x.tolist(), y.tolist()):
-                    if (within or c[a] != c[b]) and links.find(int(cid[a])) != links.find(int(cid[b])):
+                keep = (comp[x] != comp[y]) & ((left[x] & right[y]) | (right[x] & left[y]))
+                for a, b in zip(x[keep].tolist(), y[keep].tolist()):
+                    if links.find(int(comp[a])) != links.find(int(comp[b])):
                         both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
                         if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
-                            links.add(int(cid[a]), int(cid[b]))
+                            links.add(int(comp[a]), int(comp[b]))
             yield links.frame()
 
     return run
 
 
-def ngram_components(rows: DataFrame, n: int, percent: int, report: int, order_limit: int, chunk: int, cluster_chunk: int) -> tuple[DataFrame, DataFrame]:
+class Clusters:
+    """Exact links within clusters of candidate classes.
+
+    ``texts``: cluster, cid, part, parts, text; a cluster of more than ``size`` classes has several parts.
+    First every part is joined in itself.  Clusters of several parts then join two members of every component of
+    every part, which connects what is really one group; and at last whatever is not in the cluster's largest
+    component is joined with all of the cluster.  Every text travels once and, in the last step, once for every
+    ``size`` of those left over, so a large group of copies is never paired with itself.
+    """
+
+    def __init__(self, texts: DataFrame, n: int, percent: int, size: int):
+        self.spark, self.texts, self.n, self.percent, self.size = texts.sparkSession, texts, n, percent, size
+
+    def _links(self, rows: DataFrame, name: str) -> DataFrame:
+        found = grouped(rows.select("cluster", "_i", "_j", "cid", "comp", "left", "right", "text"), ["cluster", "_i", "_j"])
+        return stored(self.spark, found.mapInPandas(_verify(self.n, self.percent), "u long, v long"), name)
+
+    def _placed(self, links: DataFrame) -> DataFrame:
+        """Members of clusters of several parts, without texts, with their components."""
+        comps = connected_components(self.spark, links, "ngram-cc")
+        own = self.texts.where("parts > 1").select("cluster", "cid", "part")
+        return own.join(comps.withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
+
+    def components(self) -> DataFrame:
+        yes, no = F.lit(True), F.lit(False)
+        t = self.texts
+        links = self._links(t.select("*", F.col("part").alias("_i"), F.col("part").alias("_j"), F.col("cid").alias("comp"), yes.alias("left"), yes.alias("right")), "part-links")
+        if not t.where("parts > 1").isEmpty():
+            content = t.where("parts > 1").select("cluster", "cid", "text")
+            placed = stored(self.spark, self._placed(links), "placed")
+            two = placed.groupBy("cluster", "part", "comp").agg(F.min("cid").alias("x"), F.max("cid").alias("y"))
+            few = two.select("cluster", "comp", F.explode(F.array_distinct(F.array("x", "y"))).alias("cid"))
+            few = split_blocks(few, ["cluster"], "cid", self.size).withColumns({"left": F.col("_c") == F.col("_i"), "right": F.col("_c") == F.col("_j")})
+            links = links.unionAll(self._links(few.join(content, ["cluster", "cid"]), "few-links"))
+            placed = stored(self.spark, self._placed(links), "placed")
+            sizes = placed.groupBy("cluster", "comp").agg(F.count("*").alias("m"))
+            largest = sizes.groupBy("cluster").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all"))
+            many = largest.where("all > top.m").select(
+                "cluster", F.col("top.comp").alias("big"),
+                F.ceil((F.col("all") - F.col("top.m")) / self.size).cast("int").alias("p"), F.ceil(F.col("all") / self.size).cast("int").alias("q"),
+            )
+            rows = placed.join(many, "cluster")
+            hashed = lambda by: F.pmod(F.xxhash64("cid"), by.cast("long")).cast("int")
+            upto = lambda x: F.explode(F.sequence(F.lit(0), x - 1))
+            left = rows.where("comp != big").select("cluster", "cid", "comp", hashed(F.col("p")).alias("_i"), upto(F.col("q")).alias("_j"), yes.alias("left"), no.alias("right"))
+            right = rows.select("cluster", "cid", "comp", upto(F.col("p")).alias("_i"), hashed(F.col("q")).alias("_j"), no.alias("left"), yes.alias("right"))
+            links = links.unionAll(self._links(left.unionAll(right).join(content, ["cluster", "cid"]), "rest-links"))
+        return connected_components(self.spark, links, "ngram-cc")
+
+
+def ngram_components(rows: DataFrame, n: int, percent: int, report: int, order_limit: int, chunk: int, hot_rows: int, cluster_rows: int) -> tuple[DataFrame, DataFrame]:
     """Of keyed() rows: (k1, k2, cid, n) of every row, and (id, component) of the classes with links."""
     spark = rows.sparkSession
     described = rows.mapInPandas(_describe(n, report), "kind int, k1 long, k2 long, cid long, n long, counts binary")
@@ -292,30 +363,32 @@ def ngram_components(rows: DataFrame, n: int, percent: int, report: int, order_l
     live = routed.withColumns({"x": F.min("cid").over(w), "y": F.max("cid").over(w), "l": F.max("leads").over(w)}).where("x != y and l")
     blocks = stored(spark, live.select("key", "cid", "place"), "blocks")
     split = split_blocks(blocks, ["key"], "cid", chunk).join(classes.select("cid", "n", "counts"), "cid")
-    edges = grouped(split, ["key", "_i", "_j"], ["n"]).mapInPandas(_block_edges(percent), "u long, v long")
-    edges = stored(spark, edges, "block-edges")
+    pairs = grouped(split, ["key", "_i", "_j"], ["n"]).mapInPandas(_block_pairs(percent, hot_rows), CANDIDATES)
+    pairs = pairs.groupBy("a", "b").agg(F.sum("keys").alias("keys"), F.min("n").alias("n"))
+    pairs = stored(spark, pairs.where((F.col("n") < LARGE) | (F.col("keys") >= MANY)).select(F.col("a").alias("u"), F.col("b").alias("v")), "candidates")
     discard(blocks)
-    clusters = connected_components(spark, edges, "clusters")
-    members = stored(spark, clusters.join(classes.select("cid", "one.*"), clusters["id"] == classes["cid"]).select("k1", "k2", "cid", F.col("component").alias("cluster")), "members")
-    spread = split_blocks(members, ["cluster"], "cid", cluster_chunk)
-    texts = rows.join(spread, ["k1", "k2"]).select("cluster", "_i", "_j", "_c", "cid", "text")
-    links = grouped(texts, ["cluster", "_i", "_j"]).mapInPandas(_cluster_links(n, percent), "u long, v long")
-    return docs, connected_components(spark, stored(spark, links, "ngram-links"), "ngram-cc")
+    clusters = connected_components(spark, pairs, "clusters").select(F.col("id").alias("cid"), F.col("component").alias("cluster"))
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("m")).where(F.col("m") > cluster_rows)
+    parts = F.coalesce(F.ceil(F.col("m") / cluster_rows).cast("int"), F.lit(1))
+    members = clusters.join(sizes, "cluster", "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts").cast("long")).cast("int"))
+    members = stored(spark, members.join(classes.select("cid", "one.*"), "cid").select("k1", "k2", "cid", "cluster", "part", "parts"), "members")
+    texts = stored(spark, rows.join(members, ["k1", "k2"]).select("cluster", "cid", "part", "parts", "text"), "texts")
+    return docs, Clusters(texts, n, percent, cluster_rows).components()
 
 
 def ngram_join(
     docs: DataFrame, n: int = 5, percent: int = 80, report: int = 16, order_limit: int = 200_000,
-    chunk: int = 1024, cluster_chunk: int = 128, id_col: str = "doc_id", text_col: str = "text",
+    chunk: int = 1024, hot_rows: int = 64, cluster_rows: int = 128, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Per document: k1, k2 (its row key), n_shingles and component_id, the smallest id reachable by links.
 
     ``percent``: Jaccard similarity in hundredths.  ``report``: from how many texts of one task an element counts
-    as frequent; ``order_limit``: how many of those the order knows; ``chunk`` and ``cluster_chunk``: sizes at which
-    blocks and clusters are split.  None of these four changes results.
+    as frequent; ``order_limit``: how many of those the order knows; ``chunk``, ``hot_rows`` and ``cluster_rows``:
+    sizes at which blocks and clusters are treated in parts.  None of these five changes results.
     """
     bounded_batches(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
-    described, comps = ngram_components(rows, n, percent, report, order_limit, chunk, cluster_chunk)
+    described, comps = ngram_components(rows, n, percent, report, order_limit, chunk, hot_rows, cluster_rows)
     placed = described.join(comps.withColumnRenamed("id", "cid"), "cid", "left").select(
         "k1", "k2", "n", F.when(F.col("n") > 0, F.coalesce("component", "cid")).alias("comp")
     )
