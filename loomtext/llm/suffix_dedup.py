@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import grouped, stream_groups
+from .blocks import grouped, whole_groups
 from .common import SpanHash, WordHasher, bounded_batches, discard, key_id, keyed, signed, space_words, stored
 from .substring_dedup import OCCURRENCES, _drop, _emit
 
@@ -65,11 +65,19 @@ def _start(h: int, lo: int, hi: int, window: int, k: int, spans: SpanHash) -> in
     return int(a[np.flatnonzero(signed(spans(a, a + k)) == h)[0]])
 
 
-def common(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the common prefix."""
+def common(a: bytes, b: bytes) -> int:
+    """Number of four-byte words in the common prefix."""
     n = min(len(a), len(b))
-    differ = np.flatnonzero(a[:n] != b[:n])
-    return int(differ[0]) if len(differ) else n
+    if a[:n] == b[:n]:
+        return n // 4
+    lo, hi = 0, n // 4  # the first lo words are equal, the first hi are not
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        if a[4 * lo : 4 * mid] == b[4 * lo : 4 * mid]:
+            lo = mid
+        else:
+            hi = mid
+    return lo
 
 
 def _compare(window: int):
@@ -77,29 +85,50 @@ def _compare(window: int):
     hash w and place lo."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in stream_groups(batches, ["h", "salt"]):
-            rows = list(g.itertuples(index=False))
-            after = [np.frombuffer(r.after, "<u4") for r in rows]
-            before = [np.frombuffer(r.before, "<u4") for r in rows]
-            wins = [np.frombuffer(r.wins, np.int64) for r in rows]
-            open_ = [np.ones(len(w), bool) for w in wins]
-            out = []
-            for i in range(1, len(rows)):
-                x, y = rows[i - 1], rows[i]
-                right, left = common(after[i - 1], after[i]), common(before[i - 1], before[i])
-                shift = y.at - x.at
-                a = max(x.lo, x.at - left, y.lo - shift)
-                b = min(x.hi, x.at + right - window, y.hi - shift)
-                if a > b or (wins[i - 1][a - x.lo : b - x.lo + 1] != wins[i][a + shift - y.lo : b + shift - y.lo + 1]).any():
+        for pdf in whole_groups(batches, ["h", "salt"]):
+            h, salt = pdf["h"].to_numpy(), pdf["salt"].to_numpy()
+            edge = np.flatnonzero((h[1:] != h[:-1]) | (salt[1:] != salt[:-1])) + 1
+            k1, k2, at, lo, hi, copies = (pdf[c].to_numpy() for c in ("k1", "k2", "at", "lo", "hi", "copies"))
+            salted, n = pdf["salted"].to_numpy(), len(pdf)
+            after, before, wins = pdf["after"].tolist(), pdf["before"].tolist(), [np.frombuffer(w, np.int64) for w in pdf["wins"]]
+            right, left = np.zeros(n, np.int64), np.zeros(n, np.int64)  # common words with the suffix before
+            near = np.ones(n, bool)
+            near[np.concatenate(([0], edge))] = False
+            for i in np.flatnonzero(near).tolist():
+                right[i], left[i] = common(after[i - 1], after[i]), common(before[i - 1], before[i])
+            shift = np.zeros(n, np.int64)
+            shift[1:] = at[1:].astype(np.int64) - at[:-1]
+            prev = np.maximum(np.arange(n) - 1, 0)
+            a = np.maximum(np.maximum(lo[prev], at[prev] - left), lo - shift)
+            b = np.minimum(np.minimum(hi[prev], at[prev] + right - window), hi - shift)
+            open_ = (hi - lo + 1).astype(np.int64)
+            shut: dict[int, np.ndarray] = {}
+            out: list[np.ndarray] = []
+            for i in np.flatnonzero(near & (a <= b)).tolist():
+                x, y, s, e = i - 1, i, int(a[i]), int(b[i])
+                move = int(shift[i])
+                if (wins[x][s - lo[x] : e - lo[x] + 1] != wins[y][s + move - lo[y] : e + move - lo[y] + 1]).any():
                     continue
-                out += [(0, 0, x.k1, x.k2, a, b), (0, 0, y.k1, y.k2, a + shift, b + shift)]
-                open_[i - 1][a - x.lo : b - x.lo + 1] = False
-                open_[i][a + shift - y.lo : b + shift - y.lo + 1] = False
+                out += [(x, s, e), (y, s + move, e + move)]
+                for k, p, q in ((x, s, e), (y, s + move, e + move)):
+                    if k not in shut:
+                        shut[k] = np.zeros(len(wins[k]), bool)
+                    shut[k][p - lo[k] : q - lo[k] + 1] = True
+            for k, m in shut.items():
+                open_[k] -= m.sum()
+            runs = np.array(out, np.int64).reshape(-1, 3)
+            yield pd.DataFrame({"kind": 0, "w": 0, "k1": k1[runs[:, 0]], "k2": k2[runs[:, 0]], "lo": runs[:, 1].astype(np.int32), "hi": runs[:, 2].astype(np.int32)})
             # neighbours settle an array of two; else a window may be shared with a suffix further off
-            if (len(rows) > 2 or rows[0].salted) and any(o.any() for o, r in zip(open_, rows) if r.copies == 1):
-                out += [(1, int(h), r.k1, r.k2, r.lo + j, r.lo + j) for r, w in zip(rows, wins) for j, h in enumerate(w)]
-            if out:
-                yield pd.DataFrame(out, columns=["kind", "w", "k1", "k2", "lo", "hi"])
+            first = np.concatenate(([0], edge))
+            size = np.diff(np.concatenate((first, [n])))
+            group = np.repeat(np.arange(len(first)), size)
+            unsettled = np.bincount(group, (open_ > 0) & (copies == 1), len(first)) > 0
+            rows = np.flatnonzero((unsettled & ((size > 2) | salted[first]))[group])
+            if len(rows):
+                many = hi[rows].astype(np.int64) - lo[rows] + 1
+                own = np.repeat(rows, many)
+                place = (np.repeat(lo[rows].astype(np.int64), many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)).astype(np.int32)
+                yield pd.DataFrame({"kind": 1, "w": np.concatenate([wins[k] for k in rows.tolist()]), "k1": k1[own], "k2": k2[own], "lo": place, "hi": place})
 
     return run
 
