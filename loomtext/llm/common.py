@@ -184,15 +184,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def chunks(it: Iterator, rows: int) -> Iterator[list]:
-    buf: list = []
-    for x in it:
-        buf.append(x)
-        if len(buf) >= rows:
-            yield buf
-            buf = []
-    if buf:
-        yield buf
+def frequency_threshold(df: DataFrame, count: str, limit: int) -> int:
+    """Least count such that no more than ``limit`` rows reach it: from a histogram of count magnitudes (sixteen to
+    a doubling), so neither a sort nor many rows come to the driver."""
+    magnitude = F.floor(F.log2(F.col(count)) * 16).cast("int")
+    bins = df.where(F.col(count) > 0).groupBy(magnitude.alias("m")).agg(F.count("*").alias("n"), F.min(count).alias("least")).collect()
+    total, least = 0, 1 << 62
+    for r in sorted(bins, key=lambda r: -r.m):
+        total += r.n
+        if total > limit:
+            break
+        least = r.least
+    return least
 
 
 def connected_components(spark: SparkSession, edges: DataFrame, name: str = "cc") -> DataFrame:

@@ -25,7 +25,6 @@ no rows.
 from __future__ import annotations
 
 import heapq
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -35,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, key_id, keyed, lower_space_words, release, stored
+from .common import bounded_batches, discard, frequency_threshold, key_id, keyed, lower_space_words, release, stored
 from .quality_cnn import held_out
 
 END = b"\x00\n"  # no word holds a line feed
@@ -52,7 +51,7 @@ class Vocabulary:
     tail_classes: int
 
     @classmethod
-    def build(cls, words: list[bytes], per_class: int = 32, tail_classes: int = 32) -> Vocabulary:
+    def build(cls, words: list[bytes], per_class: int = 32, tail_classes: int = 16) -> Vocabulary:
         """words: most frequent first, the document end among them."""
         return cls({w: i for i, w in enumerate(words)}, per_class, -(-len(words) // per_class), tail_classes)
 
@@ -230,7 +229,7 @@ def streams(docs: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray,
     return ids, fresh, place
 
 
-def train(net: Network, docs: list[np.ndarray], opt: Adam, width: int = 256, window: int = 16, stretch: int = 512) -> int:
+def train(net: Network, docs: list[np.ndarray], opt: Adam, width: int = 512, window: int = 8, stretch: int = 512) -> int:
     """One pass over whole documents; returns the tokens seen.  The state is carried for ``stretch`` tokens of a
     document, then the next stretch begins another stream: long documents would leave the streams uneven."""
     ids, fresh, _ = streams([d[a : a + stretch] for d in docs for a in range(0, len(d), stretch)], width)
@@ -253,10 +252,13 @@ def train(net: Network, docs: list[np.ndarray], opt: Adam, width: int = 256, win
     return int(sum(map(len, docs)))
 
 
-def score(net: Network, docs: list[np.ndarray], width: int = 384, window: int = 16) -> np.ndarray:
+def score(net: Network, docs: list[np.ndarray], width: int = 768, window: int = 8) -> np.ndarray:
     """Natural log probability of each whole document under the network's factored output."""
     ids, fresh, place = streams(docs, width)
-    total = np.zeros((len(ids) + 1, ids.shape[1]))
+    owner = np.zeros(ids.shape, np.int32)
+    for d, (c, n) in enumerate(place):
+        owner[n : n + len(docs[d]), c] = d
+    out = np.zeros(len(docs))
     h = np.zeros((ids.shape[1], net.hidden), np.float32)
     cols = np.arange(ids.shape[1])
     for t in range(0, len(ids), window):
@@ -266,11 +268,9 @@ def score(net: Network, docs: list[np.ndarray], width: int = 384, window: int =
         if not some.all():
             x, live, h, cols = x[:, some], live[:, some], h[some], cols[some]
         states, h, _ = net.run(np.where(live, x, 0), fresh[t : t + window, cols], h, False)
-        got = np.zeros(x.shape)
-        got[live] = net.loss(states[live], x[live])[0]
-        total[t + 1 : t + 1 + len(x), cols] = got
-    np.cumsum(total, axis=0, out=total)
-    return np.array([total[n + len(d), c] - total[n, c] for d, (c, n) in zip(docs, place)])
+        got = net.loss(states[live], x[live])[0]
+        out += np.bincount(owner[t : t + window, cols][live], got, len(docs))
+    return out
 
 
 class Adam:
@@ -305,29 +305,43 @@ class Language:
     tail_tokens: np.ndarray = field(default_factory=lambda: np.zeros(0))
     tail_distinct: np.ndarray = field(default_factory=lambda: np.zeros(0))
     params: dict | None = None
-    hidden: int = 24
-    uid: str = ""
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        """Token ids of words and the document end."""
-        v = self.vocab
-        got = list(map(v.words.get, words))
-        got.append(v.words[END])
+    hidden: int = 16
+    least: int = 0  # the least count of a head word
+
+    def __post_init__(self):
+        self.index: dict[bytes, int] = {}
+
+    def arrange(self) -> Language:
+        """Once in a process: places of head words with their ids and logs; a place for each tail class follows."""
+        if not self.index:
+            v = self.vocab
+            base = v.head_classes * v.per_class
+            own = [v.words.get(w) for w in self.head]
+            own = [base + v.tail(w) if k is None else k for w, k in zip(self.head, own)]
+            self.id_of = np.array([*own, *range(base, base + v.tail_classes)], np.int32)
+            self.log_of = np.concatenate((np.log10(np.array([*self.head.values()], float) + 0.5), np.zeros(v.tail_classes)))
+            self.index = {w: i for i, w in enumerate(self.head)}
+        return self
+
+    def places(self, words: list[bytes]) -> tuple[np.ndarray, dict[bytes, int]]:
+        """Places of words and of the document end, and the words outside the head with their numbers."""
+        got = list(map(self.index.get, words))
+        rare: dict[bytes, int] = {}
         if None in got:
-            base, tail, memo = v.head_classes * v.per_class, v.tail, _MEMO
-            if len(memo) > 300_000:
-                memo.clear()
+            n, tail = len(self.head), self.vocab.tail
             for i, k in enumerate(got):
                 if k is None:
                     w = words[i]
-                    k = memo.get(w)
-                    if k is None:
-                        k = memo[w] = tail(w)
-                    got[i] = base + k
-        return np.array(got, np.int32)
-
+                    got[i] = n + tail(w)
+                    rare[w] = rare.get(w, 0) + 1
+        got.append(self.index[END] if END in self.index else -1)
+        return np.array(got, np.int64), rare
 
-_MEMO: dict[bytes, int] = {}
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        """Token ids of words and the document end."""
+        out = self.id_of[self.places(words)[0]]
+        out[-1] = self.vocab.words[END]
+        return out
 
 
 def _count(limit: int = 300_000):
@@ -366,7 +380,7 @@ def _train_task(shared, rate: float, decay: float, buffer: int):
     """Train on all texts of the partition from the shared start; parameters by chunk, times the tokens seen."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lang: Language = shared.value
+        lang: Language = shared.value.arrange()
         net = Network(lang.vocab, lang.hidden, params={k: v.copy() for k, v in lang.params.items()})
         opt, seen, held, n = Adam(rate, decay), 0, [], 0
         for pdf in batches:
@@ -404,14 +418,9 @@ def _score_task(shared, buffer: int):
     """(doc key, counts and scores of head words, and the words outside the head with their numbers)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lang: Language = shared.value
+        lang: Language = shared.value.arrange()
         net = Network(lang.vocab, lang.hidden, params=lang.params)
         norm = np.log10(lang.tokens + 0.5 * (lang.distinct + 1))
-        logs = _LOGS.get(lang.uid)
-        if logs is None:
-            _LOGS.clear()
-            logs = _LOGS[lang.uid] = {w: float(np.log10(c + 0.5)) for w, c in lang.head.items()}
-        end = logs.get(END, float(np.log10(0.5)))
         base_id, n_tail = lang.vocab.head_classes * lang.vocab.per_class, lang.vocab.tail_classes
         tail_norm = np.log10(lang.tail_tokens + 0.5 * (lang.tail_distinct + 1))
 
@@ -426,20 +435,14 @@ def _score_task(shared, buffer: int):
         held, n = [], 0
         for pdf in batches:
             for k1, k2, text in zip(pdf["k1"], pdf["k2"], pdf["text"]):
-                words = lower_space_words(text if isinstance(text, str) else None)
-                got = list(map(logs.get, words))
-                rare: dict[bytes, int] = {}
-                if None in got:
-                    for i, x in enumerate(got):
-                        if x is None:
-                            got[i] = 0.0
-                            w = words[i]
-                            rare[w] = rare.get(w, 0) + 1
-                ids = lang.ids(words)
-                in_tail = ids[:-1] >= base_id
-                values = np.array(got)
-                known = len(words) - sum(rare.values()) + (END in logs)
-                held.append(((k1, k2), float(values.sum()) + end, ids, known, float(values[in_tail].sum()), rare))
+                at, rare = lang.places(lower_space_words(text if isinstance(text, str) else None))
+                ids, values = lang.id_of[at], lang.log_of[at]
+                ids[-1] = lang.vocab.words[END]
+                if END not in lang.index:
+                    values[-1] = np.log10(0.5)
+                known = len(at) - 1 - sum(rare.values()) + (END in lang.index)
+                own = values[:-1][ids[:-1] >= base_id].sum()
+                held.append(((k1, k2), float(values.sum()), ids, known, float(own), rare))
                 n += len(ids)
                 if n >= buffer:
                     yield flush(held)
@@ -450,15 +453,14 @@ def _score_task(shared, buffer: int):
     return run
 
 
-_LOGS: dict[str, dict[bytes, float]] = {}
-
-
 def fit(rows: DataFrame, head_words: int, vocabulary: int, hidden: int, warm_docs: int, buffer: int) -> tuple[Language, DataFrame]:
     """The language model of the training rows (k1, k2, text), and the counts of all words (w, c)."""
     spark = rows.sparkSession
     counts = stored(spark, rows.select("text").mapInPandas(_count(), "w binary, c long").groupBy("w").agg(F.sum("c").alias("c")), "counts")
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    head = counts.orderBy((F.col("w") == F.lit(END)).desc(), F.desc("c"), "w").limit(head_words).toPandas()
+    least = frequency_threshold(counts, "c", head_words)
+    head = counts.where((F.col("c") >= least) | (F.col("w") == F.lit(END))).toPandas()
+    head = head.sort_values(["c", "w"], ascending=[False, True])
     words = [bytes(w) for w in head["w"]]
     top = words[:vocabulary]
     if END not in top:
@@ -471,18 +473,20 @@ def fit(rows: DataFrame, head_words: int, vocabulary: int, hidden: int, warm_doc
     for r in tails:
         tail_tokens[r.k], tail_distinct[r.k] = r.c, r.v
     known = dict(zip(words, head["c"].tolist()))
-    lang = Language(vocab, known, int(total.n or 0), int(total.v or 0), tail_tokens, tail_distinct, hidden=hidden, uid=uuid.uuid4().hex)
+    lang = Language(vocab, known, int(total.n or 0), int(total.v or 0), tail_tokens, tail_distinct, hidden=hidden, least=least)
     net = Network(vocab, hidden)
     net.bias_from(np.array([known.get(w, 0) for w in top], float), tail_tokens)
     lang.params = net.p
     # starting point: a bounded sample of documents, those first in the order of their keys' hash
-    sample = rows.orderBy(F.xxhash64("k1", "k2"), "k1", "k2").limit(warm_docs).select("text").toPandas()
+    drawn = rows.select("k1", "k2").distinct().orderBy(F.xxhash64("k1", "k2"), "k1", "k2").limit(warm_docs)
+    sample = rows.join(F.broadcast(drawn), ["k1", "k2"]).select("k1", "k2", "text").toPandas().sort_values(["k1", "k2"])
+    lang.arrange()
     docs = [lang.ids(lower_space_words(t if isinstance(t, str) else None)) for t in sample["text"]]
     if docs:
         opt = Adam(5e-3)
         for _ in range(2):
-            train(net, docs, opt, width=64, window=16)
-    lang.params = net.p
+            train(net, docs, opt, width=128)
+    lang.params, lang.index = net.p, {}
     shared = spark.sparkContext.broadcast(lang)
     trained = rows.select("text").mapInPandas(_train_task(shared, 3e-3, 2e-3, buffer), "part int, tokens long, x binary")
     trained = stored(spark, trained, "trained")
@@ -496,8 +500,8 @@ def fit(rows: DataFrame, head_words: int, vocabulary: int, hidden: int, warm_doc
 
 
 def score_documents(
-    docs: DataFrame, head_words: int = 150_000, vocabulary: int = 1024, hidden: int = 16, warm_docs: int = 300,
-    buffer: int = 1_200_000, folds: int = 5, fold: int = 1, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, head_words: int = 150_000, vocabulary: int = 1024, hidden: int = 12, warm_docs: int = 300,
+    buffer: int = 2_000_000, folds: int = 5, fold: int = 1, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs; see the
     module's text.  ``head_words``, ``vocabulary`` and ``warm_docs`` bound the broadcast and the warm-up; counts,
@@ -516,8 +520,7 @@ def score_documents(
     # words outside the head: their counts come by a join, once for each word of a document; copies share theirs
     each = scored.where(F.size("words") > 0).select("k1", "k2", "words", "times").dropDuplicates(["k1", "k2"])
     each = each.select("k1", "k2", F.explode(F.arrays_zip("words", "times")).alias("x")).select("k1", "k2", F.col("x.words").alias("w"), F.col("x.times").alias("t"))
-    least = min(v for w, v in lang.head.items() if w != END) if len(lang.head) >= head_words > 1 else 1 << 62
-    rare = counts.where(F.col("c") <= F.lit(least))  # a word outside the head is no more frequent than its last
+    rare = counts.where(F.col("c") < lang.least)
     part = each.join(rare, "w", "left").groupBy("k1", "k2").agg(
         F.sum(F.when(F.col("c") > 0, F.col("t")).otherwise(0)).alias("known"),
         F.sum(F.col("t") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("logs"),

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blocks import grouped, split_blocks, stream_groups, whole_groups
-from .common import WordHasher, bounded_batches, connected_components, discard, gram_hashes, key_id, keyed, lower_space_words, mix, signed, stored
+from .common import WordHasher, bounded_batches, connected_components, discard, frequency_threshold, gram_hashes, key_id, keyed, lower_space_words, mix, signed, stored
 
 GROUPS = 64
 #: A saturated count stands for any larger one.
@@ -353,7 +353,8 @@ def ngram_components(rows: DataFrame, n: int, percent: int, report: int, order_l
     )
     classes = stored(spark, classes, "classes")
     # the order's last elements: a bounded list that only decides how blocks fall
-    hot = facts.where("kind = 1").groupBy("cid").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cid").limit(order_limit).toPandas()
+    hot = facts.where("kind = 1").groupBy("cid").agg(F.sum("n").alias("n"))
+    hot = hot.where(F.col("n") >= frequency_threshold(hot, "n", order_limit)).toPandas()
     keys = hot["cid"].to_numpy(np.int64).view(np.uint64)
     at = np.argsort(keys)
     emit = _prefixes(n, percent, keys[at], hot["n"].to_numpy(np.int64)[at])

@@ -31,6 +31,7 @@ CELL = 16  # positions pooled first
 CHUNK = 8  # cells in a chunk: 512 bytes
 HOP = 7  # cells between chunk starts: neighbours share 64 bytes
 CELL_BYTES = CELL * STEP
+SLAB = 8192  # cells at a time when scoring
 
 
 def _layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +85,15 @@ class ByteCNN:
 
     def logits(self, texts: list[bytes]) -> np.ndarray:
         data, starts = _layout(texts)
-        pooled, _ = self._cells(data, starts)
+        # a slab of cells at a time, with the step after it: a text of any length takes bounded memory
+        slabs = []
+        for at in range(0, int(starts[-1]), SLAB):
+            end = min(at + SLAB, int(starts[-1]))
+            part = data[at * CELL_BYTES : end * CELL_BYTES + STEP]
+            part = np.concatenate((part, np.zeros((end - at + 1) * CELL_BYTES - len(part), np.uint8)))
+            inside = starts[(starts > at) & (starts <= end)] - at
+            slabs.append(self._cells(part, np.concatenate(([0], inside)))[0][: end - at])
+        pooled = np.concatenate(slabs)
         cells, first = _chunk_cells(starts)
         x = np.maximum(pooled[cells[:, 0]], 0)
         for c in range(1, CHUNK):
@@ -95,7 +104,7 @@ class ByteCNN:
         return np.concatenate((mean, top), 1) @ self.p["w2"] + self.p["b2"][0]
 
     def probabilities(self, texts: list[bytes], bytes_at_once: int = 400_000) -> np.ndarray:
-        """Of whole texts; texts are grouped so that a pass holds few bytes, a long text on its own in pieces."""
+        """Of whole texts; texts are grouped so that a pass holds few bytes."""
         out, group, n, at = np.empty(len(texts)), [], 0, 0
         for i, t in enumerate(texts):
             if group and n + len(t) > bytes_at_once:
