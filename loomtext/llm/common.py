@@ -178,6 +178,12 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def sized(spark: SparkSession, df: DataFrame, name: str, rows: int = 200_000) -> DataFrame:
+    """df stored, to be joined by broadcast if it has at most ``rows`` rows of a few bytes, else by a shuffle."""
+    table = stored(spark, df, name)
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished, unreferenced plans."""
     gc.collect()

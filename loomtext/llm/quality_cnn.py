@@ -162,7 +162,9 @@ class ByteCNN:
         d = (1 / (1 + np.exp(-(v @ p["w2"] + p["b2"][0]))) - labels) / len(texts)
         dv = d[:, None] * p["w2"]
         k = h.shape[1]
-        dh = dv[doc, :k] / counts[doc][:, None] + np.where(h == top[doc], dv[doc, k:], 0)
+        tied = (h == top[doc]).astype(h.dtype)  # equal chunks share a maximum's gradient
+        tied /= np.add.reduceat(tied, first[:-1])[doc]
+        dh = dv[doc, :k] / counts[doc][:, None] + tied * dv[doc, k:]
         dz = dh * (z > 0)
         dx = (dz @ p["w1"].T) * (raw > 0)
         # back through both poolings to the windows of the maxima
