@@ -52,7 +52,7 @@ def benjamini_hochberg(df: DataFrame, p: str, within: list[str] = (), out: str =
     raw = F.col(p) * F.count(p).over(w) / F.row_number().over(up)
     df = df.withColumn("__raw", F.when(F.col(p).isNotNull(), raw)).withColumn("__r", F.row_number().over(up))
     least = F.min("__raw").over(w.orderBy("__r").rowsBetween(0, Window.unboundedFollowing))
-    return df.withColumn(out, F.least(F.lit(1.0), least)).drop("__raw", "__r")
+    return df.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), least))).drop("__raw", "__r")
 
 
 def mann_whitney(df: DataFrame, group: list[str], side: str, value: str) -> DataFrame:

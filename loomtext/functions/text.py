@@ -22,6 +22,11 @@ def c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(x: Column, f) -> Column:
+    """f(x) with x evaluated once: a lambda's variable keeps plans of reused expressions small."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def word_count(x: Column | str) -> Column:
     """Words between white space; 0 for null."""
     return F.regexp_count(F.coalesce(c(x), F.lit("")), F.lit(r"\S+"))

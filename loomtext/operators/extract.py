@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import c, format_date_nl, normalize_quotes, strip
+from ..functions.text import c, format_date_nl, let, normalize_quotes, strip
 
 #: Phrases before an author's name.
 AUTHOR_PREFIXES = [
@@ -77,28 +77,38 @@ def clean_author(raw: Column | str) -> Column:
     parts = F.split(x, r"(?iu)\s+en\s+|\s*&\s*|\s*/\s*|\s*amp\s*|\s{2,}")
     names = F.flatten(F.transform(parts, _two_names))
     names = F.filter(F.transform(names, _clean_name), _is_name)
-    for a, b in GLUED:
-        end = F.upper(names[0]).endswith(a) if a == "VAN ERVEN" else F.upper(names[0]) == a
-        glue = (F.size(names) >= 2) & end & (F.upper(F.get(names, F.lit(1))) == b)
-        joined = F.concat(F.array(F.concat_ws(" ", F.slice(names, 1, 2))), F.slice(names, 3, 1_000))
-        names = F.when(glue, joined).otherwise(names)
+    for pair in GLUED:
+        names = let(names, _glue(*pair))
     return F.array_distinct(F.transform(names, F.upper))
 
 
+def _glue(a: str, b: str):
+    """Join the first two names if they are the parts a and b (a may end a longer name)."""
+
+    def f(names: Column) -> Column:
+        first, second = F.upper(F.get(names, F.lit(0))), F.upper(F.get(names, F.lit(1)))
+        joined = F.concat(F.array(F.concat_ws(" ", F.slice(names, 1, 2))), F.slice(names, 3, 1_000))
+        begins = first.endswith(a) if a == "VAN ERVEN" else first == a
+        return F.when((F.size(names) >= 2) & begins & (second == b), joined).otherwise(names)
+
+    return f
+
+
 def _two_names(entry: Column) -> Column:
     """Four words and more: cut before the first word that, like the one before it, is no connector."""
-    words = F.filter(F.split(entry, r"\s+"), lambda w: w != "")
-    upper = F.transform(words, F.upper)
     no = F.array(*[F.lit(w) for w in CONNECTORS])
 
-    def here(i: Column) -> Column:
-        now, before = F.get(upper, i), F.get(upper, i - 1)
-        return ~F.array_contains(no, now) & ~F.array_contains(no, before) & ~((before == "ERVEN") & (now == "DORENS"))
+    def cut(words: Column) -> Column:
+        def here(i: Column) -> Column:
+            now, before = F.upper(F.get(words, i)), F.upper(F.get(words, i - 1))
+            return ~F.array_contains(no, now) & ~F.array_contains(no, before) & ~((before == "ERVEN") & (now == "DORENS"))
+
+        n = F.size(words)
+        at = F.get(F.filter(F.sequence(F.lit(2), F.greatest(n - 2, F.lit(2))), here), F.lit(0))
+        halves = lambda k: F.array(F.concat_ws(" ", F.slice(words, F.lit(1), k)), F.concat_ws(" ", F.slice(words, k + 1, n)))
+        return let(F.when(n >= 4, at), lambda k: F.when(k.isNotNull(), halves(k)).otherwise(F.array(entry)))
 
-    places = F.when(F.size(words) >= 4, F.filter(F.sequence(F.lit(2), F.greatest(F.size(words) - 2, F.lit(2))), here))
-    at = F.get(places, F.lit(0))
-    halves = F.array(F.concat_ws(" ", F.slice(words, F.lit(1), at)), F.concat_ws(" ", F.slice(words, at + 1, F.size(words))))
-    return F.when(at.isNotNull(), halves).otherwise(F.array(entry))
+    return let(F.filter(F.split(entry, r"\s+"), lambda w: w != ""), cut)
 
 
 def _clean_name(x: Column) -> Column:
@@ -129,9 +139,8 @@ def strip_place(x: Column) -> Column:
 def strip_cap_start(x: Column) -> Column:
     """Drop an upper-case dateline with a separator, else one that only a space ends."""
     head = rf"\A\s*[{_UP}]{{2,}}(?:[,\s/&'\-]+[{_UP}0-9]+)*(?:\s*\([A-Za-z0-9\s]+\))?"
-    a = F.regexp_replace(x, head + r"\s*[-—–:]\s+", "")
-    b = F.regexp_replace(x, head + rf"\s+(?=[{_UP}](?:[{_LOW}]|(?U:\b)))", "")
-    return strip(F.when(a == x, b).otherwise(a))
+    sep, space = head + r"\s*[-—–:]\s+", head + rf"\s+(?=[{_UP}](?:[{_LOW}]|(?U:\b)))"
+    return strip(let(x, lambda t: F.regexp_replace(t, F.when(t.rlike(sep), sep).otherwise(space), F.lit(""))))
 
 
 _INNER_HEADER = (r"\n\n[^\n]{2,45}(?<![.!?])\n\n", "\n\n")

@@ -9,8 +9,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from ..functions.text import c
+from ..functions.text import c, let
 
 #: Part-of-speech sets, suffixes, category lemmas and thresholds.
 CONTENT = ["NOUN", "VERB", "ADJ", "ADV"]
@@ -29,6 +30,10 @@ def tokens(parse: Column | str) -> Column:
 
 
 def _mean(values: Column) -> Column:
+    return let(values, _mean_of)
+
+
+def _mean_of(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(values), F.lit(0))
 
 
@@ -55,7 +60,11 @@ def variation(values: Column) -> Column:
 
 def max_depth(sentence: Column) -> Column:
     """Longest chain of heads.  A chain ends at head 0, at a missing head, or at an id that it has met before."""
-    heads = F.map_from_entries(F.array_distinct(F.transform(sentence, lambda t: F.struct(t["id"], t["head"]))))
+    pairs = F.map_from_entries(F.array_distinct(F.transform(sentence, lambda t: F.struct(t["id"], t["head"]))))
+    return let(pairs, lambda heads: _deepest(sentence, heads))
+
+
+def _deepest(sentence: Column, heads: Column) -> Column:
     def chain(t: Column) -> Column:
         start = F.struct(F.lit(0).alias("d"), t["id"].alias("at"), F.array(t["id"]).alias("met"), F.lit(False).alias("end"))
 
@@ -125,7 +134,7 @@ def mtld_of(words: list[str], threshold: float = MTLD_THRESHOLD) -> float | None
     return None if a is None or b is None else (a + b) / 2
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def mtld(lemmas: pd.Series) -> pd.Series:
     return pd.Series([mtld_of(list(x)) if x is not None and len(x) >= MTLD_MIN else None for x in lemmas], dtype="float64")
 

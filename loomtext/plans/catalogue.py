@@ -234,25 +234,28 @@ def orders(spark, sf_dir) -> DataFrame:
 ORDERS = """o AS (SELECT o_orderkey, o_custkey, o_orderdate::DATE AS d, o_orderpriority AS topic, o_totalprice::DECIMAL(18,2) AS price,
  c_mktsegment AS outlet FROM orders JOIN customer ON o_custkey = c_custkey)"""
 MONTHLY = "m AS (SELECT outlet, topic, date_trunc('month', d) AS m, count(*) AS n FROM o GROUP BY 1, 2, 3)"
-MONTH = F.date_format("d", "yyyy-MM")
+
+
+def month():
+    return F.date_format("d", "yyyy-MM")
 
 
 @query(f"""WITH {ORDERS}, {MONTHLY} SELECT outlet, topic, count(*) AS months_present, sum(n)::BIGINT AS total_articles,
  round(avg(n), 6) AS avg_per_month FROM m GROUP BY 1, 2""")
 def topic_month_average(spark, sf_dir):
-    return topics.topic_averages(orders(spark, sf_dir), "outlet", "topic", MONTH).withColumn("avg_per_month", r6("avg_per_month"))
+    return topics.topic_averages(orders(spark, sf_dir), "outlet", "topic", month()).withColumn("avg_per_month", r6("avg_per_month"))
 
 
 @query(f"""WITH {ORDERS}, {MONTHLY}, a AS (SELECT outlet, topic, sum(n) * 1.0 / count(*) AS x FROM m GROUP BY 1, 2),
  t AS (SELECT sum(n) * 1.0 / count(*) AS y FROM m) SELECT o_orderkey FROM o JOIN a USING (outlet, topic) WHERE x >= 8""")
 def balanced_rows(spark, sf_dir):
-    return topics.balance_topics(orders(spark, sf_dir), 8, "outlet", "topic", MONTH).select("o_orderkey")
+    return topics.balance_topics(orders(spark, sf_dir), 8, "outlet", "topic", month()).select("o_orderkey")
 
 
 @query(f"""WITH {ORDERS}, {MONTHLY} SELECT outlet, topic, count(*) AS months_present, sum(n)::BIGINT AS total_articles,
  CASE WHEN avg(n) >= 8 THEN 'yes' ELSE 'no' END AS kept FROM m GROUP BY 1, 2""")
 def topic_summary(spark, sf_dir):
-    out = topics.topic_summary(orders(spark, sf_dir), 8, source="outlet", topic="topic", month=MONTH)
+    out = topics.topic_summary(orders(spark, sf_dir), 8, source="outlet", topic="topic", month=month())
     return out.drop("avg_per_month")
 
 
