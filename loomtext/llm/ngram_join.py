@@ -32,11 +32,12 @@ from pyspark.sql import functions as F
 from .blocks import grouped, split_blocks, stream_groups, whole_groups
 from .common import WordHasher, bounded_batches, connected_components, discard, frequency_threshold, gram_hashes, key_id, keyed, lower_space_words, mix, signed, stored
 
-GROUPS = 64
+GROUPS = 256
 #: A saturated count stands for any larger one.
 FULL = 255
 WIDE = 512
-LARGE, MANY = 1024, 5
+#: Sets from this size share at least one more element than this share of it in their (longer) prefixes.
+LARGE, SHARE = 512, 0.03
 
 
 def shingles(h: np.ndarray, n: int) -> np.ndarray:
@@ -70,9 +71,9 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def shared_keys(n: np.ndarray) -> np.ndarray:
-    """How many prefix elements a pair must share, by its smaller size: prefixes are longer by one less.  Count
-    vectors say little about large sets, and one rare passage in common would make candidates of them."""
-    return np.where(n >= LARGE, MANY, 1)
+    """How many prefix elements a pair must share, by its smaller size: prefixes are longer by one less.  One rare
+    passage in common would otherwise make candidates of large sets."""
+    return np.where(n >= LARGE, 1 + np.floor(n * SHARE).astype(np.int64), 1)
 
 
 def needed(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
@@ -291,14 +292,42 @@ def _verify(n: int, percent: int):
     return run
 
 
+def _wide(n: int, groups: int = 2048):
+    """Sizes and wide count vectors of texts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = WordHasher()
+        for pdf in batches:
+            sets = [shingles(hasher(lower_space_words(t)), n) for t in pdf["text"]]
+            yield pd.DataFrame({"cluster": pdf["cluster"], "cid": pdf["cid"], "n": [len(s) for s in sets], "counts": [packed(count_vector(s, groups)) for s in sets]})
+
+    return run
+
+
+def _wide_pairs(percent: int):
+    """Pairs of different components between the sides of groups of (cluster, _i, _j) that wide vectors allow."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in stream_groups(batches, ["cluster", "_i", "_j"]):
+            g = g.sort_values("n", kind="stable")
+            counts = np.frombuffer(b"".join(g["counts"]), np.uint8).reshape(len(g), -1)
+            comp, cid, left, right = (g[c].to_numpy() for c in ("comp", "cid", "left", "right"))
+            for x, y in forest_search(np.array([0, len(g)]), counts, g["n"].to_numpy(), None, percent, slab=20_000):
+                keep = (comp[x] != comp[y]) & ((left[x] & right[y]) | (right[x] & left[y])) & (cid[x] != cid[y])
+                x, y = x[keep], y[keep]
+                yield pd.DataFrame({"a": np.minimum(cid[x], cid[y]), "b": np.maximum(cid[x], cid[y])})
+
+    return run
+
+
 class Clusters:
     """Exact links within clusters of candidate classes.
 
     ``texts``: cluster, cid, part, parts, text; a cluster of more than ``size`` classes has several parts.
     First every part is joined in itself.  Clusters of several parts then join two members of every component of
-    every part, which connects what is really one group; and at last whatever is not in the cluster's largest
-    component is joined with all of the cluster.  Every text travels once and, in the last step, once for every
-    ``size`` of those left over, so a large group of copies is never paired with itself.
+    every part, dealt anew, which connects what is really one group; and at last whatever is not in the cluster's
+    largest component is compared with all of the cluster: first by wide count vectors, which are a small part of a
+    text, then the pairs that are left by their texts.  A large group of copies is never paired with itself.
     """
 
     def __init__(self, texts: DataFrame, n: int, percent: int, size: int):
@@ -323,7 +352,8 @@ class Clusters:
             placed = stored(self.spark, self._placed(links), "placed")
             two = placed.groupBy("cluster", "part", "comp").agg(F.min("cid").alias("x"), F.max("cid").alias("y"))
             few = two.select("cluster", "comp", F.explode(F.array_distinct(F.array("x", "y"))).alias("cid"))
-            few = split_blocks(few, ["cluster"], "cid", self.size).withColumns({"left": F.col("_c") == F.col("_i"), "right": F.col("_c") == F.col("_j")})
+            few = few.join(few.groupBy("cluster").agg(F.ceil(F.count("*") / self.size).alias("p")), "cluster")
+            few = few.withColumn("_i", F.pmod(F.xxhash64(F.lit(1), "cid"), "p").cast("int")).withColumns({"_j": F.col("_i"), "left": yes, "right": yes})
             links = links.unionAll(self._links(few.join(content, ["cluster", "cid"]), "few-links"))
             placed = stored(self.spark, self._placed(links), "placed")
             sizes = placed.groupBy("cluster", "comp").agg(F.count("*").alias("m"))
@@ -337,7 +367,17 @@ class Clusters:
             upto = lambda x: F.explode(F.sequence(F.lit(0), x - 1))
             left = rows.where("comp != big").select("cluster", "cid", "comp", hashed(F.col("p")).alias("_i"), upto(F.col("q")).alias("_j"), yes.alias("left"), no.alias("right"))
             right = rows.select("cluster", "cid", "comp", upto(F.col("p")).alias("_i"), hashed(F.col("q")).alias("_j"), no.alias("left"), yes.alias("right"))
-            links = links.unionAll(self._links(left.unionAll(right).join(content, ["cluster", "cid"]), "rest-links"))
+            vectors = stored(self.spark, content.mapInPandas(_wide(self.n), "cluster long, cid long, n long, counts binary"), "wide").dropDuplicates(["cluster", "cid"])
+            meet = grouped(left.unionAll(right).join(vectors, ["cluster", "cid"]), ["cluster", "_i", "_j"])
+            pairs = stored(self.spark, meet.mapInPandas(_wide_pairs(self.percent), "a long, b long").distinct(), "wide-pairs")
+            parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / self.size).alias("p"))
+            dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "p").cast("int").alias("_i"))
+            sides = dealt.select("a", "_i", F.col("a").alias("cid"), yes.alias("left"), no.alias("right")).distinct().unionAll(
+                dealt.select("a", "_i", F.col("b").alias("cid"), no.alias("left"), yes.alias("right"))
+            )
+            own = placed.select("cid", "comp")
+            rest = sides.join(own, "cid").join(content.select("cid", "text"), "cid").select("*", F.col("a").alias("cluster"), F.col("_i").alias("_j"))
+            links = links.unionAll(self._links(rest, "rest-links"))
         return connected_components(self.spark, links, "ngram-cc")
 
 
@@ -366,7 +406,7 @@ def ngram_components(rows: DataFrame, n: int, percent: int, report: int, order_l
     split = split_blocks(blocks, ["key"], "cid", chunk).join(classes.select("cid", "n", "counts"), "cid")
     pairs = grouped(split, ["key", "_i", "_j"], ["n"]).mapInPandas(_block_pairs(percent, hot_rows), CANDIDATES)
     pairs = pairs.groupBy("a", "b").agg(F.sum("keys").alias("keys"), F.min("n").alias("n"))
-    pairs = stored(spark, pairs.where((F.col("n") < LARGE) | (F.col("keys") >= MANY)).select(F.col("a").alias("u"), F.col("b").alias("v")), "candidates")
+    pairs = stored(spark, pairs.where((F.col("n") < LARGE) | (F.col("keys") >= F.floor(F.col("n") * SHARE) + 1)).select(F.col("a").alias("u"), F.col("b").alias("v")), "candidates")
     discard(blocks)
     clusters = connected_components(spark, pairs, "clusters").select(F.col("id").alias("cid"), F.col("component").alias("cluster"))
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("m")).where(F.col("m") > cluster_rows)
