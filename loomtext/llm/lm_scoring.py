@@ -229,7 +229,7 @@ def streams(docs: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray,
     return ids, fresh, place
 
 
-def train(net: Network, docs: list[np.ndarray], opt: Adam, width: int = 512, window: int = 8, stretch: int = 512) -> int:
+def train(net: Network, docs: list[np.ndarray], opt: Adam, width: int = 512, window: int = 12, stretch: int = 512) -> int:
     """One pass over whole documents; returns the tokens seen.  The state is carried for ``stretch`` tokens of a
     document, then the next stretch begins another stream: long documents would leave the streams uneven."""
     ids, fresh, _ = streams([d[a : a + stretch] for d in docs for a in range(0, len(d), stretch)], width)
@@ -252,7 +252,7 @@ def train(net: Network, docs: list[np.ndarray], opt: Adam, width: int = 512, win
     return int(sum(map(len, docs)))
 
 
-def score(net: Network, docs: list[np.ndarray], width: int = 768, window: int = 8) -> np.ndarray:
+def score(net: Network, docs: list[np.ndarray], width: int = 768, window: int = 24) -> np.ndarray:
     """Natural log probability of each whole document under the network's factored output."""
     ids, fresh, place = streams(docs, width)
     owner = np.zeros(ids.shape, np.int32)
@@ -501,7 +501,7 @@ def fit(rows: DataFrame, head_words: int, vocabulary: int, hidden: int, warm_doc
 
 def score_documents(
     docs: DataFrame, head_words: int = 150_000, vocabulary: int = 1024, hidden: int = 12, warm_docs: int = 300,
-    buffer: int = 2_000_000, folds: int = 5, fold: int = 1, id_col: str = "doc_id", text_col: str = "text",
+    buffer: int = 2_500_000, folds: int = 5, fold: int = 1, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs; see the
     module's text.  ``head_words``, ``vocabulary`` and ``warm_docs`` bound the broadcast and the warm-up; counts,
@@ -514,7 +514,7 @@ def score_documents(
     shared = spark.sparkContext.broadcast(lang)
     scored = stored(
         spark,
-        rows.mapInPandas(_score_task(shared, buffer), "k1 long, k2 long, n_tokens long, n_known long, base double, score double, words array<binary>, times array<int>"),
+        rows.mapInPandas(_score_task(shared, 2 * buffer), "k1 long, k2 long, n_tokens long, n_known long, base double, score double, words array<binary>, times array<int>"),
         "scored",
     )
     # words outside the head: their counts come by a join, once for each word of a document; copies share theirs
