@@ -460,12 +460,12 @@ def its_variables(spark, sf_dir):
 
 
 @query(f"""WITH {ORDERS} SELECT outlet, date_trunc('month', d)::DATE AS year_month, count(*) AS n_articles,
- round(sum(price)::DOUBLE / count(*), 2) AS mean_price FROM o GROUP BY 1, 2""")
+ round(sum(price)::DOUBLE / count(*), 6) AS mean_price FROM o GROUP BY 1, 2""")
 def outlet_month_panel(spark, sf_dir):
     df = orders(spark, sf_dir).withColumn("year_month", F.trunc("d", "month"))
     out = panel.outlet_month_panel(df.withColumn("p", F.col("price")), [], ["outlet", "year_month"], words="p")
     sums = df.groupBy("outlet", "year_month").agg(F.sum("price").alias("s"))
-    return out.join(sums, ["outlet", "year_month"]).select("outlet", "year_month", "n_articles", F.round(F.col("s").cast("double") / F.col("n_articles"), 2).alias("mean_price"))
+    return out.join(sums, ["outlet", "year_month"]).select("outlet", "year_month", "n_articles", F.round(F.col("s").cast("double") / F.col("n_articles"), 6).alias("mean_price"))
 
 
 @query(f"""WITH {ORDERS}, m AS (SELECT outlet, date_trunc('month', d)::DATE AS year_month, topic, count(*) AS n FROM o GROUP BY 1, 2, 3),
