@@ -59,7 +59,7 @@ def flagged(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 FLAGGED = """f AS (SELECT d.doc_id, d.text, d.lang, d.source, l.toxic = 1 AS s, (l.toxic = 1 OR l.quality = 0) AS b
  FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
  g AS (SELECT *, 'strict' AS definition, s AS is_ai FROM f UNION ALL SELECT *, 'broad', b FROM f)"""
-RATE = "count(*) AS total_articles, count_if(is_ai) AS ai_articles, round(count_if(is_ai) * 1.0 / count(*), 6) AS fraction_ai_use"
+RATE = "count(*) AS total_articles, count(*) FILTER (WHERE is_ai) AS ai_articles, round(count(*) FILTER (WHERE is_ai) * 1.0 / count(*), 6) AS fraction_ai_use"
 
 
 @query(f"""WITH {FLAGGED}, h AS (SELECT source AS dataset, lang AS topic, definition, is_ai FROM g
@@ -112,7 +112,7 @@ FEATURES_SQL = r"""w AS (SELECT *, len(regexp_extract_all(text, '[\p{L}\p{N}\p{M
 
 
 @query(f"""WITH {FEATURES_SQL} SELECT doc_id, total_words, em_dash_count, len(q) AS quote_count,
- coalesce(list_sum(list_transform(q, lambda x: len(regexp_extract_all(x, '[\\p{{L}}\\p{{N}}\\p{{M}}_]+')))), 0) AS quote_word_count,
+ coalesce(list_sum(list_transform(q, lambda x: len(regexp_extract_all(x, '[\\p{{L}}\\p{{N}}\\p{{M}}_]+')))), 0)::BIGINT AS quote_word_count,
  round(em_dash_count * 1000.0 / nullif(total_words, 0), 6) AS em_dashes_per_1k_words FROM w""")
 def text_features(spark, sf_dir):
     f = text.text_features("text")
@@ -133,7 +133,7 @@ def feature_desc_by_flag(spark, sf_dir):
 @query(rf"""WITH {FLAGGED}, w AS (SELECT source, s, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}\p{{M}}_]+')) AS x FROM f),
  r AS (SELECT *, rank() OVER (PARTITION BY source ORDER BY x) + (count(*) OVER (PARTITION BY source, x) - 1) / 2.0 AS k,
   count(*) OVER (PARTITION BY source, x) AS t FROM w),
- a AS (SELECT source, count_if(s) AS n1, count_if(NOT s) AS n2, sum(CASE WHEN s THEN k ELSE 0 END) AS r1, sum(t * t - 1) AS tie FROM r GROUP BY 1)
+ a AS (SELECT source, count(*) FILTER (WHERE s) AS n1, count(*) FILTER (WHERE NOT s) AS n2, sum(CASE WHEN s THEN k ELSE 0 END) AS r1, sum(t * t - 1) AS tie FROM r GROUP BY 1)
  SELECT source, n1, n2, CASE WHEN n1 >= 2 AND n2 >= 2 THEN r1 - n1 * (n1 + 1) / 2.0 END AS u, tie::DOUBLE AS tie_term FROM a""")
 def mann_whitney_u(spark, sf_dir):
     df = flagged(spark, sf_dir, "source", "text").withColumn("x", text.unicode_words("text"))
@@ -177,7 +177,7 @@ def junk_flags(spark, sf_dir):
 
 
 @query(r"""WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS v FROM documents),
- a AS (SELECT doc_id, count_if(v <> '') AS n, count_if(regexp_matches(v, '^[\d\-*]')) AS m FROM l GROUP BY 1)
+ a AS (SELECT doc_id, count(*) FILTER (WHERE v <> '') AS n, count(*) FILTER (WHERE regexp_matches(v, '^[\d\-*]')) AS m FROM l GROUP BY 1)
  SELECT d.doc_id, coalesce(n > 5 AND m * 2 > n, false) AS enumeration FROM documents d LEFT JOIN a USING (doc_id)""")
 def enumeration_flag(spark, sf_dir):
     return read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", junk.is_enumeration("text").alias("enumeration"))
@@ -279,14 +279,14 @@ PRED = """p AS (SELECT doc_id, list_distinct(list_filter([lang, CASE WHEN doc_id
  CASE WHEN n_chars % 5 = 0 THEN NULL WHEN n_chars % 2 = 0 THEN 'en' ELSE lang END AS pred FROM documents)"""
 
 
-@query(f"""WITH {PRED} SELECT count(*) AS n, count_if(coalesce(list_contains(gold, pred), false)) AS correct,
+@query(f"""WITH {PRED} SELECT count(*) AS n, count(*) FILTER (WHERE coalesce(list_contains(gold, pred), false)) AS correct,
  round(avg(coalesce(list_contains(gold, pred), false)::INT), 6) AS accuracy FROM p""")
 def any_match_accuracy(spark, sf_dir):
     return topics.any_match_accuracy(predictions(spark, sf_dir), "gold", "pred").withColumn("accuracy", r6("accuracy"))
 
 
 @query(f"""WITH {PRED}, t AS (SELECT doc_id, unnest(gold) AS label FROM p), q AS (SELECT doc_id, pred AS label FROM p WHERE pred IS NOT NULL),
- c AS (SELECT label, count_if(t.doc_id IS NOT NULL AND q.doc_id IS NOT NULL) AS tp, count_if(t.doc_id IS NULL) AS fp, count_if(q.doc_id IS NULL) AS fn
+ c AS (SELECT label, count(*) FILTER (WHERE t.doc_id IS NOT NULL AND q.doc_id IS NOT NULL) AS tp, count(*) FILTER (WHERE t.doc_id IS NULL) AS fp, count(*) FILTER (WHERE q.doc_id IS NULL) AS fn
   FROM t FULL JOIN q USING (doc_id, label) GROUP BY label), u AS (SELECT * FROM c WHERE tp + fn > 0)
  SELECT round(2.0 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) AS micro_f1, round(avg(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0)), 6) AS macro_f1 FROM u""")
 def multilabel_f1(spark, sf_dir):
@@ -330,7 +330,7 @@ def scored_words(spark, sf_dir) -> DataFrame:
     return k.select("key", "upos", "G2", "LPR", "c_H", "c_M")
 
 
-SCORED = f"""{TOKENS}, c AS (SELECT word AS key, count_if(role = 'user') AS c_H, count_if(role = 'assistant') AS c_M FROM k GROUP BY 1),
+SCORED = f"""{TOKENS}, c AS (SELECT word AS key, count(*) FILTER (WHERE role = 'user') AS c_H, count(*) FILTER (WHERE role = 'assistant') AS c_M FROM k GROUP BY 1),
  n AS (SELECT sum(c_H)::DOUBLE AS n1, sum(c_M)::DOUBLE AS n2 FROM c),
  s AS (SELECT key, c_H, c_M, CASE WHEN length(key) <= 3 THEN 'function' ELSE 'content' END AS category,
   round(2 * (CASE WHEN c_H > 0 THEN c_H * ln(c_H / (n1 * (c_H + c_M) / (n1 + n2))) ELSE 0 END + CASE WHEN c_M > 0 THEN c_M * ln(c_M / (n2 * (c_H + c_M) / (n1 + n2))) ELSE 0 END), 6) AS G2,
@@ -359,8 +359,8 @@ def conversation_counts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 
 SHIFT = f"""{SCORED}, p AS (SELECT CASE WHEN conv_id % 2 = 0 THEN 'pre' ELSE 'post' END AS period, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS key FROM conversations),
- t AS (SELECT count_if(period = 'pre')::DOUBLE AS n1, count_if(period = 'post')::DOUBLE AS n2 FROM p),
- pc AS (SELECT key, count_if(period = 'pre') AS pre, count_if(period = 'post') AS post FROM p GROUP BY 1),
+ t AS (SELECT count(*) FILTER (WHERE period = 'pre')::DOUBLE AS n1, count(*) FILTER (WHERE period = 'post')::DOUBLE AS n2 FROM p),
+ pc AS (SELECT key, count(*) FILTER (WHERE period = 'pre') AS pre, count(*) FILTER (WHERE period = 'post') AS post FROM p GROUP BY 1),
  ws AS (SELECT ai.category, ai.method, ai.rank, ai.key, coalesce(pre, 0) AS pre, coalesce(post, 0) AS post, n1, n2 FROM ai LEFT JOIN pc USING (key), t WHERE rank <= 50)"""
 CHI = "(n1 + n2) * ({a} * (n2 - {b}) - {b} * (n1 - {a})) * ({a} * (n2 - {b}) - {b} * (n1 - {a})) / nullif(({a} + {b}) * (n1 + n2 - {a} - {b}) * n1 * n2, 0)"
 
@@ -377,7 +377,7 @@ def _word_stats(spark, sf_dir) -> DataFrame:
 
 
 @query(f"""WITH {SHIFT}, z AS (SELECT category, method, n AS top_n, sum(pre) AS pre, sum(post) AS post, max(n1) AS n1, max(n2) AS n2, count(*) AS n_words,
-  count_if(pre > 0 AND post / n2 > pre / n1) AS n_increasing FROM ws, (SELECT unnest([20, 50]) AS n) x WHERE rank <= n GROUP BY 1, 2, 3)
+  count(*) FILTER (WHERE pre > 0 AND post / n2 > pre / n1) AS n_increasing FROM ws, (SELECT unnest([20, 50]) AS n) x WHERE rank <= n GROUP BY 1, 2, 3)
  SELECT category, method, top_n, pre::BIGINT AS pre, post::BIGINT AS post, n_words, n_increasing, round(coalesce({CHI.format(a='pre', b='post')}, 0), 4) AS chi2 FROM z""")
 def shift_summary(spark, sf_dir):
     out = shift.set_summary(_word_stats(spark, sf_dir), ["scope"], ["category", "method"], [20, 50])
@@ -496,7 +496,7 @@ def cross_outlet_sd(spark, sf_dir):
     return panel.cross_outlet_sd(df, "price", "outlet", "year").withColumn("cross_sd", F.round("cross_sd", 3))
 
 
-@query(f"""WITH {ORDERS}, s AS (SELECT outlet, count_if(d < DATE '{SPLIT}') AS n1, count_if(d >= DATE '{SPLIT}') AS n2,
+@query(f"""WITH {ORDERS}, s AS (SELECT outlet, count(*) FILTER (WHERE d < DATE '{SPLIT}') AS n1, count(*) FILTER (WHERE d >= DATE '{SPLIT}') AS n2,
   avg(price::DOUBLE) FILTER (d < DATE '{SPLIT}') AS m1, avg(price::DOUBLE) FILTER (d >= DATE '{SPLIT}') AS m2,
   var_samp(price::DOUBLE) FILTER (d < DATE '{SPLIT}') AS v1, var_samp(price::DOUBLE) FILTER (d >= DATE '{SPLIT}') AS v2 FROM o GROUP BY 1)
  SELECT outlet, n1, n2, round((m2 - m1) / sqrt(v1 / n1 + v2 / n2), 6) AS t,
@@ -509,7 +509,7 @@ def welch_split(spark, sf_dir):
 
 @query(f"""WITH {ORDERS}, s AS (SELECT outlet, (d < DATE '{SPLIT}') AS pre, (topic = '1-URGENT')::INT AS hit FROM o),
  g AS (SELECT outlet, sum(CASE WHEN pre THEN hit ELSE 0 END)::DOUBLE AS a, sum(CASE WHEN pre THEN 0 ELSE hit END)::DOUBLE AS b,
-  count_if(pre)::DOUBLE AS n1, count_if(NOT pre)::DOUBLE AS n2 FROM s GROUP BY GROUPING SETS ((outlet), ()))
+  count(*) FILTER (WHERE pre)::DOUBLE AS n1, count(*) FILTER (WHERE NOT pre)::DOUBLE AS n2 FROM s GROUP BY GROUPING SETS ((outlet), ()))
  SELECT coalesce(outlet, 'ALL') AS outlet, a::BIGINT AS a, b::BIGINT AS b, round((n1 + n2) * greatest(abs(a * (n2 - b) - b * (n1 - a)) - (n1 + n2) / 2, 0) ** 2
  / ((a + b) * (n1 + n2 - a - b) * n1 * n2), 6) AS chi2 FROM g""")
 def chi2_split_yates(spark, sf_dir):
