@@ -82,13 +82,14 @@ def needed(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
 
 
 def forest_search(
-    first: np.ndarray, counts: np.ndarray, sizes: np.ndarray, places: np.ndarray | None, percent: int, leaf: int = 16, slab: int = 400_000
+    first: np.ndarray, counts: np.ndarray, sizes: np.ndarray, places: np.ndarray | None, percent: int, leaf: int = 16, memory: int = 24_000_000
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidate pairs (i, j), i < j, within blocks: rows first[b] to first[b + 1] - 1, by rising size.
 
     Every block is a packed R-tree of leaves of ``leaf`` points.  ``places`` are the positions of the block's element
-    in the rows' orders, for the positional filter.
+    in the rows' orders, for the positional filter.  ``memory``: bytes of count vectors at a time.
     """
+    slab = max(leaf, memory // (counts.shape[1] * counts.itemsize))
     total = int(first[-1])
     if not total:
         return
@@ -280,7 +281,7 @@ def _verify(n: int, percent: int):
             if counts.max() == 65_535:
                 counts = np.stack([count_vector(s, WIDE) for s in sets])
             links = Links()
-            for x, y in forest_search(np.array([0, len(sets)]), counts, sizes, None, percent, slab=60_000):
+            for x, y in forest_search(np.array([0, len(sets)]), counts, sizes, None, percent):
                 keep = (comp[x] != comp[y]) & ((left[x] & right[y]) | (right[x] & left[y]))
                 for a, b in zip(x[keep].tolist(), y[keep].tolist()):
                     if links.find(int(comp[a])) != links.find(int(comp[b])):
@@ -312,7 +313,7 @@ def _wide_pairs(percent: int):
             g = g.sort_values("n", kind="stable")
             counts = np.frombuffer(b"".join(g["counts"]), np.uint8).reshape(len(g), -1)
             comp, cid, left, right = (g[c].to_numpy() for c in ("comp", "cid", "left", "right"))
-            for x, y in forest_search(np.array([0, len(g)]), counts, g["n"].to_numpy(), None, percent, slab=20_000):
+            for x, y in forest_search(np.array([0, len(g)]), counts, g["n"].to_numpy(), None, percent):
                 keep = (comp[x] != comp[y]) & ((left[x] & right[y]) | (right[x] & left[y])) & (cid[x] != cid[y])
                 x, y = x[keep], y[keep]
                 yield pd.DataFrame({"a": np.minimum(cid[x], cid[y]), "b": np.maximum(cid[x], cid[y])})
