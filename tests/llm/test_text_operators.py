@@ -274,7 +274,7 @@ def test_tree_is_complete():
     base = r.integers(0, 1 << 63, 400).astype(np.uint64)
     sets = sorted((np.unique(np.concatenate((base[: r.integers(60, 400)], r.integers(0, 1 << 63, r.integers(1, 60)).astype(np.uint64)))) for _ in range(150)), key=len)
     counts, sizes = np.stack([np.minimum(count_vector(s), 255).astype(np.uint8) for s in sets]), np.array([len(s) for s in sets])
-    found = {(int(a), int(b)) for x, y in forest_search(np.array([0, 50, 150]), counts, sizes, None, 80, leaf=4, slab=64) for a, b in zip(x, y)}
+    found = {(int(a), int(b)) for x, y in forest_search(np.array([0, 50, 150]), counts, sizes, None, 80, leaf=4, memory=20_000) for a, b in zip(x, y)}
     for lo, hi in ((0, 50), (50, 150)):
         for i in range(lo, hi):
             for j in range(i + 1, hi):
