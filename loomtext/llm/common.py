@@ -35,10 +35,22 @@ def alnum_words(text: str | None) -> list[bytes]:
     return text.encode().translate(_ALNUM).split() if text else []
 
 
+_OWNER: list = ["", None]
+
+
+def claim(name: str, clear=None) -> None:
+    """Python workers outlive tasks: whoever starts to fill a process-wide cache clears that of another operator."""
+    if _OWNER[0] != name:
+        if _OWNER[1] is not None:
+            _OWNER[1]()
+        _OWNER[:] = [name, clear]
+
+
 class WordHasher:
     """64-bit hashes of words, equal in every process; the cache is emptied at ``limit`` entries."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 250_000):
+        claim("words")
         self.limit, self.cache = limit, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:

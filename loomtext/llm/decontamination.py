@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _ALNUM, alnum_words, bounded_batches
+from .common import _ALNUM, alnum_words, bounded_batches, claim
 
 HITS = "doc_id long, n_words long, spans array<struct<start:int,stop:int>>, items array<long>"
 
@@ -233,6 +233,7 @@ def _apply(df: DataFrame, block: list[tuple[int, str]], window: int, id_col: str
     span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches):
+        claim("benchmark")
         automaton = Automaton([(i, alnum_words(t)) for i, t in block], window)
         for batch in batches:
             texts = batch.column(columns.index(text_col)).to_pylist()

@@ -147,7 +147,7 @@ def _describe(n: int, report: int):
                 held.append(s)
                 total += len(s)
             yield pd.DataFrame(rows, columns=["kind", "k1", "k2", "cid", "n", "counts"])
-            if total > 3_000_000:
+            if total > 2_000_000:
                 yield _frequent(held, report)
                 held, total = [], 0
         if held:

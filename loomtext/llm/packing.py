@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, claim
 
 PIECES = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, "
@@ -76,6 +76,7 @@ class ChunkTokenizer:
     @classmethod
     def of(cls, path: str) -> ChunkTokenizer:
         """One for each process: Python workers serve many tasks."""
+        claim("tokens", _TOKENIZERS.clear)
         if path not in _TOKENIZERS:
             _TOKENIZERS[path] = cls(path)
         return _TOKENIZERS[path]

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, claim
 
 STEP = 4  # bytes
 CELL = 16  # positions pooled first
@@ -222,6 +222,7 @@ def score_quality(docs: DataFrame, net: ByteCNN | None, share: float, id_col: st
     params = net.p if net is not None else None
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        claim("quality")
         model = ByteCNN.__new__(ByteCNN)
         model.p = params
         for texts in batches:
