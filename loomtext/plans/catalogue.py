@@ -539,13 +539,13 @@ def composite_score(spark, sf_dir):
     return panel.composite(x, ["p", "q"], "outlet", {"p": 1, "q": -1}).select("o_orderkey", F.round("composite", 5).alias("composite"))
 
 
-@query("""WITH h AS (SELECT event_type, date_trunc('day', ts)::DATE AS period, count(*) AS n, sum(value::DECIMAL(18,2))::DOUBLE AS s FROM events WHERE user_id % 10 = 3 GROUP BY 1, 2),
- r AS (SELECT event_type, min(period) AS a, max(period) AS b FROM h GROUP BY 1),
- g AS (SELECT event_type, unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS period FROM r)
- SELECT event_type, period, coalesce(n, 0) AS n_articles FROM g LEFT JOIN h USING (event_type, period)""")
+@query("""WITH h AS (SELECT event_type, user_id, date_trunc('day', ts)::DATE AS period, count(*) AS n FROM events GROUP BY 1, 2, 3),
+ r AS (SELECT event_type, user_id, min(period) AS a, max(period) AS b FROM h GROUP BY 1, 2),
+ g AS (SELECT event_type, user_id, unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS period FROM r)
+ SELECT event_type, user_id, period, coalesce(n, 0) AS n_articles FROM g LEFT JOIN h USING (event_type, user_id, period)""")
 def gap_filled_timeline(spark, sf_dir):
-    e = read(spark, sf_dir, "events", "event_type", "ts", "user_id").where("user_id % 10 = 3")
-    return panel.timeline(e, ["event_type"], "ts", "day").select("event_type", "period", "n_articles")
+    e = read(spark, sf_dir, "events", "event_type", "ts", "user_id")
+    return panel.timeline(e, ["event_type", "user_id"], "ts", "day").select("event_type", "user_id", "period", "n_articles")
 
 
 @query(f"""WITH {ORDERS}, b AS (SELECT outlet, avg(price::DOUBLE) AS base FROM o WHERE d < DATE '{SPLIT}' GROUP BY 1),
