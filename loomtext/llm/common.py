@@ -49,7 +49,7 @@ def claim(name: str, clear=None) -> None:
 class WordHasher:
     """64-bit hashes of words, equal in every process; the cache is emptied at ``limit`` entries."""
 
-    def __init__(self, limit: int = 250_000):
+    def __init__(self, limit: int = 150_000):
         claim("words")
         self.limit, self.cache = limit, {}
 

@@ -21,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -213,20 +212,26 @@ def find_contamination(
     ``keep_text`` keeps all columns of docs and adds n_words, spans and items to them (one block only needs one
     pass; further blocks are applied to what the blocks before returned, merging spans and items in place).
     """
-    out = None
-    for block in _blocks(benchmark, "item_id", "text", block_words) or ():
-        out = _apply(docs if out is None else out, block, window, id_col, text_col, first=out is None)
-    if out is None:
-        out = _apply(docs, [], window, id_col, text_col, first=True)
+    out = _passes(docs, benchmark, window, block_words, id_col, text_col, None)
     return out if keep_text else out.select(F.col(id_col).cast("long").alias("doc_id"), *(F.col(c).alias(c[2:]) for c in ADDED))
 
 
+def _passes(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, id_col: str, text_col: str, max_span: int | None) -> DataFrame:
+    """One pass over docs for each block of items; the last one cuts spans of more than max_span words."""
+    out, waiting = docs, None
+    for block in _blocks(benchmark, "item_id", "text", block_words):
+        if waiting is not None:
+            out = _apply(out, waiting, window, id_col, text_col, out is docs, None)
+        waiting = block
+    return _apply(out, waiting or [], window, id_col, text_col, out is docs, max_span)
+
+
 #: Columns that _apply adds; the prefix keeps them apart from any column of documents.
 ADDED = ("__n_words", "__spans", "__items")
 _TYPES = "__n_words long, __spans array<struct<start:int,stop:int>>, __items array<long>"
 
 
-def _apply(df: DataFrame, block: list[tuple[int, str]], window: int, id_col: str, text_col: str, first: bool) -> DataFrame:
+def _apply(df: DataFrame, block: list[tuple[int, str]], window: int, id_col: str, text_col: str, first: bool, max_span: int | None) -> DataFrame:
     import pyarrow as pa
 
     columns = [c for c in df.columns if c not in ADDED]
@@ -236,7 +241,8 @@ def _apply(df: DataFrame, block: list[tuple[int, str]], window: int, id_col: str
         claim("benchmark")
         automaton = Automaton([(i, alnum_words(t)) for i, t in block], window)
         for batch in batches:
-            texts = batch.column(columns.index(text_col)).to_pylist()
+            own = columns.index(text_col)
+            texts = batch.column(own).to_pylist()
             counts, spans, items = [], [], []
             before = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ADDED] if not first else None
             for r, text in enumerate(texts):
@@ -248,8 +254,11 @@ def _apply(df: DataFrame, block: list[tuple[int, str]], window: int, id_col: str
                 counts.append(len(words))
                 spans.append([{"start": a, "stop": b} for a, b in got])
                 items.append(sorted(found))
+            kept = [batch.column(k) for k in range(len(columns))]
+            if max_span is not None and any(spans):
+                kept[own] = pa.array([_cut(t, s, max_span) if s else t for t, s in zip(texts, spans)], kept[own].type)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in range(len(columns))), pa.array(counts, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.int64()))],
+                [*kept, pa.array(counts, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.int64()))],
                 names=[*columns, *ADDED],
             )
 
@@ -287,13 +296,10 @@ def decontaminate(
     A document whose hit words are more than ``max_coverage`` of its words goes.  Other columns stay as they are,
     except n_chars, which follows the new text where the table has it.
     """
-    found = find_contamination(docs, benchmark, window, id_col=id_col, text_col=text_col, keep_text=True)
+    found = _passes(docs, benchmark, window, 100_000, id_col, text_col, max_span)
     hit = F.aggregate("__spans", F.lit(0), lambda a, s: a + s["stop"] - s["start"])
-    found = found.where(~(hit > F.lit(max_coverage) * F.col("__n_words")))
-    cut = F.pandas_udf(lambda t, s: pd.Series([_cut(a, b, max_span) for a, b in zip(t, s)], dtype=object), "string")
+    out = found.where(~(hit > F.lit(max_coverage) * F.col("__n_words")))
     changed = F.exists("__spans", lambda s: s["stop"] - s["start"] > max_span)
-    text = F.when(changed, cut(F.when(changed, F.col(text_col)), "__spans")).otherwise(F.col(text_col))
-    out = found.withColumn(text_col, text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
@@ -305,7 +311,7 @@ def _cut(text: str | None, spans, max_span: int) -> str | None:
     raw = text.encode()
     at = word_offsets(raw)
     out, pos = [], 0
-    for s in spans if spans is not None else ():
+    for s in spans:
         if s["stop"] - s["start"] > max_span:
             out.append(raw[pos : at[s["start"]][0]])
             pos = at[s["stop"] - 1][1]

@@ -82,7 +82,7 @@ def needed(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
 
 
 def forest_search(
-    first: np.ndarray, counts: np.ndarray, sizes: np.ndarray, places: np.ndarray | None, percent: int, leaf: int = 16, memory: int = 24_000_000
+    first: np.ndarray, counts: np.ndarray, sizes: np.ndarray, places: np.ndarray | None, percent: int, leaf: int = 16, memory: int = 16_000_000
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidate pairs (i, j), i < j, within blocks: rows first[b] to first[b + 1] - 1, by rising size.
 
@@ -147,7 +147,7 @@ def _describe(n: int, report: int):
                 held.append(s)
                 total += len(s)
             yield pd.DataFrame(rows, columns=["kind", "k1", "k2", "cid", "n", "counts"])
-            if total > 2_000_000:
+            if total > 1_000_000:
                 yield _frequent(held, report)
                 held, total = [], 0
         if held:
@@ -188,7 +188,7 @@ def _prefixes(n: int, percent: int, hot: np.ndarray, hot_n: np.ndarray):
                 cid = class_id(s)
                 if not cid or cid in seen:
                     continue
-                if len(seen) < 1_000_000:  # a set seen again only adds rows that the block drops
+                if len(seen) < 200_000:  # a set seen again only adds rows that the block drops
                     seen.add(cid)
                 freq = np.zeros(len(s), np.int64)
                 if len(hot):

@@ -64,7 +64,7 @@ class ChunkTokenizer:
     The cache has two generations of at most ``limit`` runs; the older is dropped when the younger is full.
     """
 
-    def __init__(self, path: str, limit: int = 300_000, longest: int = 48):
+    def __init__(self, path: str, limit: int = 200_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -251,7 +251,7 @@ def pack_documents(
     context: int = 2048,
     tiers: tuple[int, ...] = (256, 512, 1024, 2048),
     step_tokens: int = 16_384,
-    buffer_tokens: int = 3_000_000,
+    buffer_tokens: int = 1_500_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
