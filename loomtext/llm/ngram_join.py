@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blocks import grouped, split_blocks, stream_groups, whole_groups
-from .common import WordHasher, bounded_batches, connected_components, discard, frequency_threshold, gram_hashes, key_id, keyed, lower_space_words, mix, signed, stored
+from .common import WordHasher, bounded_batches, connected_components, discard, frequency_threshold, gram_hashes, key_id, keyed, lower_space_words, mix, signed, sized, stored
 
 GROUPS = 256
 #: A saturated count stands for any larger one.
@@ -355,7 +355,7 @@ class Clusters:
             few = two.select("cluster", "comp", F.explode(F.array_distinct(F.array("x", "y"))).alias("cid"))
             few = few.join(few.groupBy("cluster").agg(F.ceil(F.count("*") / self.size).alias("p")), "cluster")
             few = few.withColumn("_i", F.pmod(F.xxhash64(F.lit(1), "cid"), "p").cast("int")).withColumns({"_j": F.col("_i"), "left": yes, "right": yes})
-            links = links.unionAll(self._links(few.join(content, ["cluster", "cid"]), "few-links"))
+            links = links.unionAll(self._links(content.join(sized(self.spark, few, "few"), ["cluster", "cid"]), "few-links"))
             placed = stored(self.spark, self._placed(links), "placed")
             sizes = placed.groupBy("cluster", "comp").agg(F.count("*").alias("m"))
             largest = sizes.groupBy("cluster").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all"))
@@ -377,7 +377,8 @@ class Clusters:
                 dealt.select("a", "_i", F.col("b").alias("cid"), no.alias("left"), yes.alias("right"))
             )
             own = placed.select("cid", "comp")
-            rest = sides.join(own, "cid").join(content.select("cid", "text"), "cid").select("*", F.col("a").alias("cluster"), F.col("_i").alias("_j"))
+            sides = sized(self.spark, sides.join(own, "cid"), "sides")
+            rest = content.select("cid", "text").join(sides, "cid").select("*", F.col("a").alias("cluster"), F.col("_i").alias("_j"))
             links = links.unionAll(self._links(rest, "rest-links"))
         return connected_components(self.spark, links, "ngram-cc")
 
@@ -413,7 +414,7 @@ def ngram_components(rows: DataFrame, n: int, percent: int, report: int, order_l
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("m")).where(F.col("m") > cluster_rows)
     parts = F.coalesce(F.ceil(F.col("m") / cluster_rows).cast("int"), F.lit(1))
     members = clusters.join(sizes, "cluster", "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts").cast("long")).cast("int"))
-    members = stored(spark, members.join(classes.select("cid", "one.*"), "cid").select("k1", "k2", "cid", "cluster", "part", "parts"), "members")
+    members = sized(spark, members.join(classes.select("cid", "one.*"), "cid").select("k1", "k2", "cid", "cluster", "part", "parts"), "members")
     texts = stored(spark, rows.join(members, ["k1", "k2"]).select("cluster", "cid", "part", "parts", "text"), "texts")
     return docs, Clusters(texts, n, percent, cluster_rows).components()
 
