@@ -395,3 +395,14 @@ def test_training_beats_unigrams(spark):
     rows = [(i, " ".join(("a%d b%d" % (k % 5, k % 5)) for k in range(i % 7, i % 7 + 40)), "en", "s", 1) for i in range(200)]
     out = score_documents(data.frame(spark, rows), warm_docs=100).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert out[0] > out[1] * 0.9
+
+
+def test_full_size_network(spark, docs, monkeypatch):
+    """Without options, scoring runs on the network of the README: 16 hidden units, 32 tail classes."""
+    from loomtext.llm import lm_scoring as L
+
+    fitted, fit = [], L.fit
+    monkeypatch.setattr(L, "fit", lambda *a: fitted.append(fit(*a)) or fitted[-1])
+    L.score_documents(docs, warm_docs=5)
+    lang = fitted[0][0]
+    assert lang.params["u"].shape == (16, 48) and lang.vocab.tail_classes == len(lang.tail_tokens) == 32
