@@ -118,12 +118,13 @@ def _compare(window: int):
                 open_[k] -= m.sum()
             runs = np.array(out, np.int64).reshape(-1, 3)
             yield pd.DataFrame({"kind": 0, "w": 0, "k1": k1[runs[:, 0]], "k2": k2[runs[:, 0]], "lo": runs[:, 1].astype(np.int32), "hi": runs[:, 2].astype(np.int32)})
-            # neighbours settle an array of two; else a window may be shared with a suffix further off
+            # neighbours settle an array of two; else a window may be shared with a suffix further off, and in a
+            # salted array with one of another part, open or not: all of its windows are compared
             first = np.concatenate(([0], edge))
             size = np.diff(np.concatenate((first, [n])))
             group = np.repeat(np.arange(len(first)), size)
             unsettled = np.bincount(group, (open_ > 0) & (copies == 1), len(first)) > 0
-            rows = np.flatnonzero((unsettled & ((size > 2) | salted[first]))[group])
+            rows = np.flatnonzero(((unsettled & (size > 2)) | salted[first])[group])
             if len(rows):
                 many = hi[rows].astype(np.int64) - lo[rows] + 1
                 own = np.repeat(rows, many)

@@ -231,6 +231,20 @@ def test_repeat_edges(spark):
         assert {r.doc_id: r.n_removed for r in find_repeats(df, window=window, array_rows=4).collect()} == want
 
 
+def test_repeats_across_salted_parts(spark):
+    """A single text and a class of copies that share a passage, dealt into different parts of one array."""
+    from loomtext.llm.suffix_dedup import find_repeats
+
+    rows = []
+    for i in range(12):
+        shared = data.prose(53, f"shared{i}")
+        single, copied = (" ".join([data.prose(30, f"a{i}{x}"), shared, data.prose(30, f"b{i}{x}")]) for x in "xy")
+        rows += [(3 * i, single, "en", "s", 1), (3 * i + 1, copied, "en", "s", 1), (3 * i + 2, copied, "en", "s", 1)]
+    want = {i: sum(g) for (i, *_), (_, g) in zip(rows, data.repeated([t for _, t, *_ in rows], 50))}
+    assert all(want[3 * i] == 53 for i in range(12))
+    assert {r.doc_id: r.n_removed for r in find_repeats(data.frame(spark, rows), array_rows=1).collect()} == want
+
+
 def test_cut_stage(spark, docs):
     from loomtext.llm.substring_dedup import cut_repeats
 
