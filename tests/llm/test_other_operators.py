@@ -64,6 +64,22 @@ def test_html(spark):
     assert extract_main_text(df.limit(0)).count() == 0
 
 
+def test_html_common_text(spark):
+    """Text that all articles of a host share stays in a named article; without one, fixed text is told over the
+    whole host, whatever the size of the groups."""
+    from loomtext.llm.html_extract import extract_main_text
+
+    series = [(i, f"http://series.example/{i}", page("t", f"<article><h2>Summary</h2><p>{data.prose(9, i)}</p><p>By a reporter</p></article>")) for i in range(20)]
+    lead = lambda i: "" if i in (3, 14) else "<p>In this series</p>"
+    plain = [(100 + i, f"http://plain.example/{i}", page("t", f"<div class='post'>{lead(i)}<p>{data.prose(40, i)}</p><p>Fixed line</p></div>")) for i in range(20)]
+    df = spark.createDataFrame(series + plain, "page_id long, url string, html string")
+    for group_pages in (48, 10, 2):
+        got = {r.page_id: r.text for r in extract_main_text(df, group_pages=group_pages).collect()}
+        for i in range(20):
+            assert got[i] == f"Summary\n{data.prose(9, i)}\nBy a reporter"
+            assert got[100 + i] == ("In this series\n" if lead(i) else "") + data.prose(40, i)
+
+
 def test_components(spark):
     from loomtext.llm.common import connected_components
 
