@@ -80,6 +80,16 @@ def test_html_common_text(spark):
             assert got[100 + i] == ("In this series\n" if lead(i) else "") + data.prose(40, i)
 
 
+def test_html_slot_holds_varying_text(spark):
+    """A long block that is the same on all pages and has no telling name is not the article."""
+    from loomtext.llm.html_extract import extract_main_text
+
+    terms = data.prose(300, "terms")
+    rows = [(i, f"http://terms.example/{i}", page("t", f"<div class='upper'><p>{terms}</p></div><div class='lower'><p>{data.prose(40, i)}</p></div>")) for i in range(12)]
+    out = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in out} == {i: data.prose(40, i) for i in range(12)}
+
+
 def test_components(spark):
     from loomtext.llm.common import connected_components
 
