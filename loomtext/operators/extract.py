@@ -38,28 +38,35 @@ _LOW = "a-zäëïöüáéíóúàèìòù"
 
 
 def split_dump(df: DataFrame, text: str = "value") -> DataFrame:
-    """One row per document of a whole-text dump: ordinal, chunk.  Table-of-contents lines go; chunks need the word
-    Body and three lines."""
-    chunks = df.select(F.posexplode(F.split(F.col(text), "End of Document")).alias("ordinal", "chunk"))
+    """One row per document of a whole-text dump: its other columns, ordinal, chunk.  Table-of-contents lines go; chunks
+    need the word Body and three lines."""
+    others = [F.col(f"`{k}`") for k in df.columns if k != text]
+    chunks = df.select(*others, F.posexplode(F.split(F.col(text), "End of Document")).alias("ordinal", "chunk"))
     chunk = strip(F.regexp_replace("chunk", r"(?m)^\d+\.\s+.*$", ""))
     lines = F.filter(F.split("chunk", "\n"), lambda x: F.trim(x) != "")
     return chunks.withColumn("chunk", chunk).where(F.col("chunk").contains("Body") & (F.size(lines) >= 3))
 
 
+#: The marks of a dump's fields.  The highlight ends before a line that begins with Body, the body begins
+#: at the first Body that white space follows.
+FIELDS = {
+    "author": r"(?dU)Byline:\s*(.*?)(?:\n|\z)",
+    "section": r"(?dU)Section:\s*(.*?)(?:;|$)",
+    "highlight": r"(?dsU)Highlight:\s*(.*?)(?=\n\s*Body|\z)",
+    "full_text": r"(?dsU)Body\s+(.*?)(?=Load-Date:|\z)",
+}
+
+
 def extract_fields(df: DataFrame, source: str, chunk: str = "chunk") -> DataFrame:
     """Title, date, section, author, highlight and body of each chunk; absent fields are empty."""
     x = F.col(chunk)
-    lines = F.transform(F.filter(F.split(x, "\n"), lambda v: F.trim(v) != ""), F.trim)
-    field = lambda pattern: F.trim(F.regexp_extract(x, pattern, 1))
+    lines = F.filter(F.transform(F.split(x, "\n"), strip), lambda v: v != "")
     return df.select(
         *[k for k in df.columns if k != chunk],
-        F.trim(F.split(F.get(lines, F.lit(0)), ";")[0]).alias("title"),
+        strip(F.split(F.get(lines, F.lit(0)), ";")[0]).alias("title"),
         F.lit(source).alias("source"),
         F.coalesce(F.get(lines, F.lit(2)), F.lit("")).alias("date"),
-        field(r"(?d)Byline:\s*(.*)").alias("author"),
-        field(r"(?d)Section:\s*(.*?)(?:;|$|\n)").alias("section"),
-        field(r"(?s)Highlight:\s*(.*?)\s*Body").alias("highlight"),
-        field(r"(?s)Body\s*(.*?)\s*(?:Load-Date:|\z)").alias("full_text"),
+        *[F.regexp_extract(x, pattern, 1).alias(name) for name, pattern in FIELDS.items()],
     )
 
 
@@ -112,6 +119,7 @@ def _two_names(entry: Column) -> Column:
 
 
 def _clean_name(x: Column) -> Column:
+    """One name: its dashes, brackets, keywords, e-mail address and number go."""
     keys = _any(AUTHOR_KEYWORDS)
     x = F.regexp_replace(strip(x), r"^[- ]+", "")
     x = F.regexp_replace(x, r"\(.*?\)", "")
@@ -143,8 +151,8 @@ def strip_cap_start(x: Column) -> Column:
     return strip(let(x, lambda t: F.regexp_replace(t, F.when(t.rlike(sep), sep).otherwise(space), F.lit(""))))
 
 
+#: Layout rests in the order in which they go, as (pattern, replacement), here and in the lists below.
 _INNER_HEADER = (r"\n\n[^\n]{2,45}(?<![.!?])\n\n", "\n\n")
-#: Ordered (pattern, replacement) steps.
 BASE_STEPS = [
     (r"(?isu)Bekijk de oorspronkelijke pagina:\s*pagina\s*\d+.*\z", ""),
     (r"Link naar PDF", ""),
@@ -177,6 +185,8 @@ _ED_STEPS = [
     _INNER_HEADER,
 ]
 _COLLAPSE = [(r"\n{3,}", "\n\n")]
+_SHORT_START = r"\A[a-zà-ÿ][^\n]{0,38}\n\n"
+_FROM_START = r"(?idu)\AUit het\s+.*?\n\n"
 
 
 def fold(x: Column, steps: list[tuple[str, str]]) -> Column:
@@ -208,7 +218,7 @@ def clean_ed(x: Column | str, authors: Column | str) -> Column:
 
 def clean_dvhn(x: Column | str, authors: Column | str) -> Column:
     x = _without_author(clean_base(x), c(authors), r"(?iu)\A{}\s*\n\n")
-    x = F.regexp_replace(strip_place(x), r"\A[a-zà-ÿ][^\n]{0,38}\n\n", "")
+    x = F.regexp_replace(strip_place(x), _SHORT_START, "")
     return strip(fold(x, _COLLAPSE))
 
 
@@ -217,7 +227,7 @@ def clean_stc(x: Column | str) -> Column:
 
 
 def clean_nof(x: Column | str) -> Column:
-    x = F.regexp_replace(clean_base(x), r"(?idu)\AUit het\s+.*?\n\n", "")
+    x = F.regexp_replace(clean_base(x), _FROM_START, "")
     return strip(fold(strip_place(x), _COLLAPSE))
 
 

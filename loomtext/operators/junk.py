@@ -15,10 +15,12 @@ RECIPE_WORDS = [
     "eetlepel", "theelepel", "bakplaat", "koekenpan", "scheutje", "garneer", "bereiding", "strooi", "verhit", "braad",
     "gram", "ml ",
 ]
+#: A line of ingredients.
 INGREDIENT = r"(?m)^\s*\d+(?:[.,]\d+)?\s*(?:gram|gr|ml|liter|el|tl|eetlepel|theelepel|stuks?|teentjes?|snufje)\s+[a-z]+"
 #: Agenda cues.
 AGENDA_TITLES = ["agenda", "uitagenda", "evenementen", "wat is er te doen", "weekend", "tips"]
 AGENDA_WORDS = ["opg.", "entree", "excursie", "stadswandeling", "aanmelden via", "organist; klassiek", "o.l.v."]
+#: A span of times, a time.
 TIME_BLOCK = r"(?U)\b\d{1,2}[:.]\d{2}\s*-\s*\d{1,2}[:.]\d{2}\b"
 TIME = r"(?U)\b\d{1,2}[:.]\d{2}\b"
 #: Other titles and starts.
