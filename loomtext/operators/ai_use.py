@@ -131,9 +131,23 @@ def stack_features(df: DataFrame, features: list[str] = FEATURES) -> DataFrame:
 
 
 def describe_by_flag(df: DataFrame, by: list[str], features: list[str] = FEATURES) -> DataFrame:
-    """n, mean and exact median of each feature per flag."""
-    aggs = [x for f in features for x in (F.count(f).alias(f"n_{f}"), F.avg(f).alias(f"mean_{f}"), F.percentile(F.col(f), F.lit(0.5)).alias(f"median_{f}"))]
-    return df.groupBy(*by).agg(*aggs)
+    """n, mean and exact median of each feature per flag.
+
+    Equal values are counted first and the counts cumulated, so a group's window holds its different values, sorted and
+    spilled by Spark, and no task gathers a group's rows."""
+    per = stack_features(df.select(*by, *features), features).where("value is not null").groupBy(*by, "metric", "value").agg(F.count("*").alias("t"))
+    w = Window.partitionBy(*by, "metric")
+    per = per.withColumns({"upto": F.sum("t").over(w.orderBy("value")), "n": F.sum("t").over(w)})
+    low = F.min(F.when(F.col("upto") >= F.floor((F.col("n") + 1) / 2), F.col("value")))
+    high = F.min(F.when(F.col("upto") >= F.floor(F.col("n") / 2) + 1, F.col("value")))
+    stats = per.groupBy(*by, "metric").agg(F.max("n").alias("n"), (F.sum(F.col("value") * F.col("t")) / F.max("n")).alias("mean"), ((low + high) / 2).alias("median"))
+    pick = lambda m, f: F.max(F.when(F.col("metric") == f, F.col(m)))
+    cells = [x for f in features for x in (F.coalesce(pick("n", f), F.lit(0)).alias(f"n_{f}"), pick("mean", f).alias(f"mean_{f}"), pick("median", f).alias(f"median_{f}"))]
+    groups = df.select(*by).distinct()  # a group without any value has a row too
+    found = stats.groupBy(*by).agg(*cells)
+    same = [groups[k].eqNullSafe(found[k]) for k in by]
+    out = groups.join(found, same, "left") if by else found
+    return out.select(*[groups[k] for k in by], *[F.coalesce(c, F.lit(0)).alias(c) if c.startswith("n_") else c for c in found.columns if c not in by])
 
 
 def rank_tests(df: DataFrame, by: list[str], flag: str, features: list[str] = FEATURES) -> DataFrame:

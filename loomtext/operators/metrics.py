@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.text import c, let
+from ..functions.text import c, let, word_count
 
 #: Part-of-speech sets, suffixes, category lemmas and thresholds.
 CONTENT = ["NOUN", "VERB", "ADJ", "ADV"]
@@ -151,11 +151,15 @@ def zipf_lexicon(counts: DataFrame, lemma: str = "lemma", count: str = "frequenc
     return kept.select("lemma", z.alias("zipf"))
 
 
-def lexical_sophistication(df: DataFrame, key: str, lemmas: str, lexicon: DataFrame, low: float = LOW_ZIPF, high: float = HIGH_ZIPF) -> DataFrame:
+def lexical_sophistication(df: DataFrame, key: str, lemmas: str, lexicon: DataFrame, low: float = LOW_ZIPF, high: float = HIGH_ZIPF, broadcast_rows: int = 500_000) -> DataFrame:
     """Shares of rare and common content words and the mean Zipf value of known ones, per key.
 
-    Words are counted per article before the join, so the join sees distinct words.
+    Words are counted per article before the join, so the join sees distinct words.  A lexicon of at most
+    ``broadcast_rows`` rows is broadcast, so that common words, a row for each article, meet in no task; a larger one
+    is joined by a shuffle, whose large keys Spark splits.
     """
+    if lexicon.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        lexicon = F.broadcast(lexicon)
     each = df.select(key, F.explode(lemmas).alias("lemma")).groupBy(key, "lemma").agg(F.count("*").alias("t"))
     z = F.coalesce("zipf", F.lit(UNSEEN_ZIPF))
     n = F.sum("t")
@@ -166,8 +170,15 @@ def lexical_sophistication(df: DataFrame, key: str, lemmas: str, lexicon: DataFr
     )
 
 
-def article_metrics(df: DataFrame, parse: str = "parsed_sentences", lexicon: DataFrame | None = None, key: str = "article_id", categories: dict[str, list[str]] = CATEGORIES) -> DataFrame:
-    """All metrics of each article; articles without words have totals of 0 and null metrics."""
+def article_metrics(
+    df: DataFrame, parse: str = "parsed_sentences", lexicon: DataFrame | None = None, key: str = "article_id",
+    categories: dict[str, list[str]] = CATEGORIES, title: str | None = None, text: Column | None = None, digits: int | None = None,
+) -> DataFrame:
+    """All metrics of each article; articles without words have totals of 0 and null metrics.
+
+    With ``title`` also word_count_title, with ``text`` (the text that was parsed) also char_count.  ``digits``: rounds
+    all metrics."""
+    before = set(df.columns)
     p = F.filter(F.coalesce(F.col(parse), F.array().cast(PARSE)), lambda s: F.size(s) > 0)
     df = df.withColumn("__p", p)
     lengths = sentence_lengths("__p")
@@ -183,8 +194,21 @@ def article_metrics(df: DataFrame, parse: str = "parsed_sentences", lexicon: Dat
     if lexicon is not None:
         soph = lexical_sophistication(df.withColumn("__l", content_lemmas("__p")), key, "__l", lexicon)
         df = df.join(soph, key, "left")
+    if digits is not None:
+        df = df.withColumns({c: F.round(c, digits) for c, kind in df.dtypes if c not in before and kind == "double"})
+    if title is not None:
+        df = df.withColumn("word_count_title", word_count(title))
+    if text is not None:
+        df = df.withColumn("char_count", F.coalesce(F.length(text), F.lit(0)))
     return df.drop("__p")
 
 
+def metric_summary(df: DataFrame, metrics: list[str]) -> DataFrame:
+    """metric, n and mean of each metric over all articles, in one pass."""
+    one = df.agg(*[x for m in metrics for x in (F.count(m).alias(f"n_{m}"), F.avg(m).alias(f"m_{m}"))])
+    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"n_{m}").alias("n"), F.col(f"m_{m}").alias("mean")) for m in metrics])
+    return one.select(F.explode(cells).alias("x")).select("x.*")
+
+
 def _is_upos(u: str):
     return lambda t: F.coalesce(t["upos"] == u, F.lit(False))

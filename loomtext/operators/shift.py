@@ -79,10 +79,9 @@ def token_counts(articles: DataFrame, keys: DataFrame | None, paper: str = "sour
     listed = articles.where(F.col(period).isNotNull()).select(paper, period, F.transform(F.filter(F.flatten(parse), good), key).alias("k"))
     totals = listed.groupBy(paper, period).agg(F.sum(F.size("k")).alias("total"))
     each = listed.select(paper, period, F.explode("k").alias("key"))
-    counts = each.groupBy(paper, period, "key").agg(F.count("*").alias("n"))
-    if keys is not None:
-        counts = counts.join(keys.select("key").distinct(), "key", "left_semi")
-    return counts, totals
+    if keys is not None:  # before counting: no other key is shuffled
+        each = each.join(keys.select("key").distinct(), "key", "left_semi")
+    return each.groupBy(paper, period, "key").agg(F.count("*").alias("n")), totals
 
 
 def roll_up(df: DataFrame, value: str, by: list[str], paper: str = "source", group: str = "group") -> DataFrame:
@@ -123,6 +122,12 @@ def set_summary(stats: DataFrame, scope: list[str], by: list[str], top: list[int
     })
 
 
+def above_baseline(summary: DataFrame, scope: list[str], method: str = "method", baseline: str = "baseline") -> DataFrame:
+    """summary with whether each list's rate rose more than that of the baseline words of its category and size."""
+    base = summary.where(F.col(method) == baseline).select(*scope, "category", "top_n", F.col("set_change").alias("baseline_change"))
+    return summary.join(base, [*scope, "category", "top_n"], "left").withColumn("above_baseline", F.col("set_change") > F.col("baseline_change"))
+
+
 def with_tests(summary: DataFrame, within: list[str]) -> DataFrame:
     """p-values, BH-adjusted within the scope, and stars."""
     df = summary.withColumn("p_value", chi2_p("chi2"))

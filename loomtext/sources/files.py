@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import discard, stored, there
 from . import schemas
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -104,22 +105,46 @@ def read_frequency_list(spark: SparkSession, path: str) -> DataFrame:
     return frequency_list(spark.read.option("sep", "\t").option("quote", "").csv(path))
 
 
+#: Any bytes are valid in the second, so no third is ever reached (and Spark knows no cp1252).
+ENCODINGS = ("UTF-8", "ISO-8859-1")
+SEPARATORS = ("\t", ",", ";")
+
+
 def read_delimited(spark: SparkSession, path: str, minimum: int = 100) -> DataFrame:
-    """A delimited table of unknown encoding and separator: tried in turn on the first line, longer rows cut, shorter
-    ones dropped; too few rows are an error."""
-    for encoding in ("UTF-8", "ISO-8859-1", "windows-1252"):
-        head = spark.read.option("encoding", encoding).csv(path, sep="\x01").limit(1).collect()
-        line = head[0][0] if head else ""
-        if line and "�" not in line:
-            break
-    sep = next((s for s in ("\t", ",", ";") if line and s in line), "\t")
-    names = [n.strip().strip('"').lstrip("﻿") for n in (line or "").split(sep)]
-    raw = spark.read.option("encoding", encoding).option("sep", sep).option("header", True).option("mode", "PERMISSIVE")
-    df = raw.schema(", ".join(f"`{n}` string" for n in [*names, "__bad"])).option("columnNameOfCorruptRecord", "__bad").csv(path)
-    full = df.where(F.col(names[-1]).isNotNull()).select(*names)
-    if len(full.take(minimum)) < minimum:
-        raise ValueError(f"{path}: fewer than {minimum} rows")
-    return full
+    """A delimited table of unknown encoding and separator, all columns strings.
+
+    First strategy, for each encoding: lines are cut at the separator that the header holds (tab before comma before
+    semicolon), cells lose their quotes, longer rows are cut and shorter ones dropped.  Second, for each encoding and
+    separator: Spark's reader without quoting, at least two columns.  Whatever first gives ``minimum`` rows is taken;
+    nothing is an error.
+    """
+    for encoding in ENCODINGS:
+        lines = spark.read.option("encoding", encoding).option("quote", "").schema("value string").csv(path, sep="\x01")
+        head = lines.limit(1).collect()
+        line = head[0].value if head else None
+        if not line or "\ufffd" in line:
+            continue
+        sep = next((s for s in SEPARATORS if s in line), "\t")
+        bare = lambda x: F.regexp_replace(F.trim(x), r"^[\"']+|[\"']+$", "")
+        names = [n.strip().strip("\"'").lstrip("\ufeff") for n in line.split(sep)]
+        cells = F.transform(F.split("value", f"\\Q{sep}\\E"), bare)
+        rows = lines.where((F.col("value") != line) & (F.trim("value") != "")).select(cells.alias("c")).where(F.size("c") >= len(names))
+        full = rows.select(*[F.get("c", F.lit(i)).alias(n) for i, n in enumerate(names)])
+        if len(full.take(minimum)) >= minimum:
+            return full
+    for encoding in ENCODINGS:
+        for sep in SEPARATORS:
+            table = spark.read.option("encoding", encoding).option("sep", sep).option("header", True).option("quote", "").option("mode", "DROPMALFORMED").csv(path)
+            if len(table.columns) >= 2 and len(table.take(minimum)) >= minimum:
+                return table
+    raise ValueError(f"{path}: no encoding and separator gives {minimum} rows")
+
+
+def read_detector(spark: SparkSession, path: str) -> DataFrame:
+    """Detector results with the mean score of their windows; failed records have an error and no fractions."""
+    from ..operators.ai_use import assistance_score
+
+    return read_jsonl(spark, path, schemas.DETECTOR).withColumn("mean_ai_assistance_score", assistance_score("windows"))
 
 
 def read_outlets(spark: SparkSession, files: dict[str, str], types: dict[str, str]) -> DataFrame:
@@ -162,11 +187,12 @@ def parse_label_list(x: Column | str) -> Column:
 
 
 def append_new(df: DataFrame, path: str, on: list[str]) -> int:
-    """Append rows whose keys the sink lacks (resume by anti join); returns how many were new."""
+    """Append rows whose keys the sink lacks (resume by anti join); returns how many were new.  df is computed once."""
     spark = df.sparkSession
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p):
+    if there(spark, path):
         df = df.join(spark.read.parquet(path).select(*on).distinct(), on, "left_anti")
-    before = df.count()
-    df.write.mode("append").parquet(path)
-    return before
+    new = stored(spark, df, "new")
+    new.write.mode("append").parquet(path)
+    n = new.count()
+    discard(new)
+    return n

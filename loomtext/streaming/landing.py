@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 
-def read_landing(spark: SparkSession, path: str, schema: str, keys: list[str], files_per_trigger: int = 1000, watermark: str | None = None) -> DataFrame:
-    """New records once per key.  With a watermark ('<column>=<delay>') the state is bounded by event time."""
+def read_landing(spark: SparkSession, path: str, schema: str, keys: list[str], watermark: tuple[str, str] | None, files_per_trigger: int = 1000) -> DataFrame:
+    """New records once per key.  ``watermark``: an event-time column and how late a record may come, which bounds the
+    keys that the stream remembers.  None must be asked for by name: then every key is remembered for ever, which only
+    a folder of bounded size bears."""
     df = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("mode", "DROPMALFORMED").json(path)
     if watermark is None:
         return df.dropDuplicates(keys)
-    column, delay = watermark.split("=")
-    return df.withWatermark(column, delay).dropDuplicatesWithinWatermark(keys)
+    return df.withWatermark(*watermark).dropDuplicatesWithinWatermark(keys)
 
 
 def run_landing(df: DataFrame, sink: str, checkpoint: str, each: Callable[[DataFrame], DataFrame] = lambda d: d) -> StreamingQuery:
