@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.schemas import TOKEN, WINDOW
-from .topics import TOPICS, parse_response, prompt
+from .topics import ASK, TOPICS, messages, parse_response
 
 
 class Classifier(Protocol):
-    def generate(self, prompts: list[str]) -> list[str]: ...
+    """Answers a batch of chats, each a list of (role, content)."""
+
+    def generate(self, chats: list[list[tuple[str, str]]]) -> list[str]: ...
 
 
 class Detector(Protocol):
@@ -32,10 +34,10 @@ class KeywordClassifier:
     def __init__(self):
         self.words = [set(re.findall(r"[a-z]{4,}", f"{t} {d}".lower())) for t, d in TOPICS.items()]
 
-    def generate(self, prompts: list[str]) -> list[str]:
+    def generate(self, chats: list[list[tuple[str, str]]]) -> list[str]:
         out = []
-        for p in prompts:
-            own = set(re.findall(r"[a-z]{4,}", p.rsplit("Text to classify:", 1)[-1].lower()))
+        for chat in chats:
+            own = set(re.findall(r"[a-z]{4,}", chat[-1][1].removeprefix(ASK).lower()))
             scores = [len(own & w) for w in self.words]
             out.append(str(scores.index(max(scores))) if max(scores) else "")
         return out
@@ -85,17 +87,23 @@ _RESULT = f"struct<fraction_ai:double,fraction_ai_assisted:double,fraction_human
 
 
 def classify(df: DataFrame, text: str = "full_text", make: Callable[[], Classifier] = KeywordClassifier, batch: int = 8) -> DataFrame:
-    """df with predicted_topic for rows that have none: prompts and parsing are columns, only the model is Python."""
+    """df with predicted_topic for rows that have none (resume): chats and parsing are columns, only the model is Python.
+    It gets ``batch`` chats at a time, and only those of rows without a topic."""
 
     @F.pandas_udf("string")
     def answer(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = make()
         for s in parts:
-            prompts = s.tolist()
-            yield pd.Series([r for a in range(0, len(prompts), batch) for r in model.generate(prompts[a : a + batch])], dtype=object)
+            asked = [i for i, chat in enumerate(s) if chat is not None]
+            out = pd.Series([None] * len(s), dtype=object)
+            for a in range(0, len(asked), batch):
+                part = asked[a : a + batch]
+                for i, r in zip(part, model.generate([[(m["role"], m["content"]) for m in s.iat[i]] for i in part])):
+                    out.iat[i] = r
+            yield out
 
     old = F.col("predicted_topic") if "predicted_topic" in df.columns else F.lit(None).cast("string")
-    return df.withColumn("predicted_topic", F.when(old.isNull(), parse_response(answer(prompt(text)))).otherwise(old))
+    return df.withColumn("predicted_topic", F.coalesce(old, parse_response(answer(F.when(old.isNull(), messages(text))))))
 
 
 def detect(df: DataFrame, text: str = "full_text", make: Callable[[], Detector] = RuleDetector) -> DataFrame:

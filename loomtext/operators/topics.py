@@ -29,17 +29,35 @@ TOPICS = {
 }
 
 
-def prompt(text: Column | str, shots: list[tuple[str, str]] = (), limit: int = 1200) -> Column:
-    """System text with the numbered topics, example pairs, and the first ``limit`` characters of the text."""
+#: The instruction, the lead of a text, the lead of the answer, and the three example pairs.
+INSTRUCTION = (
+    "You are an expert news classifier. Input language: Dutch.\n"
+    "Categorize the text into exactly ONE topic by providing its ID number.\n\n"
+    "TOPIC LIST:\n{topics}\n\nResponse format: Return ONLY the number. NO THINKING."
+)
+ASK, ANSWER = "Text to classify: ", "Result ID:"
+EXAMPLES = [
+    ("Spaanse politie onderschept recordvangst cocaïne verstopt in lading bananen : Grootste ooit in Europa De Spaanse politie en beambten van de douane vonden onlangs maar liefst negen ton cocaïne in een lading bananen die uit Colombia werd geïmporteerd .", "1"),
+    ("Seehofer verliest van Merkel CSU-voorzitter Horst Seehofer was gisteravond van plan ontslag te nemen als partijvoorzitter en minister . Partijgenoten probeerden hem om te praten .", "10"),
+    ("Dodelijke aanval op havenstad in Jemen hodeida De coalitie onder leiding van Saoedi-Arabië heeft gisteren een offensief geopend op de havenstad Hodeida in Jemen . Het is de grootste operatie in de nu al drie jaar aanslepende oorlog .", "15"),
+]
+
+
+def messages(text: Column | str, examples: list[tuple[str, str]] = EXAMPLES, limit: int = 1200) -> Column:
+    """The chat of a text as array<struct<role, content>>: the instruction with the numbered topics, the examples as
+    turns, and the first ``limit`` characters of the text (No content for null)."""
     topics = "\n".join(f"{i}: {t} ({d})" for i, (t, d) in enumerate(TOPICS.items()))
-    head = (
-        "You are an expert news classifier. Input language: Dutch.\n"
-        "Categorize the text into exactly ONE topic by providing its ID number.\n\n"
-        f"TOPIC LIST:\n{topics}\n\nResponse format: Return ONLY the number. NO THINKING."
-    )
-    asked = "".join(f"\nText to classify: {t}\n{a}" for t, a in shots)
+    turns = [("system", INSTRUCTION.format(topics=topics))]
+    for t, a in examples:
+        turns += [("user", ASK + t), ("assistant", a)]
+    said = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
     body = F.substring(F.coalesce(c(text), F.lit("No content")), 1, limit)
-    return F.concat(F.lit(head + asked + "\nText to classify: "), body, F.lit("\nResult ID:"))
+    return F.array(*[said(r, F.lit(x)) for r, x in turns], said("user", F.concat(F.lit(ASK), body)))
+
+
+def prompt(text: Column | str, examples: list[tuple[str, str]] = EXAMPLES, limit: int = 1200) -> Column:
+    """messages() as one text for models without a chat template, ending in the lead of the answer."""
+    return F.concat(F.array_join(F.transform(messages(text, examples, limit), lambda m: m["content"]), "\n"), F.lit("\n" + ANSWER))
 
 
 def parse_response(response: Column | str) -> Column:
@@ -101,6 +119,22 @@ def reciprocal_rank_vote(df: DataFrame, key: str, position: str, label: str) ->
     return votes.groupBy(key).agg(best.alias("b")).select(key, F.col("b.label").alias("head_topic"), F.col("b.score").alias("score"))
 
 
+def subtopics_to_heads(df: DataFrame, mapping: DataFrame, key: str, subtopics: str) -> DataFrame:
+    """df with predicted_head_topic by reciprocal-rank vote over a list literal of sub-topics, best first.
+
+    ``mapping`` is taxonomy()'s (head_topic, sub_topic).  A list without any known sub-topic gives an empty text; what is
+    no list gives null and a text in ``error``.  ``key`` is unique."""
+    parsed = F.from_json(F.replace(F.col(subtopics), F.lit("'"), F.lit('"')), "array<string>")
+    rows = df.select(F.col(key).alias("__key"), F.posexplode(parsed).alias("__i", "sub_topic"))
+    known = mapping.select("head_topic", "sub_topic").dropDuplicates(["sub_topic"])
+    votes = reciprocal_rank_vote(rows.join(known, "sub_topic"), "__key", "__i", "head_topic").select(F.col("__key").alias(key), F.col("head_topic").alias("__head"))
+    bad = parsed.isNull()
+    out = df.join(votes, key, "left").withColumns({
+        "predicted_head_topic": F.when(~bad, F.coalesce("__head", F.lit(""))), "error": F.when(bad, F.lit("not a list of sub-topics")),
+    })
+    return out.drop("__head")
+
+
 def any_match_accuracy(df: DataFrame, gold: str, predicted: str) -> DataFrame:
     hit = F.coalesce(F.array_contains(F.col(gold), F.col(predicted)), F.lit(False))
     return df.agg(F.count("*").alias("n"), F.count_if(hit).alias("correct"), F.avg(hit.cast("int")).alias("accuracy"))
