@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import benjamini_hochberg, chi2_2x2, chi2_p, chi2_sf, erfc_p, normal_quantile, t_p, t_sf2, welch
+from ..shared import discard, stored
 from .panel import direction_column
 
 COEFFICIENTS = "term string, estimate double, std_error double, statistic double, p_value double, n_obs long, r_squared double"
@@ -43,7 +44,7 @@ def newey_west(x: np.ndarray, e: np.ndarray, inv: np.ndarray, lag: int = 3, prew
 
 def fit_series(pdf: pd.DataFrame, y: str, terms: list[str], minimum: int, lag: int, prewhite: bool, order: str) -> pd.DataFrame:
     names = [c.split()[0] for c in COEFFICIENTS.split(", ")]
-    d = pdf.sort_values(order)[[y, *terms]].astype(float).dropna()
+    d = pdf.sort_values(order, kind="stable")[[y, *terms]].astype(float).dropna()
     if len(d) < max(minimum, len(terms) + 2):
         return pd.DataFrame(columns=names)
     x = np.column_stack([np.ones(len(d)), d[terms].to_numpy()])
@@ -61,16 +62,22 @@ def fit_series(pdf: pd.DataFrame, y: str, terms: list[str], minimum: int, lag: i
 ITS_TERMS = ["time", "intervention", "time_after"]
 
 
-def its(panel: DataFrame, metrics: list[str], by: list[str], covariates: list[str] = ("mean_words",), minimum: int = 20, lag: int = 3, prewhite: bool = False) -> DataFrame:
-    """Segmented regression of every metric in every group, all series at once: BH per term, expected direction."""
-    terms = [*ITS_TERMS, *covariates]
+def its(
+    panel: DataFrame, metrics: list[str], by: list[str], covariates: list[str] = ("mean_words",), minimum: int = 20, lag: int = 3, prewhite: bool = False,
+    steps: list[str] = ITS_TERMS,
+) -> DataFrame:
+    """Segmented regression (terms ``steps`` and covariates) of every metric in every group, all series at once: BH per
+    term, expected direction.  A series is in the order of year_month where the panel has it (truncated month numbers
+    repeat), else of time."""
+    terms = [*steps, *covariates]
+    order = "year_month" if "year_month" in panel.columns else "time"
     kinds = ", ".join(f"{k} {panel.schema[k].dataType.simpleString()}" for k in by)
     own = [k for k in metrics if k not in terms]
-    shared = panel.select(*by, "time", *[t for t in terms if t != "time"], F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in own])).alias("x"))
-    long = shared.select(*by, *terms, "x.metric", "x.value")
+    shared = panel.select(*by, *terms, F.col(order).alias("__order"), F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in own])).alias("x"))
+    long = shared.select(*by, *terms, "__order", "x.metric", "x.value")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = fit_series(pdf, "value", terms, minimum, lag, prewhite, "time")
+        out = fit_series(pdf, "value", terms, minimum, lag, prewhite, "__order")
         for name, value in zip([*by, "metric"], key):
             out[name] = value
         return out
@@ -173,70 +180,250 @@ def homogenization_tests(series: DataFrame, value: str, period: str, by: list[st
 
 
 def cross_products(df: DataFrame, y: str, terms: list[str], group: str, nested: str | None = None) -> DataFrame:
-    """Per group: n, X'X, X'y and y'y of the design (1, terms), as flat arrays; one pass with partial sums."""
-    cols = [F.lit(1.0), *[F.col(t).cast("double") for t in terms], F.col(y).cast("double")]
-    rows = df.dropna(subset=[y, *terms, group])
+    """Per group: n, X'X, X'y and y'y of the design (1, terms), as columns s_i_j; one pass with partial sums."""
+    own = [F.col(f"`{t}`").cast("double") for t in (*terms, y)]
+    rows = df.where(F.col(group).isNotNull())
+    for c in own:
+        rows = rows.where(c.isNotNull() & ~F.isnan(c))
+    cols = [F.lit(1.0), *own]
     sums = [F.sum(cols[i] * cols[j]).alias(f"s_{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))]
     keys = [group, nested] if nested else [group]
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), *sums)
 
 
-def _blocks(pdf: pd.DataFrame, k: int):
-    for r in pdf.to_dict("records"):
-        s = np.zeros((k + 1, k + 1))
-        for i in range(k + 1):
-            for j in range(i, k + 1):
-                s[i, j] = s[j, i] = r[f"s_{i}_{j}"]
-        yield r, r["n"], s[:k, :k], s[:k, k], s[k, k]
-
-
-def mixed_model(df: DataFrame, y: str, terms: list[str], group: str, random: list[str] = (), minimum: int = 200, steps: int = 200) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """Linear mixed model with a random intercept and random slopes per group, by EM on per-group cross-products.
-
-    Returns fixed effects (term, estimate, std_error, statistic, p_value by the normal approximation) and the random
-    effects per group.  The driver holds one small matrix per group, never rows.  Too few rows give empty results.
+def _stack(pdf: pd.DataFrame, k: int) -> np.ndarray:
+    """Cross-products of all groups: (groups, k + 1, k + 1)."""
+    out = np.zeros((len(pdf), k + 1, k + 1))
+    for i in range(k + 1):
+        for j in range(i, k + 1):
+            out[:, i, j] = out[:, j, i] = pdf[f"s_{i}_{j}"].to_numpy(float)
+    return out
+
+
+def dummies(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str]]:
+    """df with a 0/1 column for each level of each categorical column but the first in order; their names, 'column=level'.
+    Levels are a bounded list (outlet types, topics)."""
+    names = []
+    for c in columns:
+        levels = sorted(r[0] for r in df.where(F.col(c).isNotNull()).select(c).distinct().collect())
+        for level in levels[1:]:
+            names.append(f"{c}={level}")
+            df = df.withColumn(names[-1], F.when(F.col(c).isNull(), None).otherwise((F.col(c) == level).cast("int")))
+    return df, names
+
+
+class _Rounds:
+    """One pass over the groups' cross-products: sums that a round of EM needs, from tables of any number of groups."""
+
+    def __init__(self, k: int, pick: list[int], levels: int):
+        self.k, self.pick, self.levels = k, pick, levels  # fixed terms, those with a random part, levels of the upper grouping
+
+    def _parts(self, sums: np.ndarray, level: np.ndarray, s2: float, ginv: np.ndarray):
+        k, pick = self.k, self.pick
+        xx, xy, yy = sums[:, :k, :k], sums[:, :k, k], sums[:, k, k]
+        zz, zx, zy = xx[:, pick][:, :, pick], xx[:, pick], xy[:, pick]
+        v = np.linalg.pinv(zz / s2 + ginv)
+        if self.levels:  # the upper level's indicator is the group's intercept
+            wide = [*range(k), 0]
+            xx, xy, zx = xx[:, wide][:, :, wide], xy[:, wide], zx[:, :, wide]
+        return xx, xy, yy, zz, zx, zy, v
+
+    def _places(self, level: np.ndarray) -> np.ndarray:
+        k = self.k
+        return np.concatenate((np.tile(np.arange(k), (len(level), 1)), k + level[:, None]), 1) if self.levels else np.tile(np.arange(k), (len(level), 1))
+
+    def equations(self, sums: np.ndarray, level: np.ndarray, s2: float, ginv: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Left and right side of the fixed effects' equations (with those of the upper level)."""
+        xx, xy, _, _, zx, zy, v = self._parts(sums, level, s2, ginv)
+        m, at = self.k + self.levels, self._places(level)
+        left, right = np.zeros((m, m)), np.zeros(m)
+        vzx = v @ zx
+        np.add.at(left, (at[:, :, None], at[:, None, :]), (xx - np.einsum("gqa,gqb->gab", zx, vzx) / s2) / s2)
+        np.add.at(right, at, (xy - np.einsum("gqa,gq->ga", vzx, zy) / s2) / s2)
+        return left, right
+
+    def moments(self, sums: np.ndarray, level: np.ndarray, s2: float, ginv: np.ndarray, beta: np.ndarray, cov: np.ndarray):
+        """Random effects of each group, and the sums that new variances come from."""
+        xx, xy, yy, zz, zx, zy, v = self._parts(sums, level, s2, ginv)
+        at = self._places(level)
+        b, c = beta[at], cov[at[:, :, None], at[:, None, :]]
+        gap = zy - np.einsum("gqa,ga->gq", zx, b)
+        u = np.einsum("gpq,gq->gp", v, gap) / s2
+        vzx = v @ zx
+        w = v + np.einsum("gpa,gab,gqb->gpq", vzx, c, vzx) / s2**2  # restricted likelihood
+        rss = (
+            yy - 2 * np.einsum("ga,ga->g", b, xy) + np.einsum("ga,gab,gb->g", b, xx, b) - 2 * np.einsum("gq,gq->g", u, gap)
+            + np.einsum("gp,gpq,gq->g", u, zz, u) + np.einsum("gpq,gqp->g", zz, w) + np.einsum("gab,gba->g", xx, c)
+            - 2 * np.einsum("gqa,gab,gqb->g", zx, c, vzx) / s2
+        )
+        return u, np.einsum("gp,gq->pq", u, u) + w.sum(0), rss.sum()
+
+
+def mixed_model(
+    df: DataFrame, y: str, terms: list[str], group: str, random: list[str] = (), outlet: str | None = None, categorical: list[str] = (),
+    minimum: int = 200, steps: int = 200, driver_groups: int = 50_000,
+) -> tuple[pd.DataFrame, pd.DataFrame | DataFrame]:
+    """Linear mixed model by EM (restricted likelihood) on per-group cross-products: a random intercept and random slopes
+    per group, and with ``outlet`` a random intercept per outlet that groups lie in (if there are several).
+
+    ``categorical`` columns enter as 0/1 terms, the first level being the base.  Returns fixed effects (term, estimate,
+    std_error, statistic, p_value by the normal approximation) and the random effects per group.  Up to
+    ``driver_groups`` small matrices come to the driver; of more groups the matrices stay in a table, each round adds up
+    on the executors what it needs, and the random effects are a DataFrame.  Too few rows give empty results.
     """
+    df, more = dummies(df, list(categorical))
+    terms = [*terms, *more]
     k = len(terms) + 1
-    stats = cross_products(df, y, terms, group).toPandas()
-    n = int(stats["n"].sum()) if len(stats) else 0
-    fixed_names = ["(Intercept)", *terms]
-    if n < minimum:
+    stats = stored(df.sparkSession, cross_products(df, y, terms, group, outlet), "cross-products")
+    whole = stats.agg(F.sum("n").alias("n"), F.count("*").alias("g")).first()
+    if (whole.n or 0) < minimum:
         return pd.DataFrame(columns=["term", "estimate", "std_error", "statistic", "p_value"]), pd.DataFrame(columns=[group])
+    levels = sorted(r[0] for r in stats.select(outlet).distinct().collect()) if outlet else []  # a bounded list
+    levels = levels if len(levels) > 1 else []
+    number = {v: i for i, v in enumerate(levels)}
     pick = [0, *[1 + terms.index(t) for t in random]]
-    blocks = list(_blocks(stats, k))
-    total = sum(b[2] for b in blocks)
-    beta = np.linalg.pinv(total) @ sum(b[3] for b in blocks)
-    s2 = max((sum(b[4] for b in blocks) - beta @ sum(b[3] for b in blocks)) / max(n - k, 1), 1e-12)
-    g = np.eye(len(pick)) * s2 / 10
+    rounds = _Rounds(k, pick, len(levels))
+    of = lambda pdf: pdf[outlet].map(number).to_numpy(int) if levels else np.zeros(len(pdf), int)
+    if whole.g <= driver_groups:
+        pdf = stats.toPandas()
+        held = (_stack(pdf, k), of(pdf))
+        run = lambda f: f(*held)
+    else:
+        run = lambda f: _summed(stats, lambda pdf: f(_stack(pdf, k), of(pdf)))
+    n, m = int(whole.n), k + len(levels)
+    total = run(lambda s, level: (s.sum(0),))[0]
+    beta = np.linalg.pinv(total[:k, :k]) @ total[:k, k]
+    s2 = max((total[k, k] - beta @ total[:k, k]) / max(n - k, 1), 1e-12)
+    g, top = np.eye(len(pick)) * s2 / 10, s2 / 10
     for _ in range(steps):
         ginv = np.linalg.pinv(g)
-        left, right, cond, effects = np.zeros((k, k)), np.zeros(k), [], []
-        for _, _, xx, xy, _ in blocks:
-            zz, zx, zy = xx[np.ix_(pick, pick)], xx[pick], xy[pick]
-            v = np.linalg.pinv(zz / s2 + ginv)
-            left += (xx - zx.T @ v @ zx / s2) / s2
-            right += (xy - zx.T @ v @ zy / s2) / s2
-            cond.append((v, zz, zx, zy))
+        left, right = run(lambda s, level: rounds.equations(s, level, s2, ginv))
+        if levels:
+            left = left + np.diag([0.0] * k + [1 / top] * len(levels))
         cov = np.linalg.pinv(left)
         beta = cov @ right
-        rss, gg = 0.0, np.zeros_like(g)
-        for (_, _, xx, xy, yy), (v, zz, zx, zy) in zip(blocks, cond):
-            b = v @ (zy - zx @ beta) / s2
-            effects.append(b)
-            w = v + v @ zx @ cov @ zx.T @ v / s2**2  # restricted likelihood
-            gg += np.outer(b, b) + w
-            rss += yy - 2 * beta @ xy + beta @ xx @ beta - 2 * b @ (zy - zx @ beta) + b @ zz @ b + np.trace(zz @ w) + np.trace(xx @ cov) - 2 * np.trace(zx @ cov @ zx.T @ v) / s2
-        new_g, new_s2 = gg / len(blocks), max(rss / n, 1e-12)
-        moved = np.abs(new_g - g).max() + abs(new_s2 - s2)
-        g, s2 = new_g, new_s2
+        gg, rss = run(lambda s, level: rounds.moments(s, level, s2, ginv, beta, cov)[1:])
+        new_g, new_s2 = gg / whole.g, max(float(rss) / n, 1e-12)
+        new_top = float(beta[k:] @ beta[k:] + np.trace(cov[k:, k:])) / len(levels) if levels else top
+        moved = np.abs(new_g - g).max() + abs(new_s2 - s2) + abs(new_top - top)
+        g, s2, top = new_g, new_s2, max(new_top, 1e-12)
         if moved < 1e-9 * (1 + s2):
             break
-    se = np.sqrt(np.diag(cov))
-    z = beta / se
-    fixed = pd.DataFrame({"term": fixed_names, "estimate": beta, "std_error": se, "statistic": z, "p_value": [erfc_p(v) for v in z]})
-    rand = pd.DataFrame(np.array(effects), columns=["intercept", *random])
-    rand.insert(0, group, [b[0][group] for b in blocks])
-    return fixed, rand
+    se = np.sqrt(np.diag(cov)[:k])
+    z = beta[:k] / se
+    fixed = pd.DataFrame({"term": ["(Intercept)", *terms], "estimate": beta[:k], "std_error": se, "statistic": z, "p_value": [erfc_p(v) for v in z]})
+    ginv = np.linalg.pinv(g)
+    names = [group, "intercept", *random]
+
+    def effects(part: pd.DataFrame) -> pd.DataFrame:
+        u = rounds.moments(_stack(part, k), of(part), s2, ginv, beta, cov)[0]
+        return pd.concat([part[[group]].reset_index(drop=True), pd.DataFrame(u, columns=names[1:])], axis=1)
+
+    if whole.g <= driver_groups:
+        discard(stats)
+        return fixed, effects(pdf)
+    kinds = ", ".join([f"{group} {stats.schema[group].dataType.simpleString()}", *[f"{x} double" for x in names[1:]]])
+    return fixed, stats.mapInPandas(lambda parts: (effects(p) for p in parts if len(p)), kinds)
+
+
+def _summed(stats: DataFrame, f) -> tuple[np.ndarray, ...]:
+    """f of every part of a table, added up: a row of numbers for each task comes to the driver."""
+
+    def run(parts):
+        sums = None
+        for pdf in parts:
+            if len(pdf):
+                got = [np.asarray(x, float) for x in f(pdf)]
+                sums = got if sums is None else [a + b for a, b in zip(sums, got)]
+        if sums is not None:
+            yield pd.DataFrame({"i": range(len(sums)), "shape": [list(x.shape) for x in sums], "x": [x.ravel().tolist() for x in sums]})
+
+    rows = stats.mapInPandas(run, "i int, shape array<int>, x array<double>").toPandas()
+    return tuple(np.sum([np.array(x) for x in own["x"]], axis=0).reshape(own["shape"].iat[0]) for _, own in rows.groupby("i"))
+
+
+def journalist_its(
+    df: DataFrame, metrics: list[str], journalist: str = "journalist_id", outlet: str = "outlet", outlet_type: str | None = "outlet_type",
+    topic: str | None = "predicted_topic", words: str = "total_words", **options,
+) -> tuple[DataFrame, dict[str, pd.DataFrame]]:
+    """Mixed segmented regressions of every metric: random intercept and time slope per journalist, random intercept per
+    outlet, fixed time, intervention, time_after, words, outlet type (if several) and topic.
+
+    Returns the three time terms of all metrics, BH-adjusted within a term over the metrics, with expected direction; and
+    the random effects by metric.  Metrics without enough rows are left out."""
+    fitted, random = [], {}
+    several = lambda c: c and c in df.columns and df.select(c).where(F.col(c).isNotNull()).distinct().limit(2).count() > 1
+    kinds = [c for c in (outlet_type, topic) if several(c)]
+    for m in metrics:  # a bounded list
+        fixed, effects = mixed_model(df, m, [*ITS_TERMS, words], journalist, ["time"], outlet, kinds, **options)
+        if len(fixed):
+            fitted.append(fixed[fixed["term"].isin(ITS_TERMS)].assign(metric=m))
+            random[m] = effects
+    schema = "term string, estimate double, std_error double, statistic double, p_value double, metric string"
+    out = df.sparkSession.createDataFrame(pd.concat(fitted) if fitted else [], schema)
+    return with_direction(benjamini_hochberg(out, "p_value", ["term"])), random
+
+
+def with_direction(df: DataFrame) -> DataFrame:
+    """Expected direction of each metric, whether the estimate has it (null without one), and significance."""
+    expected = direction_column("metric")
+    match = F.when(expected != 0, F.signum("estimate") == expected)
+    sig = F.col("p_adj") < 0.05
+    return df.withColumns({"expected_direction": expected, "direction_match": match, "significant": sig, "significant_correct_direction": sig & F.coalesce(match, F.lit(False))})
+
+
+def outlet_type_its(df: DataFrame, metrics: list[str], journalist: str = "journalist_id", outlet: str = "outlet", outlet_type: str = "outlet_type", base: str = "national", words: str = "total_words", **options) -> DataFrame:
+    """Mixed models with interactions of intervention and time_after with the outlet type (``base`` is the base level):
+    all fixed terms of every metric, with 95 % intervals.  Random intercepts per journalist and outlet."""
+    types = [t for t in sorted(r[0] for r in df.where(F.col(outlet_type).isNotNull()).select(outlet_type).distinct().collect()) if t != base]  # a few
+    rows, terms = df.where(F.col(outlet_type).isNotNull()), [*ITS_TERMS, words]
+    for t in types:
+        own = (F.col(outlet_type) == t).cast("int")
+        for name, value in ((f"outlet_type{t}", own), (f"intervention:outlet_type{t}", own * F.col("intervention")), (f"outlet_type{t}:time_after", own * F.col("time_after"))):
+            rows, terms = rows.withColumn(name, value), [*terms, name]
+    fitted = []
+    for m in metrics:  # a bounded list
+        fixed, _ = mixed_model(rows, m, terms, journalist, [], outlet, [], **options)
+        fitted.append(fixed.assign(metric=m))
+    schema = "term string, estimate double, std_error double, statistic double, p_value double, metric string"
+    out = df.sparkSession.createDataFrame(pd.concat(fitted) if fitted and sum(map(len, fitted)) else [], schema)
+    return out.withColumns({"conf_low": F.col("estimate") - 1.959963984540054 * F.col("std_error"), "conf_high": F.col("estimate") + 1.959963984540054 * F.col("std_error")})
+
+
+def topic_its(df: DataFrame, metrics: list[str], topic: str = "predicted_topic", outlet: str = "outlet", **options) -> DataFrame:
+    """Segmented regressions per outlet and topic over their monthly panel."""
+    by = [outlet, topic, "year_month", "time"]
+    panel = df.groupBy(*by).agg(F.max("intervention").alias("intervention"), F.max("time_after").alias("time_after"), F.avg("total_words").alias("mean_words"), *[F.avg(m).alias(m) for m in metrics])
+    return its(panel, metrics, [outlet, topic], **options)
+
+
+def detector_analysis(df: DataFrame, score: str, metrics: list[str], outlet: str = "outlet", words: str = "total_words", minimum: int = 100, **options) -> tuple[DataFrame, pd.DataFrame]:
+    """Segmented regression of monthly mean detector scores per outlet, and the regression of the score on all metrics
+    and words (empty up to ``minimum`` rows)."""
+    scored = df.where(F.col(score).isNotNull())
+    panel = scored.groupBy(outlet, "year_month", "time").agg(F.max("intervention").alias("intervention"), F.max("time_after").alias("time_after"), F.avg(words).alias("mean_words"), F.avg(score).alias(score))
+    check = linear_model(scored, score, [*metrics, words])
+    return its(panel, [score], [outlet], **options), check if len(check) and check["n_obs"].iat[0] > minimum else check.iloc[:0]
+
+
+def homogenization(df: DataFrame, metrics: list[str], outlet: str = "outlet", topic: str | None = None, month: str = "year_month") -> dict[str, DataFrame]:
+    """All of the homogenisation analysis: within-group deviations per outlet and month (and per topic), their segmented
+    regressions, deviations between outlets per month, and tests of these before against after."""
+    keys = [month, "time", "intervention", "time_after"]
+    levels = {"outlet": [outlet]} | ({"topic": [outlet, topic]} if topic else {})
+    out: dict[str, DataFrame] = {}
+    for name, by in levels.items():
+        sds = df.groupBy(*by, *keys).agg(F.count("*").alias("n_articles"), *[F.stddev_samp(m).alias(f"sd_{m}") for m in metrics])
+        out[f"within_{name}"] = sds
+        out[f"its_{name}"] = homogenization_its(sds, [f"sd_{m}" for m in metrics], by)
+    means = df.groupBy(outlet, month, "intervention").agg(*[F.avg(m).alias(m) for m in metrics])
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]))
+    cross = means.select(month, "intervention", pairs.alias("x")).select(month, "intervention", "x.*").groupBy("metric", month).agg(
+        F.count("value").alias("n_outlets"), F.stddev_samp("value").alias("cross_sd"), F.when(F.max("intervention") == 1, "post").otherwise("pre").alias("period"),
+    )
+    out["between"] = cross.where("n_outlets >= 3")
+    out["tests"] = homogenization_tests(out["between"], "cross_sd", "period", ["metric"])
+    return out
 
 
 def negative_binomial(pdf: pd.DataFrame, y: str, terms: list[str], offset: str | None = None, steps: int = 50) -> pd.DataFrame:
@@ -272,7 +459,8 @@ def linear_model(df: DataFrame, y: str, terms: list[str]) -> pd.DataFrame:
     stats = cross_products(df.withColumn("__all", F.lit(1)), y, terms, "__all").toPandas()
     if stats.empty or stats["n"][0] <= k:
         return pd.DataFrame(columns=["term", "estimate", "std_error", "statistic", "p_value", "r_squared", "n_obs"])
-    _, n, xx, xy, yy = next(_blocks(stats, k))
+    s, n = _stack(stats, k)[0], int(stats["n"][0])
+    xx, xy, yy = s[:k, :k], s[:k, k], s[k, k]
     inv = np.linalg.pinv(xx)
     beta = inv @ xy
     rss = max(yy - beta @ xy, 0.0)

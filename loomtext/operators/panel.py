@@ -71,6 +71,11 @@ def its_variables(df: DataFrame, date: str = "article_date", intervention: str =
     }).drop("__first")
 
 
+def preprocess(df: DataFrame, min_words: int = 50, words: str = "total_words", date: str = "article_date", author: str = "author", outlet: str = "outlet", **options) -> DataFrame:
+    """Rows with a date and at least ``min_words`` words, with the segmented-regression variables and journalists."""
+    return journalists(its_variables(df, date, **options).where(F.col(words) >= min_words), author, outlet)
+
+
 def journalists(df: DataFrame, author: str = "author", outlet: str = "outlet", keep_missing: bool = True) -> DataFrame:
     """First author and journalist id; rows without an author are one journalist NA of their outlet, or null."""
     name = F.nullif(F.trim(F.split(F.col(author), ";")[0]), F.lit(""))
@@ -104,6 +109,25 @@ def quality_report(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.explode(pairs).alias("x")).select("x.*")
 
 
+def quality_checks(df: DataFrame, columns: list[str], words: str = "total_words", time: str = "time", outlet: str = "outlet", period: str = "period", topic: str | None = None) -> dict[str, DataFrame]:
+    """Coverage of columns, summary and trend of lengths, articles per outlet and period (one column a period), and the
+    top five topics per outlet and period."""
+    lengths = df.groupBy(F.col(words)).agg(F.count("*").alias("__t")).where(F.col(words).isNotNull())  # lengths are few
+    weighted = lambda p: F.expr(f"percentile({words}, {p}, __t)")
+    out = {
+        "coverage": quality_report(df, columns),
+        "lengths": lengths.agg(
+            F.min(words).alias("min"), weighted(0.25).alias("q1"), weighted(0.5).alias("median"),
+            (F.sum(F.col(words) * F.col("__t")) / F.sum("__t")).alias("mean"), weighted(0.75).alias("q3"), F.max(words).alias("max"),
+        ),
+        "length_trend": length_trend(df, words, time),
+        "balance": df.groupBy(outlet).pivot(period, ["pre", "post"]).agg(F.count(F.lit(1))),
+    }
+    if topic:
+        out["top_topics"] = top_topics(df, [outlet, period], topic)
+    return out
+
+
 def length_trend(df: DataFrame, y: str, x: str, by: list[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r_squared"), F.regr_count(y, x).alias("n_obs"))
 
