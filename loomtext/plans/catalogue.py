@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
-from ..operators import ai_use, extract, inference, junk, metrics, panel, sampling, shift, topics
+from ..operators import ai_use, inference, junk, metrics, panel, sampling, shift, topics
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,11 +30,15 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(Q)
+    from . import goldens, panels  # noqa: F401  (panels registers its queries here)
+
+    return Q | goldens.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    from . import goldens, panels  # noqa: F401
+
+    return SQL | goldens.SQL
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -99,14 +103,6 @@ def topic_share_of_ai(spark, sf_dir):
     return out.select("source", "definition", "topic", "ai_articles", r6("share").alias("share"))
 
 
-@query(f"""WITH {FLAGGED} SELECT source, CASE WHEN lang = 'en' THEN 'opinion' ELSE 'non-opinion' END AS section_group,
- definition, {RATE} FROM g WHERE source IN ('src0', 'src1') GROUP BY 1, 2, 3""")
-def opinion_vs_rest(spark, sf_dir):
-    df = flagged(spark, sf_dir, "source", "lang").where(F.col("source").isin("src0", "src1"))
-    df = df.withColumn("section_group", F.when(F.col("lang") == "en", "opinion").otherwise("non-opinion"))
-    return ai_use.summarize(df, ["source", "section_group"]).withColumn("fraction_ai_use", r6("fraction_ai_use"))
-
-
 FEATURES_SQL = r"""w AS (SELECT *, len(regexp_extract_all(text, '[\p{L}\p{N}\p{M}_]+')) AS total_words,
  len(regexp_extract_all(text, '—| - ')) AS em_dash_count, regexp_extract_all(text, '"[^"]*"|“[^”]*”') AS q FROM documents)"""
 
@@ -159,21 +155,12 @@ def normalize_quotes(spark, sf_dir):
     return read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", text.normalize_quotes("text").alias("t"))
 
 
-@query(r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang FROM pages")
-def page_field_extract(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select(
-        "page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang")
-    )
-
-
 @query(r"""WITH d AS (SELECT doc_id, lower(text) AS x, text FROM documents)
  SELECT doc_id, len(regexp_extract_all(text, '\S+')) < 50 AS short,
- contains(x, 'colofon') AS colophon, (contains(x, 'horizontaal:') AND contains(x, 'verticaal:')) AS puzzle,
- len(regexp_extract_all(text, '(?:^|[^0-9A-Za-z_])\d{1,2}[:.]\d{2}\s*-\s*\d{1,2}[:.]\d{2}')) >= 4 AS agenda_blocks FROM d""")
+ contains(x, 'colofon') AS colophon, (contains(x, 'horizontaal:') AND contains(x, 'verticaal:')) AS puzzle FROM d""")
 def junk_flags(spark, sf_dir):
     d = read(spark, sf_dir, "documents", "doc_id", "text").withColumn("title", F.lit(""))
-    block = F.regexp_count("text", F.lit(r"(?:^|[^0-9A-Za-z_])\d{1,2}[:.]\d{2}\s*-\s*\d{1,2}[:.]\d{2}")) >= 4
-    return d.select("doc_id", junk.is_short("text").alias("short"), junk.is_colophon("title", "text").alias("colophon"), junk.is_puzzle("title", "text").alias("puzzle"), block.alias("agenda_blocks"))
+    return d.select("doc_id", junk.is_short("text").alias("short"), junk.is_colophon("title", "text").alias("colophon"), junk.is_puzzle("title", "text").alias("puzzle"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS v FROM documents),
@@ -192,12 +179,6 @@ def dutch_dates(spark, sf_dir):
     return read(spark, sf_dir, "documents", "doc_id").withColumn("d", raw).select("doc_id", text.format_date_nl("d").alias("date"))
 
 
-@query()
-def clean_bodies(spark, sf_dir):
-    """Base cleaning of every text (regular expressions with look-around, so no twin)."""
-    return read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.md5(extract.clean_base("text")).alias("md5"))
-
-
 # --- sampling ------------------------------------------------------------------------------------------------------
 
 
@@ -318,11 +299,6 @@ def token_rows(spark, sf_dir) -> DataFrame:
 TOKENS = "k AS (SELECT role, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM conversations)"
 
 
-@query(f"WITH {TOKENS} SELECT role, word, count(*) AS n FROM k GROUP BY 1, 2")
-def token_counts_by_role(spark, sf_dir):
-    return token_rows(spark, sf_dir).groupBy("role", "word").agg(F.count("*").alias("n"))
-
-
 def scored_words(spark, sf_dir) -> DataFrame:
     c = token_rows(spark, sf_dir).groupBy(F.col("word").alias("key")).agg(F.count_if(F.col("role") == "user").alias("c_H"), F.count_if(F.col("role") == "assistant").alias("c_M"))
     upos = F.when(F.length("key") <= 3, "ADP").otherwise("NOUN")
@@ -417,13 +393,12 @@ def zipf_lexicon(spark, sf_dir):
     return metrics.zipf_lexicon(counts, order="lemma").withColumn("zipf", r6("zipf"))
 
 
-@query(f"""WITH {LEMMAS}, k AS (SELECT lemma, zipf FROM z WHERE length(lemma) <= 6)
- SELECT doc_id, round(avg((coalesce(round(zipf, 9), 1.0) < 3)::INT), 6) AS prop_low_freq, round(avg((coalesce(round(zipf, 9), 1.0) >= 4)::INT), 6) AS prop_high_freq, round(avg(round(zipf, 9)), 5) AS mean_zipf
- FROM l LEFT JOIN k USING (lemma) GROUP BY 1""")
+@query(f"""WITH {LEMMAS} SELECT doc_id, round(avg((round(zipf, 9) < 3)::INT), 6) AS prop_low_freq, round(avg((round(zipf, 9) >= 4)::INT), 6) AS prop_high_freq, round(avg(round(zipf, 9)), 5) AS mean_zipf
+ FROM l LEFT JOIN z USING (lemma) GROUP BY 1""")
 def lex_sophistication(spark, sf_dir):
     l = _lemmas(spark, sf_dir)  # noqa: E741
     counts = l.select(F.explode("l").alias("lemma")).groupBy("lemma").agg(F.count("*").alias("frequency"))
-    lexicon = metrics.zipf_lexicon(counts, order="lemma").where(F.length("lemma") <= 6).withColumn("zipf", F.round("zipf", 9))
+    lexicon = metrics.zipf_lexicon(counts, order="lemma").withColumn("zipf", F.round("zipf", 9))
     out = metrics.lexical_sophistication(l, "doc_id", "l", lexicon)
     return out.select("doc_id", r6("prop_low_freq").alias("prop_low_freq"), r6("prop_high_freq").alias("prop_high_freq"), F.round("mean_zipf", 5).alias("mean_zipf"))
 
@@ -459,15 +434,6 @@ def its_variables(spark, sf_dir):
     return panel.its_variables(orders(spark, sf_dir), "d", SPLIT).select("o_orderkey", "year_month", "time", "intervention", "time_after")
 
 
-@query(f"""WITH {ORDERS} SELECT outlet, date_trunc('month', d)::DATE AS year_month, count(*) AS n_articles,
- round(sum(price)::DOUBLE / count(*), 6) AS mean_price FROM o GROUP BY 1, 2""")
-def outlet_month_panel(spark, sf_dir):
-    df = orders(spark, sf_dir).withColumn("year_month", F.trunc("d", "month"))
-    out = panel.outlet_month_panel(df.withColumn("p", F.col("price")), [], ["outlet", "year_month"], words="p")
-    sums = df.groupBy("outlet", "year_month").agg(F.sum("price").alias("s"))
-    return out.join(sums, ["outlet", "year_month"]).select("outlet", "year_month", "n_articles", F.round(F.col("s").cast("double") / F.col("n_articles"), 6).alias("mean_price"))
-
-
 @query(f"""WITH {ORDERS}, m AS (SELECT outlet, date_trunc('month', d)::DATE AS year_month, topic, count(*) AS n FROM o GROUP BY 1, 2, 3),
  p AS (SELECT *, n * 1.0::DOUBLE / sum(n) OVER (PARTITION BY outlet, year_month) AS p FROM m)
  SELECT outlet, year_month, round(-sum(p * ln(p + 1e-9)), 6) AS topic_entropy FROM p GROUP BY 1, 2""")
@@ -575,13 +541,3 @@ def top_topics(spark, sf_dir):
     l = read(spark, sf_dir, "lineitem", "l_orderkey", "l_returnflag")  # noqa: E741
     out = panel.top_topics(o.join(l, o.o_orderkey == l.l_orderkey), ["topic"], "l_returnflag", 5)
     return out.select("topic", "l_returnflag", "n", r6("share").alias("share"))
-
-
-@query()
-def newey_west_its(spark, sf_dir):
-    """Segmented regression of monthly prices per outlet with robust errors (rows only)."""
-    df = panel.its_variables(orders(spark, sf_dir), "d", SPLIT).withColumn("p", F.col("price").cast("double"))
-    by = ["outlet", "year_month", "time", "intervention", "time_after"]
-    months = df.groupBy("outlet", "year_month").agg(F.avg("p").alias("p"), F.count("*").cast("double").alias("mean_words"), F.max("time").alias("time"), F.max("intervention").alias("intervention"), F.max("time_after").alias("time_after"))
-    out = inference.its(months.select(*by, "p", "mean_words"), ["p"], ["outlet"])
-    return out.select("outlet", "metric", "term", "estimate", "std_error", "p_value", "p_adj", "n_obs")

@@ -372,6 +372,86 @@ def test_mixed_model_recovers_simulation(spark):
     assert inference.mixed_model(df.limit(10), "y", ["t"], "g")[0].empty
 
 
+def panel_rows(spark, effect=1.0):
+    """Journalists in outlets of three types over 30 months, with a jump at month 15 that is larger in local outlets."""
+    r = np.random.default_rng(6)
+    rows = []
+    kinds = {"n1": "national", "n2": "national", "r1": "regional", "l1": "local", "l2": "local"}
+    for o, kind in kinds.items():
+        top = r.normal(0, 1.0)
+        for j in range(8):
+            a, b = r.normal(0, 0.5), r.normal(0, 0.02)
+            for t in range(30):
+                post = int(t >= 15)
+                y = 5 + top + a + (0.05 + b) * t + post * (effect + 2 * (kind == "local")) + r.normal(0, 0.3)
+                rows.append((o, kind, f"{o}::{j}", t, post, max(0, t - 15), 100 + t % 5, "ab"[t % 2], (pd.Timestamp(2021, 1, 1) + pd.DateOffset(months=t)).date(), float(y), float(y + r.normal())))
+    schema = "outlet string, outlet_type string, journalist_id string, time int, intervention int, time_after int, total_words int, predicted_topic string, year_month date, mtld double, score double"
+    return spark.createDataFrame(rows, schema)
+
+
+def test_two_level_models(spark):
+    df = panel_rows(spark)
+    terms = ["time", "intervention", "time_after", "total_words"]
+    fixed, rand = inference.mixed_model(df, "mtld", terms, "journalist_id", ["time"], "outlet")
+    est = fixed.set_index("term")
+    assert abs(est.estimate["intervention"] - 1.8) < 0.3 and est.std_error["(Intercept)"] > 0.3 and len(rand) == 40
+    flat = inference.mixed_model(df, "mtld", terms, "journalist_id", ["time"])[0].set_index("term")
+    assert flat.std_error["(Intercept)"] < est.std_error["(Intercept)"]
+    far, far_rand = inference.mixed_model(df, "mtld", terms, "journalist_id", ["time"], "outlet", steps=5, driver_groups=0)
+    near, near_rand = inference.mixed_model(df, "mtld", terms, "journalist_id", ["time"], "outlet", steps=5)
+    assert np.allclose(far.estimate, near.estimate) and np.allclose(far.std_error, near.std_error)
+    both = far_rand.toPandas().set_index("journalist_id").join(near_rand.set_index("journalist_id"), rsuffix="_near")
+    assert np.allclose(both["time"], both["time_near"])
+    with_topic = inference.mixed_model(df, "mtld", terms, "journalist_id", ["time"], "outlet", ["predicted_topic", "outlet_type"])[0]
+    assert {"predicted_topic=b", "outlet_type=national", "outlet_type=regional"} <= set(with_topic.term)
+
+
+def test_model_wrappers(spark):
+    df = panel_rows(spark)
+    table, random = inference.journalist_its(df, ["mtld", "score"], steps=30)
+    got = {(r.metric, r.term): r for r in table.collect()}
+    assert set(got) == {(m, t) for m in ("mtld", "score") for t in inference.ITS_TERMS} and set(random) == {"mtld", "score"}
+    jump = got[("mtld", "intervention")]
+    assert jump.p_adj < 0.01 and jump.expected_direction == -1 and jump.direction_match is False and jump.significant and not jump.significant_correct_direction
+    assert got[("score", "intervention")].significant_correct_direction  # unknown metrics are expected to rise
+    assert inference.journalist_its(df, ["mtld"], minimum=10_000)[0].count() == 0
+    types = {r.term: r for r in inference.outlet_type_its(df, ["mtld"], steps=30).collect()}
+    local = types["intervention:outlet_typelocal"]
+    assert abs(local.estimate - 2) < 0.4 and local.conf_low < 2 < local.conf_high and abs(types["intervention:outlet_typeregional"].estimate) < 0.4
+    from loomtext.operators import figures
+
+    assert {r.term_clean for r in figures.forest(spark.createDataFrame([tuple(r) for r in types.values()], inference.outlet_type_its(df, ["mtld"], steps=2).schema)).collect()} >= {"local", "intervention × local"}
+    topics_ = inference.topic_its(df, ["mtld"], minimum=10)
+    assert {r.predicted_topic for r in topics_.select("predicted_topic").collect()} == {"a", "b"}
+    series, check = inference.detector_analysis(df, "score", ["mtld"])
+    assert series.where("term = 'intervention'").count() == 5 and abs(check.set_index("term").estimate["mtld"] - 1) < 0.2
+    assert inference.detector_analysis(df, "score", ["mtld"], minimum=10**6)[1].empty
+    parts = inference.homogenization(df, ["mtld"], topic="predicted_topic")
+    assert set(parts) == {"within_outlet", "its_outlet", "within_topic", "its_topic", "between", "tests"}
+    assert parts["its_outlet"].where("term = 'time'").count() == 5 and parts["between"].count() == 30 and parts["tests"].first().metric == "mtld"
+    slopes = spark.createDataFrame(random["mtld"])
+    assert figures.sorted_slopes(slopes, "time").count() == 40 and figures.slope_histogram(slopes, "time").agg(F.sum("n")).first()[0] == 40
+    assert figures.trajectories(df, "mtld", most=3).select("journalist_id").distinct().count() == 3
+
+
+def test_medians_by_flag(spark):
+    r = np.random.default_rng(2)
+    pdf = pd.DataFrame({"g": r.integers(0, 3, 400), "a": r.integers(0, 9, 400).astype(float), "b": r.normal(size=400)})
+    pdf.loc[pdf.index % 7 == 0, "b"] = np.nan
+    df = spark.createDataFrame(pdf).withColumn("b", F.when(~F.isnan("b"), F.col("b")))
+    for x in ai_use.describe_by_flag(df, ["g"], ["a", "b"]).collect():
+        own = pdf[pdf.g == x.g]
+        assert (x.n_a, x.n_b) == (own.a.count(), own.b.count())
+        assert np.allclose([x.mean_a, x.mean_b, x.median_a, x.median_b], [own.a.mean(), own.b.mean(), own.a.median(), own.b.median()])
+
+
+def test_sub_topics(spark):
+    heads = spark.createDataFrame([("H", "a"), ("I", "b")], "head_topic string, sub_topic string")
+    df = spark.createDataFrame([(1, "['a']"), (2, "nope"), (3, None)], "id int, s string")
+    got = {r.id: (r.predicted_head_topic, r.error) for r in topics.subtopics_to_heads(df, heads, "id", "s").collect()}
+    assert got[1] == ("H", None) and got[2] == (None, "not a list of sub-topics") == got[3]
+
+
 def test_negative_binomial():
     r = np.random.default_rng(5)
     x = r.normal(size=800)
@@ -396,6 +476,30 @@ def test_sampling(spark):
     assert sampling.cap_groups(df.withColumn("g", F.col("id") % 20), "g", 5).select("g").distinct().count() == 5
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_systematic_sample_of_wide_rows(spark, adaptive):
+    """All rows come back, the same ones each time, whatever the plan makes of wide columns, ties and nulls."""
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        wide = spark.range(0, 200_000, 1, 9).select((F.col("id") * 7 % 200_000).alias("k"), F.repeat(F.md5(F.col("id").cast("string")), 16).alias("pad"))
+        want = sorted(int(1 + i * 2000) - 1 for i in range(100))
+        for _ in range(2):
+            out = sampling.systematic_sample(wide, 100, "k")
+            assert out.columns == wide.columns and sorted(r.k for r in out.select("k").collect()) == want
+        ties = spark.createDataFrame([(None, "x")] * 3 + [(1, "a")] * 5 + [(2, c) for c in "cd"], "k int, v string")
+        got = sorted(map(str, (tuple(r) for r in sampling.systematic_sample(ties, 10, "k").collect())))
+        assert got == sorted(map(str, (tuple(r) for r in ties.collect())))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+
+
+def test_split_of_uneven_strata(spark):
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else "a" if i % 3 == 1 else f"one{i}") for i in range(300)], "id int, s string")
+    got = sampling.stratified_split(df, "s", "id", 0.25).groupBy("s").agg(F.count("*").alias("n"), F.count_if(F.col("split") == "dev").alias("dev")).collect()
+    assert all(r.dev == math.floor(r.n * 0.25 + 0.5) for r in got) and sum(r.n for r in got) == 300
+
+
 def docx(paragraphs, cells=()):
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
@@ -430,6 +534,11 @@ def test_sources(spark, tmp_path):
     assert t.columns == ["wort", "n"] and t.count() >= 120
     with pytest.raises(ValueError):
         files.read_delimited(spark, str(tmp_path / "t.csv"), 1000)
+    (tmp_path / "q.txt").write_text('"Word"\t"n"\n' + "\n".join(f"\"w{i}\"\t'{i}'\textra" for i in range(5)) + "\nshort\n\n")
+    q = files.read_delimited(spark, str(tmp_path / "q.txt"), 5)
+    assert q.columns == ["Word", "n"] and sorted(map(tuple, q.collect())) == [(f"w{i}", str(i)) for i in range(5)]
+    (tmp_path / "d.jsonl").write_text('{"title": "t", "windows": [{"ai_assistance_score": 0.5}, {"label": "x"}]}\n{"title": "u", "error": "no"}\n')
+    assert {r.title: r.mean_ai_assistance_score for r in files.read_detector(spark, str(tmp_path / "d.jsonl")).collect()} == {"t": 0.5, "u": None}
     (tmp_path / "o.csv").write_text("a,b\n1,2\n")
     o = files.read_outlets(spark, {"vk": str(tmp_path / "o.csv"), "ed": str(tmp_path / "none.csv")}, {"vk": "national"})
     assert o.first().outlet_type == "national"
@@ -460,11 +569,24 @@ def test_backends(spark):
     assert m.count() == 3
 
 
+def test_landing_stream_forgets(spark, tmp_path):
+    """With a watermark keys are remembered for its delay only."""
+    src = tmp_path / "land"
+    src.mkdir()
+    read = landing.read_landing(spark, str(src), "k int, t timestamp", ["k"], ("t", "1 hour"))
+    (src / "1.json").write_text('{"k": 1, "t": "2024-01-01T00:00:00Z"}\n{"k": 1, "t": "2024-01-01T00:10:00Z"}\n')
+    for n, more in ((2, '{"k": 2, "t": "2024-01-02T00:00:00Z"}\n'), (3, '{"k": 1, "t": "2024-01-02T00:30:00Z"}\n')):
+        landing.run_landing(read, str(tmp_path / "sink"), str(tmp_path / "cp")).awaitTermination()
+        (src / f"{n}.json").write_text(more)
+    landing.run_landing(read, str(tmp_path / "sink"), str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "sink")).collect()) == [1, 1, 2]
+
+
 def test_landing_stream(spark, tmp_path):
     src = tmp_path / "land"
     src.mkdir()
     (src / "1.json").write_text('{"k": 1, "v": "a"}\n{"k": 1, "v": "b"}\n{"k": 2, "v": "c"}\n')
-    run = lambda: landing.run_landing(landing.read_landing(spark, str(src), "k int, v string", ["k"]), str(tmp_path / "sink"), str(tmp_path / "cp")).awaitTermination()
+    run = lambda: landing.run_landing(landing.read_landing(spark, str(src), "k int, v string", ["k"], None), str(tmp_path / "sink"), str(tmp_path / "cp")).awaitTermination()
     run()
     (src / "2.json").write_text('{"k": 2, "v": "d"}\n{"k": 3, "v": "e"}\n')
     run()
