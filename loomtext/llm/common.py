@@ -3,17 +3,19 @@ shared-folder tables and distributed connected components."""
 
 from __future__ import annotations
 
-import gc
-import os
-import tempfile
-import uuid
-from collections.abc import Iterator
+import ctypes
+import functools
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import discard, release, remove, shared_dir, stored, there  # noqa: F401
+
 #: A-Z to a-z; every ASCII byte outside 0-9 A-Z a-z to a space.  Bytes from 0x80 stay.
 _ALNUM = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
@@ -46,6 +48,33 @@ def claim(name: str, clear=None) -> None:
         _OWNER[:] = [name, clear]
 
 
+def trim() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it keeps its memory
+        pass
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow or mapInPandas; when a task ends its worker, which lives on, lets the memory go."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return task
+
+
+def text_bytes(column: pa.Array) -> list[bytes]:
+    """An Arrow string column as UTF-8; null is empty."""
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
 class WordHasher:
     """64-bit hashes of words, equal in every process; the cache is emptied at ``limit`` entries."""
 
@@ -133,61 +162,127 @@ def _inverse_powers(n: int) -> np.ndarray:
     return _grown("inverse", SpanHash.INV, n)
 
 
+#: Bytes that are hashed at a time, and how long a text may be before it is cut at white space.
+SLAB, LONG = 1 << 17, 1 << 20
+
+
+def _blank(data: np.ndarray) -> np.ndarray:
+    """Which bytes are white space (9 to 13 and 32)."""
+    return ((data - np.uint8(9)) < 5) | (data == 32)
+
+
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    """raw cut at white space into parts of about LONG bytes; a word longer than that stays whole."""
+    data, at = np.frombuffer(raw, np.uint8), 0
+    while len(raw) - at > LONG:
+        blank = np.flatnonzero(_blank(data[at : at + LONG]))
+        if len(blank):
+            end = at + int(blank[-1]) + 1
+        else:
+            m = re.compile(rb"[\t-\r ]").search(raw, at + LONG)
+            end = m.end() if m else len(raw)
+        yield raw[at:end]
+        at = end
+    yield raw[at:]
+
+
+def _hash_slab(texts: list[bytes]) -> list[np.ndarray]:
+    data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
+    full = ~_blank(data)
+    edge = np.flatnonzero(full[1:] != full[:-1]) + 1
+    lo, hi = edge[::2], edge[1::2]
+    code = data.astype(np.uint64)
+    code += np.uint64(1)
+    code *= np.uint64(0x9E3779B97F4A7C15)
+    code ^= code >> np.uint64(29)
+    code *= _base_powers(len(data))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(code, out=total[1:])
+    h = (total[hi] - total[lo]) * _inverse_powers(len(data))[lo]
+    h += (hi - lo).astype(np.uint64)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return np.split(mix(h), np.searchsorted(lo, ends[:-1], side="right"))
+
+
+def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
+    """64-bit hashes of the white-space words of each text, equal in every process.
+
+    A word's hash is a polynomial of its bytes' codes, taken from running sums over many texts at once: no word is
+    cut out, looked up or kept.  Long texts are hashed in parts.
+    """
+    out: list[np.ndarray] = []
+    group: list[bytes] = []
+    n = 0
+    for t in texts:
+        if len(t) > LONG:
+            if group:
+                out += _hash_slab(group)
+                group, n = [], 0
+            out.append(np.concatenate([_hash_slab([x])[0] for x in _pieces(t)]))
+            continue
+        group.append(t)
+        n += len(t)
+        if n >= SLAB:
+            out += _hash_slab(group)
+            group, n = [], 0
+    return out + (_hash_slab(group) if group else [])
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """uint64 as the int64 with the same bits (Spark has no unsigned long)."""
     return x.view(np.int64)
 
 
 def bounded_batches(spark: SparkSession, records: int = 512) -> None:
-    """Keep Arrow batches small: whole texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
+    """Keep Arrow batches small: whole texts may be very long, and Spark bounds batches by rows.
 
+    Results are lazy, so the bound must outlive the call: it is the one setting that operators lower in the caller's
+    session.  They never raise it.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > records:
+        spark.conf.set(name, str(records))
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(k1, k2, text): a null-safe row key.  Repeated rows share it and so get the same result; rows that share
-    an id but not their text, or have no id, stay apart."""
-    return docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("k1"),
-        F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("k2"),
-        F.col(text_col).cast("string").alias("text"),
-    )
 
+def integral(df: DataFrame, *columns: str) -> None:
+    """Ids are integers (or null); a table with other ids is refused rather than misread."""
+    kinds = dict(df.dtypes)
+    for name in columns:
+        if kinds[name] not in ("tinyint", "smallint", "int", "bigint", "void"):
+            raise TypeError(f"{name} is {kinds[name]}; ids must be integers")
 
-def key_id(col: str = "k1"):
-    """The id column back from a key."""
-    return F.when(F.col(col) != F.lit(-(2**63)), F.col(col))
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened by underscores until no column of df has one of them."""
+    taken = {c.lower() for c in df.columns}
+    tail = ""
+    while any((n + tail).lower() in taken for n in names):
+        tail += "_"
+    return [n + tail for n in names]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a fresh local one only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _LOCAL.get("dir")
-        if not base:
-            base = _LOCAL["dir"] = tempfile.mkdtemp(prefix="loomtext-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(base)
-    return base
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> tuple:
+    """The two columns of keyed() for a table that keeps its own."""
+    i = F.col(id_col).cast("long")
+    return F.coalesce(i, F.lit(NO_ID)), F.xxhash64(i, F.col(text_col).cast("string"))
 
-_LOCAL: dict[str, str] = {}
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(k1, k2, text): a null-safe row key.  Repeated rows share it and so get the same result; rows that share
+    an id but not their text, or have no id, stay apart."""
+    integral(docs, id_col)
+    k1, k2 = row_key(id_col, text_col)
+    return docs.select(k1.alias("k1"), k2.alias("k2"), F.col(text_col).cast("string").alias("text"))
 
 
-def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = os.path.join(shared_dir(spark), f"loomtext-{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    release(spark)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
+#: Stands for a null id in a key.
+NO_ID = -(2**63)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete stored tables that nothing reads any more (what came from them is itself stored)."""
-    for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
-        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+def key_id(col: str = "k1"):
+    """The id column back from a key."""
+    return F.when(F.col(col) != F.lit(NO_ID), F.col(col))
 
 
 def sized(spark: SparkSession, df: DataFrame, name: str, rows: int = 200_000) -> DataFrame:
@@ -196,12 +291,6 @@ def sized(spark: SparkSession, df: DataFrame, name: str, rows: int = 200_000) ->
     return F.broadcast(table) if table.count() <= rows else table
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished, unreferenced plans."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def frequency_threshold(df: DataFrame, count: str, limit: int) -> int:
     """Least count such that no more than ``limit`` rows reach it: from a histogram of count magnitudes (sixteen to
     a doubling), so neither a sort nor many rows come to the driver."""

@@ -18,35 +18,55 @@ documents (each is a copy of the other); texts below one window are kept; an emp
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from .common import SpanHash, WordHasher, bounded_batches, discard, gram_hashes, key_id, keyed, signed, space_words, stored
+from .common import (
+    SpanHash, bounded_batches, discard, gram_hashes, integral, key_id, keyed, lean, row_key, signed, spare, stored, text_bytes, word_hashes,
+)
 
 OCCURRENCES = "h long, sh long, k1 long, k2 long, n int, spans array<int>"
 
 
+def _least(x: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of each run of width values, by doubling."""
+    n, m, w = len(x) - width + 1, x, 1
+    while 2 * w <= width:
+        m = np.minimum(m[:-w], m[w:])
+        w *= 2
+    return np.minimum(m[:n], m[width - w : width - w + n])
+
+
 def anchors(h: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchor positions with the first and last start of the windows that they anchor."""
-    g = gram_hashes(h, k)
-    n = len(h) - window + 1
+    n, width = len(h) - window + 1, window - k + 1
     if n <= 0:
         e = np.empty(0, np.int64)
         return e, e, e
-    width = window - k + 1
-    at = np.empty(n, np.int64)
+    g = gram_hashes(h, k)
+    low = _least(g, width)
+    # from one window to the next the anchor moves only if the entering gram is smaller, or if it was the one that left
+    enter, left = np.zeros(n, bool), np.zeros(n, bool)
+    enter[1:] = g[width:] < low[:-1]
+    left[1:] = g[: n - 1] == low[:-1]
+    left[0] = True
+    left &= ~enter
+    at = np.arange(n) + width - 1
     view = np.lib.stride_tricks.sliding_window_view(g, width)
-    for lo in range(0, n, 65_536):
-        at[lo : lo + 65_536] = view[lo : lo + 65_536].argmin(1)
-    at += np.arange(n)
-    cut = np.flatnonzero(np.diff(at)) + 1
-    first = np.concatenate(([0], cut))
-    return at[first], first, np.concatenate((cut, [n])) - 1
+    gone = np.flatnonzero(left)
+    for lo in range(0, len(gone), 65_536):
+        part = gone[lo : lo + 65_536]
+        at[part] = part + view[part].argmin(1)
+    first = np.flatnonzero(enter | left)
+    at = at[first]
+    new = np.concatenate(([True], at[1:] != at[:-1]))  # a rescan may find what was there
+    at, first = at[new], first[new]
+    return at, first, np.concatenate((first[1:], [n])) - 1
 
 
 def occurrences(h: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -63,45 +83,65 @@ def occurrences(h: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndar
 
 
 def _emit(window: int, k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = WordHasher()
-        for pdf in batches:
-            rows: list[tuple] = []
-            for k1, k2, text in zip(pdf["k1"], pdf["k2"], pdf["text"]):
-                h, sh, lo, hi = occurrences(hasher(space_words(text if isinstance(text, str) else None)), window, k)
+    """The occurrences of each text by (anchor, class): OCCURRENCES."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hs, shs, sizes, spans, doc = [], [], [], [], []
+            for i, words in enumerate(word_hashes(text_bytes(batch.column("text")))):
+                h, sh, lo, hi = occurrences(words, window, k)
                 if not len(h):
                     continue
                 order = np.lexsort((lo, sh, h))
                 h, sh = h[order], sh[order]
-                spans = np.stack((lo[order], hi[order]), 1).astype(np.int32)
-                cut = np.concatenate(([0], np.flatnonzero((np.diff(h) != 0) | (np.diff(sh) != 0)) + 1, [len(h)]))
-                flat = spans.ravel()
-                rows += [(h[a], sh[a], k1, k2, b - a, flat[2 * a : 2 * b]) for a, b in zip(cut[:-1], cut[1:])]
-            yield pd.DataFrame(rows, columns=["h", "sh", "k1", "k2", "n", "spans"])
-
-    return run
+                cut = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (sh[1:] != sh[:-1]))))
+                hs.append(h[cut])
+                shs.append(sh[cut])
+                sizes.append(np.diff(np.concatenate((cut, [len(h)]))))
+                spans.append(np.stack((lo[order], hi[order]), 1).astype(np.int32).ravel())
+                doc.append(np.full(len(cut), i))
+            if not hs:
+                continue
+            n, at = np.concatenate(sizes), np.concatenate(doc)
+            ends = np.concatenate(([0], np.cumsum(2 * n))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate(hs)), pa.array(np.concatenate(shs)), batch.column("k1").take(pa.array(at)), batch.column("k2").take(pa.array(at)),
+                    pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(spans))),
+                ],
+                names=["h", "sh", "k1", "k2", "n", "spans"],
+            )
+
+    return lean(run)
+
+
+def ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """lo[0]..hi[0], lo[1]..hi[1], ... end to end."""
+    n = hi - lo + 1
+    return np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
 def _windows(window: int):
     """Hashes of the windows of listed occurrences: (w, k1, k2, at)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = WordHasher()
-        for pdf in batches:
-            parts = []
-            for k1, k2, text, wanted in zip(pdf["k1"], pdf["k2"], pdf["text"], pdf["wanted"]):
-                spans = SpanHash(hasher(space_words(text)))
-                flat = np.asarray(wanted, np.int64).reshape(-1, 2)
-                at = np.concatenate([np.arange(a, b + 1) for a, b in flat])
-                parts.append(pd.DataFrame({"w": signed(spans(at, at + window)), "k1": k1, "k2": k2, "at": at.astype(np.int32)}))
-            yield pd.concat(parts) if parts else pd.DataFrame({"w": [], "k1": [], "k2": [], "at": []})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, words in enumerate(word_hashes(text_bytes(batch.column("text")))):
+                spans = SpanHash(words)
+                flat = np.array(batch.column("wanted")[i].as_py(), np.int64).reshape(-1, 2)
+                at = ranges(flat[:, 0], flat[:, 1])
+                own = pa.array(np.full(len(at), i))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(signed(spans(at, at + window))), batch.column("k1").take(own), batch.column("k2").take(own), pa.array(at.astype(np.int32))],
+                    names=["w", "k1", "k2", "at"],
+                )
 
-    return run
+    return lean(run)
 
 
 def repeated_windows(spark: SparkSession, rows: DataFrame, window: int, k: int) -> DataFrame:
     """(k1, k2, lo, hi): runs of window starts lo..hi whose windows also start elsewhere; rows is keyed()."""
-    occ = stored(spark, rows.where("text is not null").mapInPandas(_emit(window, k), OCCURRENCES), "anchors")
+    occ = stored(spark, rows.where("text is not null").mapInArrow(_emit(window, k), OCCURRENCES), "anchors")
     seeds = (
         occ.groupBy("h").agg(F.sum("n").alias("total"), F.min("sh").alias("a"), F.max("sh").alias("b"))
         .where("total > 1").select("h", (F.col("a") != F.col("b")).alias("several"))
@@ -121,7 +161,7 @@ def repeated_windows(spark: SparkSession, rows: DataFrame, window: int, k: int)
         "k1", "k2", F.get("spans", F.col("i")).alias("lo"), F.get("spans", F.col("i") + 1).alias("hi")
     )
     listed = classes.select("one.*").groupBy("k1", "k2").agg(F.flatten(F.collect_list("span")).alias("wanted"))
-    windows = rows.join(listed, ["k1", "k2"]).mapInPandas(_windows(window), "w long, k1 long, k2 long, at int")
+    windows = rows.join(listed, ["k1", "k2"]).mapInArrow(_windows(window), "w long, k1 long, k2 long, at int")
     windows = stored(spark, windows.dropDuplicates(["w", "k1", "k2", "at"]), "windows")
     twice = windows.groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w")
     edges = windows.join(twice, "w").select("k1", "k2", F.col("at").alias("lo"), F.col("at").alias("hi"))
@@ -129,18 +169,28 @@ def repeated_windows(spark: SparkSession, rows: DataFrame, window: int, k: int)
 
 
 def _drop(window: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for k1, k2, text, runs in zip(pdf["k1"], pdf["k2"], pdf["text"], pdf["runs"]):
-                words = space_words(text if isinstance(text, str) else None)
-                gone = covered(len(words), runs, window)
-                kept = words if gone is None else [w for w, g in zip(words, gone.tolist()) if not g]
-                text_kept = b" ".join(kept)
-                out.append((k1, k2, len(words), len(words) - len(kept), text_kept.decode(), hashlib.sha256(text_kept).hexdigest()))
-            yield pd.DataFrame(out, columns=["k1", "k2", "n_words", "n_removed", "kept", "kept_sha256"])
+    """(k1, k2, n_words, n_removed, kept) of each text and its runs."""
 
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_words, removed, kept = [], [], []
+            runs = batch.column("runs").to_pylist()
+            for text, own in zip(text_bytes(batch.column("text")), runs):
+                words = text.split()
+                gone = covered(len(words), own, window)
+                left = words if gone is None else [w for w, g in zip(words, gone.tolist()) if not g]
+                n_words.append(len(words))
+                removed.append(len(words) - len(left))
+                kept.append(b" ".join(left))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("k1"), batch.column("k2"), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
+                names=["k1", "k2", "n_words", "n_removed", "kept"],
+            )
+
+    return lean(run)
+
+
+DROPPED = "k1 long, k2 long, n_words long, n_removed long, kept string"
 
 
 def covered(n: int, runs, window: int) -> np.ndarray | None:
@@ -156,14 +206,12 @@ def covered(n: int, runs, window: int) -> np.ndarray | None:
 
 def drop_repeats(docs: DataFrame, window: int = 35, k: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept (its words outside every repeated window, joined by one
-    space), kept_sha256, with the row key (k1, k2) for joins.  All copies of a passage are removed."""
+    space), with the row key (k1, k2) for joins.  All copies of a passage are removed."""
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = keyed(docs, id_col, text_col)
     runs = repeated_windows(spark, rows, window, k).groupBy("k1", "k2").agg(F.flatten(F.collect_list(F.array("lo", "hi"))).alias("runs"))
-    out = rows.join(runs, ["k1", "k2"], "left").select("k1", "k2", "text", "runs").mapInPandas(
-        _drop(window), "k1 long, k2 long, n_words long, n_removed long, kept string, kept_sha256 string"
-    )
+    out = rows.join(runs, ["k1", "k2"], "left").select("k1", "k2", "text", "runs").mapInArrow(_drop(window), DROPPED)
     return out.withColumn("doc_id", key_id("k1"))
 
 
@@ -175,17 +223,29 @@ def cut_repeats(docs: DataFrame, window: int = 35, k: int = 12) -> DataFrame:
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    runs = repeated_windows(spark, keyed(docs), window, k).groupBy("k1", "k2").agg(F.flatten(F.collect_list(F.array("lo", "hi"))).alias("__runs"))
-    tagged = docs.withColumns({"__k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__k2": F.xxhash64(F.col("doc_id").cast("long"), "text")})
-    joined = tagged.join(runs.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}), ["__k1", "__k2"], "left")
-    cut = F.pandas_udf(lambda t, r: pd.Series([cut_words(a, b, window) for a, b in zip(t, r)], dtype=object), "string")
-    changed = F.col("__runs").isNotNull()
-    out = joined.withColumn("__text", F.when(changed, cut(F.when(changed, F.col("text")), "__runs")).otherwise(F.col("text")))
-    out = out.where(~changed | (F.col("__text") != ""))
-    columns = {"text": F.col("__text")}
+    integral(docs, "doc_id")
+    a, b, found, changed = spare(docs, "__k1", "__k2", "__runs", "__changed")
+    runs = repeated_windows(spark, keyed(docs), window, k).groupBy("k1", "k2").agg(F.flatten(F.collect_list(F.array("lo", "hi"))).alias(found))
+    tagged = docs.withColumn("text", F.col("text").cast("string")).withColumns(dict(zip((a, b), row_key())))
+    joined = tagged.join(runs.withColumnsRenamed({"k1": a, "k2": b}), [a, b], "left").select(*docs.columns, found)
+    own = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(i) for i in range(len(docs_columns))]
+            texts, cuts = columns[own], batch.column(len(docs_columns))
+            if cuts.null_count < len(cuts):
+                texts = [t.as_py() if not r.is_valid else cut_words(t.as_py(), r.as_py(), window) for t, r in zip(texts, cuts)]
+                columns[own] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, cuts.is_valid()], names=[*docs_columns, changed])
+
+    docs_columns = list(docs.columns)
+    fields = [tagged.schema[c] for c in docs_columns]
+    out = joined.mapInArrow(lean(run), StructType([*fields, StructField(changed, BooleanType())]))
+    out = out.where(~F.col(changed) | (F.col("text") != ""))
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(changed, F.length("__text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return out.withColumns(columns).select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(changed), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def cut_words(text: str | None, runs, window: int) -> str | None:
@@ -207,6 +267,6 @@ def cut_words(text: str | None, runs, window: int) -> str | None:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select(
-        "doc_id", "n_words", "n_removed", "kept_sha256"
-    )
+    """doc_id, n_words, n_removed and kept_sha256 of every document: words in 35-word windows that stand elsewhere."""
+    found = drop_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

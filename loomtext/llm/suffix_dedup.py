@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import grouped, whole_groups
-from .common import SpanHash, WordHasher, bounded_batches, discard, key_id, keyed, signed, space_words, stored
-from .substring_dedup import OCCURRENCES, _drop, _emit
+from .common import SpanHash, bounded_batches, discard, key_id, keyed, lean, signed, stored, word_hashes
+from .substring_dedup import DROPPED, OCCURRENCES, _drop, _emit
 
 SUFFIXES = "h long, salt int, k1 long, k2 long, at int, lo int, hi int, copies long, salted boolean, after binary, before binary, wins binary"
 FOUND = "kind int, w long, k1 long, k2 long, lo int, hi int"
@@ -39,11 +39,9 @@ def _suffixes(window: int, k: int):
     """The kept suffix of each class with its words after and before the start, and its windows' hashes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = WordHasher()
         for pdf in batches:
             rows = []
-            for k1, k2, text, wanted in zip(pdf["k1"], pdf["k2"], pdf["text"], pdf["wanted"]):
-                words = hasher(space_words(text))
+            for k1, k2, words, wanted in zip(pdf["k1"], pdf["k2"], word_hashes([t.encode() for t in pdf["text"]]), pdf["wanted"]):
                 short = (words >> np.uint64(32)).astype("<u4")
                 spans = SpanHash(words)
                 for x in wanted:
@@ -56,7 +54,7 @@ def _suffixes(window: int, k: int):
                     ))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SUFFIXES.split(", ")])
 
-    return run
+    return lean(run)
 
 
 def _start(h: int, lo: int, hi: int, window: int, k: int, spans: SpanHash) -> int:
@@ -131,12 +129,12 @@ def _compare(window: int):
                 place = (np.repeat(lo[rows].astype(np.int64), many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)).astype(np.int32)
                 yield pd.DataFrame({"kind": 1, "w": np.concatenate([wins[k] for k in rows.tolist()]), "k1": k1[own], "k2": k2[own], "lo": place, "hi": place})
 
-    return run
+    return lean(run)
 
 
 def repeated_runs(spark: SparkSession, rows: DataFrame, window: int, k: int, array_rows: int) -> DataFrame:
     """(k1, k2, lo, hi): runs of window starts whose windows also start elsewhere; rows is keyed()."""
-    occ = stored(spark, rows.where("text is not null").mapInPandas(_emit(window, k), OCCURRENCES), "minimisers")
+    occ = stored(spark, rows.where("text is not null").mapInArrow(_emit(window, k), OCCURRENCES), "minimisers")
     shared = (
         occ.groupBy("h").agg(F.sum("n").alias("total"), F.min("sh").alias("a"), F.max("sh").alias("b"))
         .where("total > 1").select("h", (F.col("a") != F.col("b")).alias("several"))
@@ -173,20 +171,18 @@ def repeated_runs(spark: SparkSession, rows: DataFrame, window: int, k: int, arr
 def find_repeats(
     docs: DataFrame, window: int = 50, k: int = 16, array_rows: int = 4096, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Per document: doc_id, n_words, n_removed (words in repeats of at least ``window`` words), kept (the other
-    words) and kept_sha256."""
+    """Per document: doc_id, n_words, n_removed (words in repeats of at least ``window`` words) and kept (the other
+    words, joined by one space), with the row key (k1, k2).  ``array_rows``: from how many suffixes an array is dealt
+    into salted parts; it changes no result."""
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = keyed(docs, id_col, text_col)
     runs = repeated_runs(spark, rows, window, k, array_rows).groupBy("k1", "k2").agg(F.flatten(F.collect_list(F.array("lo", "hi"))).alias("runs"))
-    out = rows.join(runs, ["k1", "k2"], "left").select("k1", "k2", "text", "runs").mapInPandas(
-        _drop(window), "k1 long, k2 long, n_words long, n_removed long, kept string, kept_sha256 string"
-    )
+    out = rows.join(runs, ["k1", "k2"], "left").select("k1", "k2", "text", "runs").mapInArrow(_drop(window), DROPPED)
     return out.withColumn("doc_id", key_id("k1"))
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_repeated and kept_sha256: words in passages of at least 50 words that stand elsewhere."""
-    return find_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select(
-        "doc_id", "n_words", F.col("n_removed").alias("n_repeated"), "kept_sha256"
-    )
+    found = find_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", F.col("n_removed").alias("n_repeated"), F.sha2("kept", 256).alias("kept_sha256"))
