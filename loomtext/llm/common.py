@@ -10,7 +10,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,32 +74,6 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-class WordHasher:
-    """64-bit hashes of words, equal in every process; the cache is emptied at ``limit`` entries."""
-
-    def __init__(self, limit: int = 150_000):
-        claim("words")
-        self.limit, self.cache = limit, {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        cache = self.cache
-        got = list(map(cache.get, words))
-        if None in got:
-            if len(cache) > self.limit:
-                cache.clear()
-            digest = xxhash.xxh64_intdigest
-            for i, h in enumerate(got):
-                if h is None:
-                    w = words[i]
-                    h = cache.get(w)
-                    if h is None:
-                        h = digest(w)
-                        if len(w) <= 64:
-                            cache[w] = h
-                    got[i] = h
-        return np.array(got, dtype=np.uint64)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (murmur style)."""
     x = x.astype(np.uint64, copy=True)

@@ -7,8 +7,9 @@ come last in the order, which keeps frequent passages out of the prefixes.  The
 
 Inside blocks, candidates come from R-trees over count vectors: the elements are hashed to groups, a class is the
 point of its group counts, and two classes share at most the sum of the smaller counts.  A block's points are packed
-into leaves by size; a leaf is bounded by its largest counts and smallest size.  All trees of an Arrow batch are
-searched at once.  A pair must also pass the positional filter at the shared element.
+into nodes by size, level upon level; a node is bounded by its largest counts and smallest size, and a search descends
+from the root only where that bound still allows a link.  All trees of a batch are searched at once.  A pair must
+also pass the positional filter at the shared element, and large sets a bound over finer groups.
 
 Only components are asked for.  Small blocks return their candidate pairs, large ones star edges of their candidate
 graph; the components of all of these are clusters.  Every class's text is sent to its cluster, where sets are built
@@ -17,7 +18,7 @@ lost: linked classes share enough blocks, pass both filters and meet in a cluste
 
 Defined cases: null or empty texts and texts of white space have an empty set and stay alone; fewer words than n are
 one shingle, the whole sequence; repeated rows are copies of each other; null ids: see keyed(), such a row's component
-is the smallest id of its group or null; an empty table gives no rows.
+is the smallest id of its group or null; ids that are no integers are refused; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,13 +27,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import grouped, split_blocks, stream_groups, whole_groups
-from .common import WordHasher, bounded_batches, connected_components, discard, frequency_threshold, gram_hashes, key_id, keyed, lower_space_words, mix, signed, sized, stored
+from .blocks import grouped, stream_groups, whole_groups
+from .common import (
+    NO_ID, bounded_batches, connected_components, discard, frequency_threshold, gram_hashes, key_id, keyed, lean, mix, row_key, signed, sized,
+    spare, stored, text_bytes, word_hashes,
+)
 
-GROUPS = 256
+#: Groups of the count vectors of all sets, and the finer ones of large sets.
+GROUPS, FINE = 64, 256
 #: A saturated count stands for any larger one.
 FULL = 255
 WIDE = 512
@@ -49,14 +56,37 @@ def shingles(h: np.ndarray, n: int) -> np.ndarray:
     return np.unique(gram_hashes(h, n))
 
 
-def count_vector(s: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    return np.bincount((s >> np.uint64(40)).astype(np.int64) % groups, minlength=groups).astype(np.int32)
+def text_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
+    return [shingles(h, n) for h in word_hashes([t.lower() for t in texts])]
+
+
+def count_vector(s: np.ndarray, groups: int) -> np.ndarray:
+    """How many elements fall into each group; ``groups`` is a power of two, and coarser groups are unions."""
+    return np.bincount((s >> np.uint64(40)).astype(np.int64) & (groups - 1), minlength=groups).astype(np.int32)
 
 
 def packed(counts: np.ndarray) -> bytes:
     return np.minimum(counts, FULL).astype(np.uint8).tobytes()
 
 
+def point(s: np.ndarray) -> bytes:
+    """A set's count vector: fine groups for large sets."""
+    return packed(count_vector(s, FINE if len(s) >= LARGE else GROUPS))
+
+
+def points(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of packed vectors: all as GROUPS counts, the fine ones, and each row's place among those (-1: none)."""
+    size = np.array([len(x) for x in raw])
+    data, at = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size
+    out, place = np.empty((len(raw), GROUPS), np.uint8), np.full(len(raw), -1)
+    small, large = np.flatnonzero(size == GROUPS), np.flatnonzero(size == FINE)
+    out[small] = data[at[small][:, None] + np.arange(GROUPS)]
+    fine = data[at[large][:, None] + np.arange(FINE)]
+    out[large] = np.minimum(fine.reshape(len(large), FINE // GROUPS, GROUPS).sum(1, dtype=np.int32), FULL)
+    place[large] = np.arange(len(large))
+    return out, fine, place
+
+
 def shared_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Sums of the smaller counts; where both are saturated the bound is open."""
     low = np.minimum(a, b)
@@ -81,46 +111,62 @@ def needed(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     return -((-percent * (na + nb)) // (100 + percent))
 
 
+def levels(first: np.ndarray, counts: np.ndarray, sizes: np.ndarray, fan: int) -> list[tuple[np.ndarray, ...]]:
+    """The packed R-trees of all blocks, from the leaves up to one root a block.  Each level: the first child of each
+    node, where its children end, its largest counts, its smallest size, the first node of each block."""
+    out, top, high, low = [], first, counts, sizes
+    while not out or (np.diff(top) > 1).any():
+        n = np.diff(top)
+        nodes = -(-n // fan)
+        begin = np.concatenate(([0], np.cumsum(nodes)))
+        block = np.repeat(np.arange(len(n)), nodes)
+        child = top[block] + (np.arange(begin[-1]) - begin[block]) * fan
+        high, low = np.maximum.reduceat(high, child, axis=0), low[child]
+        out.append((child, np.minimum(child + fan, top[block + 1]), high, low, begin))
+        top = begin
+    return out
+
+
 def forest_search(
-    first: np.ndarray, counts: np.ndarray, sizes: np.ndarray, places: np.ndarray | None, percent: int, leaf: int = 16, memory: int = 16_000_000
+    first: np.ndarray, counts: np.ndarray, sizes: np.ndarray, places: np.ndarray | None, percent: int, fan: int = 16, memory: int = 16_000_000
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidate pairs (i, j), i < j, within blocks: rows first[b] to first[b + 1] - 1, by rising size.
 
-    Every block is a packed R-tree of leaves of ``leaf`` points.  ``places`` are the positions of the block's element
-    in the rows' orders, for the positional filter.  ``memory``: bytes of count vectors at a time.
+    ``fan``: children of a node of a block's R-tree.  ``places`` are the positions of the block's element in the rows'
+    orders, for the positional filter.  ``memory``: bytes of count vectors at a time.
     """
-    slab = max(leaf, memory // (counts.shape[1] * counts.itemsize))
+    slab = max(fan, memory // (counts.shape[1] * counts.itemsize))
     total = int(first[-1])
     if not total:
         return
+    tree = levels(first, counts, sizes, fan)
     block = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    leaves = -(-np.diff(first) // leaf)
-    leaf_top = np.concatenate(([0], np.cumsum(leaves)))
-    leaf_block = np.repeat(np.arange(len(leaves)), leaves)
-    leaf_first = first[leaf_block] + (np.arange(leaf_top[-1]) - leaf_top[leaf_block]) * leaf
-    leaf_last = np.minimum(leaf_first + leaf, first[leaf_block + 1])
-    high, low = np.maximum.reduceat(counts, leaf_first, axis=0), sizes[leaf_first]
-    own = leaf_top[block] + (np.arange(total) - first[block]) // leaf
-    visits = np.cumsum(leaf_top[block + 1] - own)
+    own = []  # the node of each level that holds a row
+    below, start = np.arange(total), first
+    for *_, begin in tree:
+        below = begin[block] + (below - start[block]) // fan
+        own.append(below)
+        start = begin
+    visits = np.cumsum(tree[0][4][block + 1] - own[0])
     at = 0
     while at < total:
         base = visits[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(visits, base + slab // leaf, side="right")))
-        i = np.arange(at, end)
-        n = leaf_top[block[i] + 1] - own[i]
-        q = np.repeat(i, n)
-        node = np.repeat(own[i], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        keep = 100 * sizes[q] >= percent * low[node]
-        q, node = q[keep], node[keep]
-        far = np.flatnonzero(node != own[q])
-        if len(far):
-            keep = np.ones(len(q), bool)
-            keep[far] = (100 + percent) * shared_bound(counts[q[far]], high[node[far]]) >= percent * (sizes[q[far]] + low[node[far]])
+        end = max(at + 1, int(np.searchsorted(visits, base + slab // fan, side="right")))
+        q = np.arange(at, end)
+        node = own[-1][q]
+        for level in range(len(tree) - 1, -1, -1):
+            child, last, high, low, _ = tree[level]
+            keep = 100 * sizes[q] >= percent * low[node]
+            far = np.flatnonzero(keep & (node != own[level][q]))
+            if len(far):
+                keep[far] = (100 + percent) * shared_bound(counts[q[far]], high[node[far]]) >= percent * (sizes[q[far]] + low[node[far]])
             q, node = q[keep], node[keep]
-        start = np.maximum(leaf_first[node], q + 1)
-        n = np.maximum(leaf_last[node] - start, 0)
-        x = np.repeat(q, n)
-        y = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            # children before the row's own hold pairs that are found from their other side
+            begin = np.maximum(child[node], own[level - 1][q] if level else q + 1)
+            n = np.maximum(last[node] - begin, 0)
+            q = np.repeat(q, n)
+            node = np.repeat(begin, n) + np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n)
+        x, y = q, node
         keep = 100 * sizes[x] >= percent * sizes[y]
         if places is not None:
             need = needed(sizes[x], sizes[y], percent)
@@ -132,28 +178,32 @@ def forest_search(
         at = end
 
 
-def _describe(n: int, report: int):
-    """kind 0: (k1, k2, cid, n, counts) of a document; kind 1: an element (cid) that n texts of this task hold."""
+def _describe(n: int, report: int, at_once: int = 3_000_000):
+    """kind 0: (k1, k2, cid, n, counts) of a document; kind 1: an element (cid) that n texts hold, of the about
+    ``at_once`` elements of a task that are compared at a time."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = WordHasher()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         total = 0
-        for pdf in batches:
-            rows = []
-            for k1, k2, text in zip(pdf["k1"], pdf["k2"], pdf["text"]):
-                s = shingles(hasher(lower_space_words(text if isinstance(text, str) else None)), n)
-                rows.append((0, k1, k2, class_id(s), len(s), packed(count_vector(s))))
-                held.append(s)
-                total += len(s)
-            yield pd.DataFrame(rows, columns=["kind", "k1", "k2", "cid", "n", "counts"])
-            if total > 1_000_000:
+        for batch in batches:
+            sets = text_sets(text_bytes(batch.column("text")), n)
+            held += sets
+            total += sum(map(len, sets))
+            yield _facts(0, batch.column("k1"), batch.column("k2"), [class_id(s) for s in sets], [len(s) for s in sets], [point(s) for s in sets])
+            if total > at_once:
                 yield _frequent(held, report)
                 held, total = [], 0
         if held:
             yield _frequent(held, report)
 
-    return run
+    return lean(run)
+
+
+def _facts(kind: int, k1, k2, cid, n, counts) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(cid), kind, np.int32)), k1, k2, pa.array(cid, pa.int64()), pa.array(n, pa.int64()), pa.array(counts, pa.binary())],
+        names=["kind", "k1", "k2", "cid", "n", "counts"],
+    )
 
 
 def class_id(s: np.ndarray) -> int:
@@ -165,47 +215,46 @@ def class_id(s: np.ndarray) -> int:
     return int(signed(x)[0]) or 1
 
 
-def _frequent(held: list[np.ndarray], report: int) -> pd.DataFrame:
+def _frequent(held: list[np.ndarray], report: int) -> pa.RecordBatch:
     x = np.concatenate(held)
     x.sort()
-    edge = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-    n = np.diff(np.concatenate((edge, [len(x)])))
+    edge = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.empty(0, np.int64)
+    n = np.diff(np.concatenate((edge, [len(x)]))) if len(x) else edge
     many = n >= report
-    return pd.DataFrame({"kind": 1, "k1": 0, "k2": 0, "cid": signed(x[edge[many]]), "n": n[many], "counts": b""})
+    none = pa.array(np.zeros(int(many.sum()), np.int64))
+    return _facts(1, none, none, signed(x[edge[many]]), n[many], [b""] * len(none))
 
 
-def _prefixes(n: int, percent: int, hot: np.ndarray, hot_n: np.ndarray):
-    """(key, cid, place, leads) for the prefix elements of each distinct set of a task.  leads: the element may be
-    the first common one if the set is the smaller of a pair."""
+def _prefixes(n: int, percent: int, hot: Broadcast):
+    """(key, cid, at) for the prefix elements of each distinct set of a task.  at: twice the element's place, plus one
+    if it may be the first common one where the set is the smaller of a pair."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = WordHasher()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, times = hot.value
         seen: set[int] = set()
-        for pdf in batches:
-            keys, ids, places, leads = [], [], [], []
-            for text in pdf["text"]:
-                s = shingles(hasher(lower_space_words(text if isinstance(text, str) else None)), n)
+        for batch in batches:
+            keys, ids, places = [], [], []
+            for s in text_sets(text_bytes(batch.column("text")), n):
                 cid = class_id(s)
                 if not cid or cid in seen:
                     continue
                 if len(seen) < 200_000:  # a set seen again only adds rows that the block drops
                     seen.add(cid)
                 freq = np.zeros(len(s), np.int64)
-                if len(hot):
-                    at = np.searchsorted(hot, s)
-                    at[at == len(hot)] = 0
-                    freq = np.where(hot[at] == s, hot_n[at], 0)
+                if len(known):
+                    at = np.searchsorted(known, s)
+                    at[at == len(known)] = 0
+                    freq = np.where(known[at] == s, times[at], 0)
                 more = int(shared_keys(np.array(len(s)))) - 1
                 p = min(prefix_length(len(s), percent) + more, len(s))
-                order = np.lexsort((s, freq))[:p]
-                keys.append(signed(s[order]))
+                place = np.arange(p)
+                keys.append(signed(s[np.lexsort((s, freq))[:p]]))
                 ids.append(np.full(p, cid))
-                places.append(np.arange(p, dtype=np.int32))
-                leads.append(places[-1] <= len(s) - needed(len(s), len(s), percent) + more)
+                places.append(2 * place + (place <= len(s) - needed(len(s), len(s), percent) + more))
             if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys), "cid": np.concatenate(ids), "place": np.concatenate(places), "leads": np.concatenate(leads)})
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, places)], names=["key", "cid", "at"])
 
-    return run
+    return lean(run)
 
 
 class Links:
@@ -247,12 +296,16 @@ def _block_pairs(percent: int, hot_rows: int):
             new = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             first = np.concatenate(([0], new, [len(pdf)]))
             hot = np.repeat(np.diff(first) > hot_rows, np.diff(first))
-            counts = np.frombuffer(b"".join(pdf["counts"]), np.uint8).reshape(len(pdf), -1)
+            counts, fine, row = points(pdf["counts"].tolist())
             cid, c, sizes = pdf["cid"].to_numpy(), pdf["_c"].to_numpy(), pdf["n"].to_numpy()
             links, found = Links(), []
             for x, y in forest_search(first, counts, sizes, pdf["place"].to_numpy(), percent):
                 keep = ((i[x] == j[x]) | (c[x] != c[y])) & (cid[x] != cid[y])
                 x, y = x[keep], y[keep]
+                both = np.flatnonzero((row[x] >= 0) & (row[y] >= 0))
+                less = np.zeros(len(x), bool)
+                less[both] = shared_bound(fine[row[x[both]]], fine[row[y[both]]]) < needed(sizes[x[both]], sizes[y[both]], percent)
+                x, y = x[~less], y[~less]
                 for a, b in np.unique(np.stack((cid[x[hot[x]]], cid[y[hot[x]]]), 1), axis=0).tolist():
                     links.add(a, b)
                 x, y = x[~hot[x]], y[~hot[x]]
@@ -261,7 +314,7 @@ def _block_pairs(percent: int, hot_rows: int):
             pairs, times = np.unique(np.concatenate(found), axis=0, return_counts=True) if found else (np.empty((0, 3), np.int64), [])
             yield pd.concat([stars, pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "n": pairs[:, 2], "keys": times})])
 
-    return run
+    return lean(run)
 
 
 def _verify(n: int, percent: int):
@@ -269,10 +322,9 @@ def _verify(n: int, percent: int):
     group they stand and which component they belong to."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = WordHasher()
         for g in stream_groups(batches, ["cluster", "_i", "_j"]):
             g = g.drop_duplicates(["cid", "left", "right"])
-            sets = [shingles(hasher(lower_space_words(t)), n) for t in g["text"]]
+            sets = text_sets([t.encode() for t in g["text"]], n)
             order = np.argsort([len(s) for s in sets], kind="stable")
             sets = [sets[k] for k in order]
             comp, left, right = (g[c].to_numpy()[order] for c in ("comp", "left", "right"))
@@ -290,19 +342,18 @@ def _verify(n: int, percent: int):
                             links.add(int(comp[a]), int(comp[b]))
             yield links.frame()
 
-    return run
+    return lean(run)
 
 
 def _wide(n: int, groups: int = 2048):
     """Sizes and wide count vectors of texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = WordHasher()
         for pdf in batches:
-            sets = [shingles(hasher(lower_space_words(t)), n) for t in pdf["text"]]
+            sets = text_sets([t.encode() for t in pdf["text"]], n)
             yield pd.DataFrame({"cluster": pdf["cluster"], "cid": pdf["cid"], "n": [len(s) for s in sets], "counts": [packed(count_vector(s, groups)) for s in sets]})
 
-    return run
+    return lean(run)
 
 
 def _wide_pairs(percent: int):
@@ -318,7 +369,7 @@ def _wide_pairs(percent: int):
                 x, y = x[keep], y[keep]
                 yield pd.DataFrame({"a": np.minimum(cid[x], cid[y]), "b": np.maximum(cid[x], cid[y])})
 
-    return run
+    return lean(run)
 
 
 class Clusters:
@@ -386,7 +437,7 @@ class Clusters:
 def ngram_components(rows: DataFrame, n: int, percent: int, report: int, order_limit: int, chunk: int, hot_rows: int, cluster_rows: int) -> tuple[DataFrame, DataFrame]:
     """Of keyed() rows: (k1, k2, cid, n) of every row, and (id, component) of the classes with links."""
     spark = rows.sparkSession
-    described = rows.mapInPandas(_describe(n, report), "kind int, k1 long, k2 long, cid long, n long, counts binary")
+    described = rows.mapInArrow(_describe(n, report), "kind int, k1 long, k2 long, cid long, n long, counts binary")
     facts = stored(spark, described, "sets")
     docs = facts.where("kind = 0").select("k1", "k2", "cid", "n")
     classes = (
@@ -399,35 +450,43 @@ def ngram_components(rows: DataFrame, n: int, percent: int, report: int, order_l
     hot = hot.where(F.col("n") >= frequency_threshold(hot, "n", order_limit)).toPandas()
     keys = hot["cid"].to_numpy(np.int64).view(np.uint64)
     at = np.argsort(keys)
-    emit = _prefixes(n, percent, keys[at], hot["n"].to_numpy(np.int64)[at])
-    routed = rows.where("text is not null").mapInPandas(emit, "key long, cid long, place int, leads boolean")
-    # blocks of one class, and blocks where no element can lead, go; sizes come from partial aggregates
+    known = spark.sparkContext.broadcast((keys[at], hot["n"].to_numpy(np.int64)[at]))
+    routed = rows.where("text is not null").mapInArrow(_prefixes(n, percent, known), "key long, cid long, at long")
+    # blocks of one class, and blocks where no element can lead, go; the others' sizes come from the same pass
     w = Window.partitionBy("key")
-    live = routed.withColumns({"x": F.min("cid").over(w), "y": F.max("cid").over(w), "l": F.max("leads").over(w)}).where("x != y and l")
-    blocks = stored(spark, live.select("key", "cid", "place"), "blocks")
-    split = split_blocks(blocks, ["key"], "cid", chunk).join(classes.select("cid", "n", "counts"), "cid")
+    live = routed.withColumns({"x": F.min("cid").over(w), "y": F.max("cid").over(w), "l": F.max(F.col("at") % 2).over(w), "m": F.count("*").over(w)})
+    blocks = stored(spark, live.where("x != y and l = 1").select("key", "cid", F.shiftright("at", 1).cast("int").alias("place"), F.ceil(F.col("m") / chunk).cast("int").alias("p")), "blocks")
+    known.unpersist()
+    # a block of several chunks meets in pairs of chunks; vectors come to the rows before these are dealt
+    c = F.pmod(F.xxhash64("cid"), F.col("p").cast("long")).cast("int")
+    to = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda o: F.struct(F.least(F.col("_c"), o).alias("i"), F.greatest(F.col("_c"), o).alias("j")))
+    split = blocks.join(classes.select("cid", "n", "counts"), "cid").withColumn("_c", c).withColumn("_to", F.explode(to))
+    split = split.select("key", F.col("_to.i").alias("_i"), F.col("_to.j").alias("_j"), "_c", "cid", "place", "n", "counts")
     pairs = grouped(split, ["key", "_i", "_j"], ["n"]).mapInPandas(_block_pairs(percent, hot_rows), CANDIDATES)
     pairs = pairs.groupBy("a", "b").agg(F.sum("keys").alias("keys"), F.min("n").alias("n"))
     pairs = stored(spark, pairs.where((F.col("n") < LARGE) | (F.col("keys") >= F.floor(F.col("n") * SHARE) + 1)).select(F.col("a").alias("u"), F.col("b").alias("v")), "candidates")
     discard(blocks)
-    clusters = connected_components(spark, pairs, "clusters").select(F.col("id").alias("cid"), F.col("component").alias("cluster"))
+    clusters = stored(spark, connected_components(spark, pairs, "clusters").select(F.col("id").alias("cid"), F.col("component").alias("cluster")), "clusters")
+    discard(pairs)
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("m")).where(F.col("m") > cluster_rows)
     parts = F.coalesce(F.ceil(F.col("m") / cluster_rows).cast("int"), F.lit(1))
     members = clusters.join(sizes, "cluster", "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts").cast("long")).cast("int"))
     members = sized(spark, members.join(classes.select("cid", "one.*"), "cid").select("k1", "k2", "cid", "cluster", "part", "parts"), "members")
+    discard(classes, clusters)
     texts = stored(spark, rows.join(members, ["k1", "k2"]).select("cluster", "cid", "part", "parts", "text"), "texts")
     return docs, Clusters(texts, n, percent, cluster_rows).components()
 
 
 def ngram_join(
-    docs: DataFrame, n: int = 5, percent: int = 80, report: int = 16, order_limit: int = 200_000,
-    chunk: int = 1024, hot_rows: int = 64, cluster_rows: int = 128, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, n: int = 5, percent: int = 80, report: int = 4, order_limit: int = 200_000,
+    chunk: int = 2048, hot_rows: int = 64, cluster_rows: int = 128, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """Per document: k1, k2 (its row key), n_shingles and component_id, the smallest id reachable by links.
+    """Per document: k1, k2 (its row key), n_shingles, component_id, the smallest id reachable by links, and
+    component, which also tells groups without any id apart (null for empty sets).
 
-    ``percent``: Jaccard similarity in hundredths.  ``report``: from how many texts of one task an element counts
-    as frequent; ``order_limit``: how many of those the order knows; ``chunk``, ``hot_rows`` and ``cluster_rows``:
-    sizes at which blocks and clusters are treated in parts.  None of these five changes results.
+    ``percent``: Jaccard similarity in hundredths.  ``report``: from how many texts of a part of a task an element
+    counts as frequent; ``order_limit``: how many of those the order knows; ``chunk``, ``hot_rows`` and
+    ``cluster_rows``: sizes at which blocks and clusters are treated in parts.  None of these five changes results.
     """
     bounded_batches(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
@@ -436,25 +495,38 @@ def ngram_join(
         "k1", "k2", "n", F.when(F.col("n") > 0, F.coalesce("component", "cid")).alias("comp")
     )
     placed = stored(docs.sparkSession, placed, "placed")
-    first = placed.where("comp is not null").groupBy("comp").agg(F.min(key_id("k1")).alias("first"))
+    first = sized(docs.sparkSession, placed.where("comp is not null").groupBy("comp").agg(F.min(key_id("k1")).alias("first")), "first")
     return placed.join(first, "comp", "left").select(
-        "k1", "k2", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first")).otherwise(key_id("k1")).alias("component_id")
+        "k1", "k2", F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("first")).otherwise(key_id("k1")).alias("component_id"), F.col("comp").alias("component"),
     )
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each group: the row with the group's smallest id.
 
-    Rows without words stay.  Of repeated rows one stays, and so does one of the rows that share the smallest id or
-    have none; a row number within its group decides, after rows that cannot stay have gone."""
+    Rows without words stay.  Of rows that share the smallest id, or of a group without ids, the one with the smallest
+    key stays, and of rows with equal id and text the one whose columns have the smallest hash; equal rows are one.
+    Texts are joined with narrow tables only, by broadcast while those are small."""
+    spark = docs.sparkSession
     found = ngram_join(docs, **options)
-    first = found.where("n_shingles = 0 or k1 = component_id or component_id is null").dropDuplicates(["k1", "k2"])
-    tagged = docs.withColumns({"__k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__k2": F.xxhash64(F.col("doc_id").cast("long"), "text")})
-    kept = tagged.join(first.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "n_shingles"), ["__k1", "__k2"])
-    w = Window.partitionBy("__k1", "__k2").orderBy(F.lit(0))
-    return kept.withColumn("__r", F.row_number().over(w)).where("__r = 1 or n_shingles = 0").select(*docs.columns)
+    keys = found.groupBy("k1", "k2").agg(F.first("component").alias("component"), F.count("*").alias("copies"))
+    first = keys.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("k1") == F.lit(NO_ID), "k1", "k2", "copies")).alias("f"))
+    stay = first.select("f.k1", "f.k2", "f.copies").unionAll(keys.where("component is null").select("k1", "k2", F.lit(1).cast("long")))
+    stay = stored(spark, stay, "stay")
+    a, b = spare(docs, "__k1", "__k2")
+    tagged = docs.withColumns(dict(zip((a, b), row_key())))
+    kept = lambda rows, name: tagged.join(sized(spark, rows.select(F.col("k1").alias(a), F.col("k2").alias(b)), name), [a, b])
+    out = kept(stay.where("copies = 1"), "single").select(*docs.columns)
+    several = stay.where("copies > 1")
+    if not several.isEmpty():
+        plain = [c for c, kind in docs.dtypes if "map<" not in kind]
+        one = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*[F.col(f"`{c}`") for c in plain]))
+        out = out.unionAll(kept(several, "several").groupBy(a, b).agg(one.alias("r")).select("r.*"))
+    return out
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document: components of five-word-shingle similarity 0.8."""
     found = ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return found.select(key_id("k1").alias("doc_id"), "n_shingles", "component_id")
