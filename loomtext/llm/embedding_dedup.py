@@ -7,8 +7,10 @@ cell and to every neighbour within the radius, and vectors meet in the own cell
 pair counts only in its first block within the budget and is then verified by its exact cosine, so the union of the
 candidates is verified once and link counts add up.
 
-Equal vectors are one class first (a partial aggregate), so copies cost one row.  Large cells are split into chunk
-pairs.  A group returns link counts and star edges, never its pairs.  Grid dimensions grow with the largest label.
+Equal vectors are one class first (a partial aggregate), so copies cost one row; rows get their class's result by a
+128-bit hash of the vector, so vectors are shuffled once, and rows of a class with many copies are salted.  Large
+cells are split into chunk pairs: exact link counts need every pair of a cell's different vectors to be compared.  A
+group returns link counts and star edges, never its pairs.  Grid dimensions grow with the largest label.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and vectors with a null
 label link with nothing (component: their own id); different lengths never link; rows with a null id are returned
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Forest, grouped, split_blocks, stream_groups
-from .common import connected_components, discard, stored
+from .common import connected_components, discard, integral, lean, sized, stored
 
 _ROTATIONS: dict[int, np.ndarray] = {}
 
@@ -82,7 +84,7 @@ def _spread(blocks: int, budget: float, grid_dims: int, width: float):
                     }))
             yield from parts
 
-    return run
+    return lean(run)
 
 
 def _join(blocks: int, threshold: float, budget: float, slab: int = 50_000):
@@ -133,15 +135,18 @@ def _join(blocks: int, threshold: float, budget: float, slab: int = 50_000):
             if len(hit):
                 yield pd.DataFrame({"id": ids[hit], "links": links[hit], "peer": ids[[forest.find(k) for k in hit.tolist()]]})
 
-    return run
+    return lean(run)
 
 
 def link_embeddings(
-    table: DataFrame, threshold: float = 0.98, blocks: int = 4, width: float = 4.0, cell_rows: int = 4096, chunk: int = 1024,
+    table: DataFrame, threshold: float = 0.98, blocks: int = 4, width: float = 4.0, cell_rows: int = 4096, chunk: int = 4096,
     id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
 ) -> DataFrame:
-    """vec_id, n_links, component_id and kept for every row of table."""
+    """vec_id, n_links, component_id and kept for every row of table.  ``blocks``: subspaces; ``width``: of a grid cell in
+    radii; ``cell_rows``: about how many vectors of the largest label a cell may hold; ``chunk``: from how many rows a
+    cell is split and a class salted.  None of these changes results."""
     spark = table.sparkSession
+    integral(table, id_col)
     budget = (2 - 2 * threshold) * (1 + 1e-9) + 1e-12
     rows = table.select(
         F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"),
@@ -153,10 +158,11 @@ def link_embeddings(
         & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
     )
     rows = rows.withColumn("usable", usable)
+    same = [F.xxhash64(F.lit(k), "embedding").alias(f"e{k}") for k in (1, 2)]
     classes = stored(
         spark,
         rows.where("usable").groupBy("label", "embedding").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-        .withColumn("dims", F.size("embedding")),
+        .select("*", F.size("embedding").alias("dims"), *same),
         "vectors",
     )
     largest = classes.groupBy("label", "dims").count().agg(F.max("count")).first()[0] or 0
@@ -172,11 +178,16 @@ def link_embeddings(
     degree = found.groupBy("id").agg(F.sum("links").alias("links"))
     edges = found.where("id != peer").select(F.col("id").alias("u"), F.col("peer").alias("v"))
     components = connected_components(spark, edges, "vectors-cc")
+    salts = F.ceil(F.col("copies") / chunk).cast("int")
     result = (
-        classes.join(degree, "id", "left").join(components, "id", "left")
-        .select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    )
-    out = rows.where("usable").join(result, ["label", "embedding"]).select("id", "n_links", "component_id")
+        classes.drop("embedding").join(degree, "id", "left").join(components, "id", "left")
+        .select("label", "e1", "e2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"),
+                F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    )
+    hot = sized(spark, classes.where(F.col("copies") > chunk).select("label", "e1", "e2", salts.alias("salts")), "hot-vectors")
+    members = rows.where("usable").select("id", "label", *same).join(hot, ["label", "e1", "e2"], "left")
+    members = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1)).cast("long")).cast("int"))
+    out = members.join(result, ["label", "e1", "e2", "salt"]).select("id", "n_links", "component_id")
     rest = rows.where(~F.col("usable")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return out.unionAll(rest).select(
         F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")
@@ -184,4 +195,5 @@ def link_embeddings(
 
 
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every vector: links are cosines of at least 0.98 within a label."""
     return link_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
