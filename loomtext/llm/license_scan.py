@@ -1,17 +1,20 @@
 """License scan by an exact set-similarity join, in DataFrame operations only.
 
-Text blocks (lines) and license templates are sets of words.  A block meets a template if it holds at least
-``threshold`` of the template's words.  The join is a prefix-filter join: the words of all templates are ordered
-by how many documents hold them, rarest first; with m template words of which o must be found, one of the first
-m - o + 1 must be in the block.  Candidates that share such a word pass a length filter (the block has at least o
-template words) and a positional filter (what follows the first shared word can still reach o) before their exact
-overlap is counted.
-
-The templates are a parameter of bounded size; their word counts are the only thing that comes to the driver.
-Whole documents are read in one pass each for the counts and for the scan; only candidate blocks are shuffled.
+A text block is a run of consecutive words, ``stretch`` times as many as a license template has; line ends don't
+matter, so a notice that is wrapped over lines is one block and words scattered over a long line are none.  A block
+meets a template if it holds at least ``threshold`` of the template's different words.  The join is a prefix-filter
+join: the words of all templates are ordered by how many documents hold them, rarest first; with m template words of
+which o must be found, the first one that a block shares is one of the first m - o + 1.  So every place of such a
+word, with the words around it, is joined with the templates that have it in their prefix.  Candidates pass a length
+filter (the words around hold at least o template words) and a positional filter (so do those that follow the shared
+word in the order), and the blocks around the place are then compared one by one.
+
+The templates are a parameter of bounded size; their word counts are the only thing that comes to the driver.  Whole
+documents are read for the counts, for the base phrases and, where a prefix word occurs, for the blocks; only places
+of prefix words are shuffled.
 
 Defined cases: null text has no words, no labels and score 0; repeated rows give a row each with equal results;
-ties in the word order fall to the word; an empty table gives no rows.
+ties in the word order fall to the word; ids that are no integers are refused; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -82,18 +85,21 @@ def scan_licenses(
     templates: list[tuple[str, str]] = TEMPLATES,
     phrases: dict[str, str] = PHRASES,
     threshold: float = 0.9,
+    stretch: int = 2,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Per document: doc_id, n_words, places (start positions and labels of the base phrases), hits (matched
-    templates: label, template, block number, containment) and score, the best containment."""
+    """Per document: doc_id, n_words, places (start positions and labels of the base phrases), hits (matched templates:
+    template, label, the best block's containment and the word where the first such block starts) and score, the best
+    containment."""
     spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col)
     sets = [(label, sorted(set(t.split()))) for label, t in templates]
     vocabulary = sorted({w for _, t in sets for w in t})
 
     # global frequency order: document counts of the template words, over all documents
-    counted = rows.select(F.explode(F.array_intersect(_words(F.col("text")), F.array(*map(F.lit, vocabulary)))).alias("w"))
+    split = F.split(F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER), _SEP)
+    counted = rows.select(F.explode(F.array_intersect(split, F.array(*map(F.lit, vocabulary)))).alias("w"))
     df = {r.w: r.n for r in counted.groupBy("w").agg(F.count("*").alias("n")).collect()}  # at most one row per template word
     order = sorted(vocabulary, key=lambda w: (df.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
@@ -102,33 +108,40 @@ def scan_licenses(
     for k, (label, t) in enumerate(sets):
         ranks = sorted(rank[w] for w in t)
         need = math.ceil(threshold * len(ranks) - 1e-9)
-        index += [(r, k, label, i, ranks, need) for i, r in enumerate(ranks[: len(ranks) - need + 1])]
-    prefix = spark.createDataFrame(index, "rank int, template int, label string, i int, t_ranks array<int>, need int")
+        width = stretch * len(templates[k][1].split())
+        index += [(r, k, label, i, ranks, need, width) for i, r in enumerate(ranks[: len(ranks) - need + 1])]
+    prefix = spark.createDataFrame(index, "rank int, template int, label string, i int, t_ranks array<int>, need int, width int")
 
     first_words = sorted({order[r[0]] for r in index})
-    any_first = _phrase_regex(first_words)
-    shortest = min(r[5] for r in index)
+    reach = max(r[6] for r in index) - 1  # words on either side of a place that a block around it can hold
     rank_map = F.create_map(*[x for w in order for x in (F.lit(w), F.lit(rank[w]))])
-    lines = (
-        rows.where(F.col("text").rlike(any_first))
-        .select("k1", "k2", F.posexplode(F.split("text", "\n")).alias("block", "line"))
-        .where(F.col("line").rlike(any_first))
+    firsts = F.array(*[F.lit(rank[w]) for w in first_words])
+    ranked = F.transform(_words(F.col("text")), lambda w: F.coalesce(F.try_element_at(rank_map, w), F.lit(-1)))
+    at = F.filter(F.transform("r", lambda r, i: F.when(F.array_contains(firsts, r), i)), lambda i: i.isNotNull())
+    around = lambda i: F.struct(
+        i.alias("at"), F.get("r", i).alias("rank"), F.greatest(i - reach, F.lit(0)).alias("begin"),
+        F.slice("r", F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach)) + 1 + reach).alias("near"),
+    )
+    places_of = (
+        rows.where(F.col("text").rlike(_phrase_regex(first_words))).distinct()
+        .select("k1", "k2", ranked.alias("r")).select("k1", "k2", F.explode(F.transform(at, around)).alias("p")).select("k1", "k2", "p.*")
     )
-    blocks = lines.distinct().select(
-        "k1", "k2", "block",
-        F.array_sort(F.array_distinct(F.filter(F.transform(_words(F.col("line")), lambda w: F.try_element_at(rank_map, w)), lambda r: r.isNotNull()))).alias("ranks"),
-    ).where(F.size("ranks") >= shortest)  # length filter, whatever the template
+    t_ranks, need = F.col("t_ranks"), F.col("need")
+    shared = F.array_intersect("near", "t_ranks")
+    # the blocks that hold the place: those that begin width - 1 words before it and later, as far as the text goes
+    starts = F.sequence(F.greatest(F.col("at") - F.col("width") + 1, F.lit(0)), F.col("at"))
+    block = lambda s: F.slice("near", s - F.col("begin") + 1, F.col("width"))
+    holds = F.transform(starts, lambda s: F.struct(F.size(F.array_intersect(block(s), t_ranks)).alias("overlap"), (-s).alias("s")))
     pairs = (
-        blocks.select("*", F.posexplode("ranks").alias("j", "rank"))
-        .join(prefix, "rank")
-        .where(F.size("ranks") >= F.col("need"))
-        .where(F.least(F.size("t_ranks") - F.col("i"), F.size("ranks") - F.col("j")) >= F.col("need"))
-        .dropDuplicates(["k1", "k2", "block", "template"])
-        .withColumn("overlap", F.size(F.array_intersect("ranks", "t_ranks")))
-        .where(F.col("overlap") >= F.col("need"))
+        places_of.join(F.broadcast(prefix), "rank")  # a few rows for each template
+        .where(F.size(shared) >= need)
+        .where(F.size(F.filter(shared, lambda r: r >= F.col("rank"))) >= need)
+        .withColumn("best", F.array_max(holds))
+        .where(F.col("best.overlap") >= need)
     )
-    hits = pairs.groupBy("k1", "k2").agg(
-        F.array_sort(F.collect_set(F.struct("block", "template", "label", (F.col("overlap") / F.size("t_ranks")).alias("containment")))).alias("hits"),
+    best = pairs.groupBy("k1", "k2", "template", "label").agg(F.max("best").alias("best"), F.first(F.size("t_ranks")).alias("m"))
+    hits = best.groupBy("k1", "k2").agg(
+        F.array_sort(F.collect_list(F.struct("template", "label", (F.col("best.overlap") / F.col("m")).alias("containment"), (-F.col("best.s")).alias("start")))).alias("hits"),
     )
 
     words = _words(F.col("text"))

@@ -61,15 +61,15 @@ _LEAKS = f"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS
  coalesce(n_items, 0) >= 2 AS contaminated FROM d LEFT JOIN w USING (doc_id) LEFT JOIN m USING (doc_id)"""
 
 _PHRASES = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in PHRASES.items())
-_SETS = ", ".join(f"({k}, '{label}', [{', '.join(repr(w) for w in sorted(set(t.split())))}])" for k, (label, t) in enumerate(TEMPLATES))
+_SETS = ", ".join(f"({k}, '{label}', {2 * len(t.split())}, [{', '.join(repr(w) for w in sorted(set(t.split())))}])" for k, (label, t) in enumerate(TEMPLATES))
 _LICENSES = f"""WITH d AS (SELECT doc_id, text, regexp_extract_all({_LOWER}, {_ALNUM}) AS ws FROM documents),
- ph(phrase, label, n) AS (VALUES {_PHRASES}), tm(k, label, ts) AS (VALUES {_SETS}),
+ ph(phrase, label, n) AS (VALUES {_PHRASES}), tm(k, label, width, ts) AS (VALUES {_SETS}),
  s AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM d),
  b AS (SELECT doc_id, p - 1 AS p, label FROM s JOIN ph ON ws[p] = split_part(phrase, ' ', 1) AND array_to_string(ws[p:p + n - 1], ' ') = phrase),
  e AS (SELECT doc_id, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY 1),
- l AS (SELECT doc_id, list_distinct(regexp_extract_all(translate(v, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_ALNUM})) AS vs
-  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS v FROM d)),
- o AS (SELECT doc_id, label, len(list_intersect(vs, ts)) AS i, len(ts) AS m FROM l, tm WHERE list_has_any(vs, ts)),
+ l AS (SELECT doc_id, ws, label, width, ts FROM d, tm WHERE len(list_intersect(ws, ts)) >= ceil(0.9::DOUBLE * len(ts) - 1e-9)),
+ q AS (SELECT doc_id, label, width, ts, ws, unnest(range(1, len(ws) + 1)) AS p FROM l),
+ o AS (SELECT doc_id, label, len(list_intersect(ws[p:p + width - 1], ts)) AS i, len(ts) AS m FROM q WHERE list_contains(ts, ws[p])),
  f AS (SELECT doc_id, label, i * 1.0::DOUBLE / m AS c FROM o WHERE i >= ceil(0.9::DOUBLE * m - 1e-9)),
  g AS (SELECT doc_id, max(c) AS score FROM f GROUP BY 1),
  a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM b UNION SELECT doc_id, label FROM f) GROUP BY 1)
