@@ -9,22 +9,29 @@ To skip text that cannot match, only every few words is a run of three words loo
 every window holds one of the runs looked up; the surroundings of runs that items hold go through the automaton.
 This drops nothing.
 
-Items are read in blocks of at most ``block_words`` words, one automaton each, so that what a worker holds is
-bounded however large the benchmark is; results of several blocks are merged per document.
+Items are read in blocks of about ``block_words`` words, one automaton each, so that what the driver and a worker hold
+is bounded however large the benchmark is.  A benchmark of one block takes one pass over the documents.  Of several,
+each block's hits are written before the next block is read, and the hits of all blocks are merged per document.
 
 Defined cases: null or empty texts have no words and no hits; items with a null id or no words are left out;
-repeated items count once; repeated documents give a row each; an empty benchmark hits nothing.
+repeated items count once; repeated documents give a row each; an empty benchmark hits nothing; ids that are no
+integers are refused; columns of documents stay, whatever their names.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import _ALNUM, alnum_words, bounded_batches, claim
+from .common import _ALNUM, alnum_words, bounded_batches, claim, discard, integral, keyed, lean, row_key, spare, stored
 
 HITS = "doc_id long, n_words long, spans array<struct<start:int,stop:int>>, items array<long>"
 
@@ -182,6 +189,7 @@ class Automaton:
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[int, str]]]:
     """Distinct items in blocks of about block_words words; the driver holds one block at a time."""
+    integral(benchmark, id_col)
     rows = (
         benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
         .where("i is not null and t is not null").distinct()
@@ -205,79 +213,113 @@ def find_contamination(
     block_words: int = 100_000,
     id_col: str = "doc_id",
     text_col: str = "text",
-    keep_text: bool = False,
 ) -> DataFrame:
-    """Per document: its words, hit spans (word positions) and the items whose windows occur (schema HITS).
+    """Per document: its words, hit spans (word positions) and the items whose windows occur (schema HITS)."""
+    out, names = _scan(docs, benchmark, window, block_words, id_col, text_col, None)
+    return out.select(F.col(id_col).cast("long").alias("doc_id"), *(F.col(c).alias(own) for c, own in zip(names, ("n_words", "spans", "items"))))
 
-    ``keep_text`` keeps all columns of docs and adds n_words, spans and items to them (one block only needs one
-    pass; further blocks are applied to what the blocks before returned, merging spans and items in place).
-    """
-    out = _passes(docs, benchmark, window, block_words, id_col, text_col, None)
-    return out if keep_text else out.select(F.col(id_col).cast("long").alias("doc_id"), *(F.col(c).alias(c[2:]) for c in ADDED))
 
+_TYPES = "n_words long, spans array<struct<start:int,stop:int>>, items array<long>"
+_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
-def _passes(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, id_col: str, text_col: str, max_span: int | None) -> DataFrame:
-    """One pass over docs for each block of items; the last one cuts spans of more than max_span words."""
-    out, waiting = docs, None
-    for block in _blocks(benchmark, "item_id", "text", block_words):
-        if waiting is not None:
-            out = _apply(out, waiting, window, id_col, text_col, out is docs, None)
-        waiting = block
-    return _apply(out, waiting or [], window, id_col, text_col, out is docs, max_span)
 
+def _scan(
+    docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, id_col: str, text_col: str, max_span: int | None
+) -> tuple[DataFrame, list[str]]:
+    """docs with three more columns, whose names come too; spans of more than max_span words are cut from the text."""
+    bounded_batches(docs.sparkSession)
+    integral(docs, id_col)
+    names = spare(docs, "__n_words", "__spans", "__items")
+    if dict(docs.dtypes)[text_col] != "string":
+        docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    blocks = _blocks(benchmark, "item_id", "text", block_words)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return _one_pass(docs, first, window, text_col, max_span, names), names
+    return _merge_passes(docs, itertools.chain([first, second], blocks), window, id_col, text_col, max_span, names), names
 
-#: Columns that _apply adds; the prefix keeps them apart from any column of documents.
-ADDED = ("__n_words", "__spans", "__items")
-_TYPES = "__n_words long, __spans array<struct<start:int,stop:int>>, __items array<long>"
 
+def _spans(found: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"start": a, "stop": b} for a, b in x] for x in found], _SPAN)
 
-def _apply(df: DataFrame, block: list[tuple[int, str]], window: int, id_col: str, text_col: str, first: bool, max_span: int | None) -> DataFrame:
-    import pyarrow as pa
 
-    columns = [c for c in df.columns if c not in ADDED]
-    span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+def _one_pass(docs: DataFrame, block: list[tuple[int, str]], window: int, text_col: str, max_span: int | None, names: list[str]) -> DataFrame:
+    columns = list(docs.columns)
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("benchmark")
         automaton = Automaton([(i, alnum_words(t)) for i, t in block], window)
+        own = columns.index(text_col)
         for batch in batches:
-            own = columns.index(text_col)
             texts = batch.column(own).to_pylist()
             counts, spans, items = [], [], []
-            before = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ADDED] if not first else None
-            for r, text in enumerate(texts):
+            for text in texts:
                 words = alnum_words(text)
                 got, found = automaton.match(words)
-                if before:
-                    old = [(s["start"], s["stop"]) for s in before[1][r]]
-                    got, found = _merged(old + got), found | set(before[2][r])
                 counts.append(len(words))
-                spans.append([{"start": a, "stop": b} for a, b in got])
+                spans.append(got)
                 items.append(sorted(found))
             kept = [batch.column(k) for k in range(len(columns))]
             if max_span is not None and any(spans):
                 kept[own] = pa.array([_cut(t, s, max_span) if s else t for t, s in zip(texts, spans)], kept[own].type)
             yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(counts, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.int64()))],
-                names=[*columns, *ADDED],
+                [*kept, pa.array(counts, pa.int64()), _spans(spans), pa.array(items, pa.list_(pa.int64()))], names=[*columns, *names]
             )
 
-    from pyspark.sql.types import StructType
+    added = docs.sparkSession.createDataFrame([], _TYPES).toDF(*names).schema
+    return docs.mapInArrow(lean(run), StructType(docs.schema.fields + added.fields))
+
+
+def _hits(block: list[tuple[int, str]], window: int):
+    """(k1, k2, spans, items) of the texts that hold a window of the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("benchmark")
+        automaton = Automaton([(i, alnum_words(t)) for i, t in block], window)
+        for batch in batches:
+            got = [automaton.match(alnum_words(t)) for t in batch.column("text").to_pylist()]
+            at = pa.array([i for i, (spans, _) in enumerate(got) if spans], pa.int64())
+            got = [x for x in got if x[0]]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("k1").take(at), batch.column("k2").take(at), _spans([x for x, _ in got]), pa.array([sorted(x) for _, x in got], pa.list_(pa.int64()))],
+                names=["k1", "k2", "spans", "items"],
+            )
+
+    return lean(run)
+
+
+def _merge_passes(docs: DataFrame, blocks: Iterator[list[tuple[int, str]]], window: int, id_col: str, text_col: str, max_span: int | None, names: list[str]) -> DataFrame:
+    spark = docs.sparkSession
+    rows = keyed(docs, id_col, text_col).where("text is not null")
+    kinds = "k1 long, k2 long, spans array<struct<start:int,stop:int>>, items array<long>"
+    parts = [stored(spark, rows.mapInArrow(_hits(block, window), kinds).dropDuplicates(["k1", "k2"]), "hits") for block in blocks]
+    found = reduce(DataFrame.unionAll, parts).groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    found = stored(spark, found.select("k1", "k2", _joined(F.array_sort("spans")).alias(names[1]), F.array_sort(F.array_distinct("items")).alias(names[2])), "hits")
+    discard(*parts)
+    a, b = spare(docs, "__k1", "__k2")
+    out = docs.withColumns(dict(zip((a, b), row_key(id_col, text_col)))).join(found.withColumnsRenamed({"k1": a, "k2": b}), [a, b], "left")
+    words = F.regexp_count(F.coalesce(text_col, F.lit("")), F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")).cast("long")
+    out = out.withColumns({
+        names[0]: words, names[1]: F.coalesce(names[1], F.array().cast(found.schema[names[1]].dataType)), names[2]: F.coalesce(names[2], F.array().cast("array<long>")),
+    })
+    if max_span is not None:
+        cut = F.pandas_udf(lambda t, s: pd.Series([_cut(x, [(r["start"], r["stop"]) for r in y], max_span) for x, y in zip(t, s)], dtype=object), "string")
+        some = F.size(names[1]) > 0
+        out = out.withColumn(text_col, F.when(some, cut(F.when(some, F.col(text_col)), F.col(names[1]))).otherwise(F.col(text_col)))
+    return out.select(*docs.columns, *names)
+
 
-    schema = StructType([df.schema[c] for c in columns])
-    added = df.sparkSession.createDataFrame([], _TYPES).schema
-    df = df.withColumn(text_col, F.col(text_col).cast("string")) if dict(df.dtypes)[text_col] != "string" else df
-    return df.mapInArrow(run, StructType(schema.fields + added.fields))
+def _joined(spans: Column) -> Column:
+    """Sorted spans without overlaps."""
 
+    def add(out: Column, s: Column) -> Column:
+        last = F.element_at(out, -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["stop"], s["stop"]).alias("stop"))
+        return F.when((F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["stop"] >= s["start"]), F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(longer))).otherwise(
+            F.concat(out, F.array(s))
+        )
 
-def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+    return F.aggregate(spans, F.array().cast("array<struct<start:int,stop:int>>"), add)
 
 
 def word_offsets(text: bytes) -> list[tuple[int, int]]:
@@ -296,10 +338,10 @@ def decontaminate(
     A document whose hit words are more than ``max_coverage`` of its words goes.  Other columns stay as they are,
     except n_chars, which follows the new text where the table has it.
     """
-    found = _passes(docs, benchmark, window, 100_000, id_col, text_col, max_span)
-    hit = F.aggregate("__spans", F.lit(0), lambda a, s: a + s["stop"] - s["start"])
-    out = found.where(~(hit > F.lit(max_coverage) * F.col("__n_words")))
-    changed = F.exists("__spans", lambda s: s["stop"] - s["start"] > max_span)
+    found, (words, spans, _) = _scan(docs, benchmark, window, 100_000, id_col, text_col, max_span)
+    hit = F.aggregate(spans, F.lit(0), lambda a, s: a + s["stop"] - s["start"])
+    out = found.where(~(hit > F.lit(max_coverage) * F.col(words)))
+    changed = F.exists(spans, lambda s: s["stop"] - s["start"] > max_span)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
@@ -311,15 +353,15 @@ def _cut(text: str | None, spans, max_span: int) -> str | None:
     raw = text.encode()
     at = word_offsets(raw)
     out, pos = [], 0
-    for s in spans:
-        if s["stop"] - s["start"] > max_span:
-            out.append(raw[pos : at[s["start"]][0]])
-            pos = at[s["stop"] - 1][1]
+    for a, b in spans:
+        if b - a > max_span:
+            out.append(raw[pos : at[a][0]])
+            pos = at[b - 1][1]
     return b"".join([*out, raw[pos:]]).decode()
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bounded_batches(spark)
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document, by 8-word windows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(
