@@ -6,8 +6,8 @@ chunk's pooled vector goes through a hidden layer; the mean and the maximum of t
 are combined into one probability.
 
 The network is fitted on the driver on a bounded sample of labelled rows: ``sample_rows`` rows, those first in the
-order of a hash of the id, with at most ``chunks_per_doc`` chunks of each drawn in every epoch.  Scoring reads whole
-texts of all rows inside their input partitions; nothing is shuffled.
+order of a hash of the id.  A text of more than ``chunks_per_doc`` chunks is dealt over the epochs, so that the fit
+sees all of it.  Scoring reads whole texts of all rows inside their input partitions; nothing is shuffled.
 
 Defined cases: null and empty texts score as a single empty chunk; repeated rows give equal scores; labels that
 are null, not 0/1, or disagree for an id are left out of the fit; without any labelled row, or with one label only,
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, claim
+from .common import bounded_batches, claim, lean, spare
 
 STEP = 4  # bytes
 CELL = 16  # positions pooled first
@@ -117,7 +117,8 @@ class ByteCNN:
         return 1 / (1 + np.exp(-out))
 
     def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 10, batch: int = 48, chunks_per_doc: int = 12, rate: float = 3e-3, seed: int = 11) -> None:
-        """Adam on the log loss.  Long texts give ``chunks_per_doc`` random chunks an epoch."""
+        """Adam on the log loss.  A long text gives ``chunks_per_doc`` chunks an epoch, or as many as it takes to see all of
+        them in all epochs, in a random order of its own."""
         r = np.random.default_rng(seed)
         labels = labels.astype(np.float32)
         self.p["b2"][0] = np.log((labels.mean() + 1e-3) / (1 - labels.mean() + 1e-3))
@@ -125,7 +126,7 @@ class ByteCNN:
         m2 = {k: np.zeros_like(v) for k, v in self.p.items()}
         step, total = 0, epochs * -(-len(texts) // batch)
         piece = HOP * CELL_BYTES
-        for _ in range(epochs):
+        for epoch in range(epochs):
             order = r.permutation(len(texts))
             for at in range(0, len(order), batch):
                 picked = order[at : at + batch]
@@ -134,8 +135,7 @@ class ByteCNN:
                     t = texts[i]
                     n = -(-len(t) // piece)
                     if n > chunks_per_doc:
-                        s = np.sort(r.choice(n, chunks_per_doc, replace=False))
-                        t = b"".join(t[k * piece : (k + 1) * piece] for k in s)
+                        t = b"".join(t[k * piece : (k + 1) * piece] for k in dealt(n, chunks_per_doc, epoch, epochs, (seed, int(i))))
                     cut.append(t)
                 grads = self._gradients(cut, labels[picked])
                 step += 1
@@ -186,6 +186,12 @@ class ByteCNN:
         }
 
 
+def dealt(n: int, least: int, epoch: int, epochs: int, seed: tuple[int, int]) -> np.ndarray:
+    """Which of n chunks an epoch takes: at least ``least``, and over all epochs every one."""
+    take = max(least, -(-n // epochs))
+    return np.sort(np.random.default_rng(seed).permutation(n)[np.arange(epoch * take, (epoch + 1) * take) % n])
+
+
 def held_out(id_col: str = "doc_id", fold: int = 0, folds: int = 5) -> Column:
     """crc32 of the id as text, modulo folds, is fold; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == fold
@@ -218,7 +224,8 @@ def fit_quality(
 
 
 def score_quality(docs: DataFrame, net: ByteCNN | None, share: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs and __score, the probability of label 1 for the whole text."""
+    """All columns of docs and, last, the probability of label 1 for the whole text."""
+    bounded_batches(docs.sparkSession)
     params = net.p if net is not None else None
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -229,27 +236,27 @@ def score_quality(docs: DataFrame, net: ByteCNN | None, share: float, id_col: st
             raw = [t.encode() if isinstance(t, str) else b"" for t in texts]
             yield pd.Series(np.round(model.probabilities(raw), 9) if params is not None else np.full(len(raw), share))
 
-    return docs.withColumn("__score", F.pandas_udf(score, "double")(F.col(text_col).cast("string")))
+    (name,) = spare(docs, "__score")
+    return docs.withColumn(name, F.pandas_udf(lean(score), "double")(F.col(text_col).cast("string")))
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **fit) -> DataFrame:
     """doc_id, held_out, score and predicted (1 if score >= threshold, else 0) for every row of docs."""
     net, share = fit_quality(docs, labels, **fit)
     scored = score_quality(docs.select("doc_id", "text"), net, share)
-    return scored.select(
-        "doc_id", held_out().alias("held_out"), F.col("__score").alias("score"),
-        (F.col("__score") >= threshold).cast("int").alias("predicted"),
-    )
+    score = F.col(scored.columns[-1])
+    return scored.select("doc_id", held_out().alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **fit) -> DataFrame:
     """The rows of docs that the classifier does not reject, with all their columns."""
     net, share = fit_quality(docs, labels, **fit)
-    return score_quality(docs, net, share).where(F.col("__score") >= threshold).select(*docs.columns)
+    scored = score_quality(docs, net, share)
+    return scored.where(F.col(scored.columns[-1]) >= threshold).select(*docs.columns)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bounded_batches(spark)
+    """doc_id, held_out, score and predicted of every document, learned from labels outside the held-out fold."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return classify_quality(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
