@@ -10,7 +10,7 @@ counts.
 The operator works inside the input partitions and never shuffles: one task packs what it reads.
 
 Defined cases: null or empty text is a document with the end id only; repeated rows are packed once each; a null
-doc_id is kept; an empty table gives no rows; a very long text is cut into as many sequences as it fills.
+doc_id is kept; ids that are no integers are refused; an empty table gives no rows; a very long text is cut into as many sequences as it fills.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, claim
+from .common import bounded_batches, claim, integral, lean
 
 PIECES = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, "
@@ -305,14 +305,16 @@ def pack_documents(
                     queued = sum(x[2] for x in packer.rests)
         yield emit(True)
 
+    bounded_batches(docs.sparkSession)
+    integral(docs, id_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, PIECES)
+    return rows.mapInPandas(lean(run), PIECES)
 
 
 def op2_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents' token sequences, with the CRC-32 of their ids."""
     import public_tokenizers
 
-    bounded_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return digest(pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")))
 
