@@ -9,8 +9,8 @@ classes of frequent words, a softmax over the words of the class.  Words outside
 ones form classes by their last letters; inside such a class a word has its add-1/2 share of the training counts,
 with one place for words never seen, so that probabilities sum to one.  The document end is a token.
 
-Training.  Truncated backpropagation: documents are laid end to end in parallel streams, the state is carried from
-window to window and cleared at document starts.  A short warm-up on a bounded sample of documents sets the starting
+Training.  Truncated backpropagation: whole documents are laid end to end in parallel streams, the state is carried
+from window to window, however long a document is, and cleared at document starts only.  A short warm-up on a bounded sample of documents sets the starting
 point; then every task trains on all training documents it reads, and the tasks' parameters are averaged, weighted
 by tokens.  Averaging adds rows of parameters by chunk, so no task or driver gathers more than one model.
 
@@ -31,10 +31,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, frequency_threshold, key_id, keyed, lower_space_words, release, stored
+from .common import bounded_batches, discard, frequency_threshold, integral, lean, lower_space_words, release, stored, text_bytes
 from .quality_cnn import held_out
 
 END = b"\x00\n"  # no word holds a line feed
@@ -51,7 +53,7 @@ class Vocabulary:
     tail_classes: int
 
     @classmethod
-    def build(cls, words: list[bytes], per_class: int = 32, tail_classes: int = 32) -> Vocabulary:
+    def build(cls, words: list[bytes], per_class: int = 64, tail_classes: int = 32) -> Vocabulary:
         """words: most frequent first, the document end among them."""
         return cls({w: i for i, w in enumerate(words)}, per_class, -(-len(words) // per_class), tail_classes)
 
@@ -101,34 +103,37 @@ class Network:
         self.p["bw"][:] = np.log(share)
 
     def run(self, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool):
-        """States before each token of ids (T, B); fresh: a document starts here.  Returns states and what
+        """States before each token of ids (T, B); fresh: a document starts here.  Returns states, the last one, and what
         backpropagation needs."""
         p, n = self.p, self.hidden
-        u_zr, u_c, table = np.ascontiguousarray(p["u"][:, : 2 * n]), np.ascontiguousarray(p["u"][:, 2 * n :]), p["in"] + p["b"]
-        states = np.empty((*ids.shape, n), np.float32)
-        saved = []
+        half = np.float32(0.5)
+        u_zr, u_c = p["u"][:, : 2 * n] * half, np.ascontiguousarray(p["u"][:, 2 * n :])
+        table = p["in"] + p["b"]
+        table[:, : 2 * n] *= half  # the logistic function is half a tanh of the half, plus a half
+        begins = fresh.any(1).tolist()
+        shape = (len(ids) if keep else 1, ids.shape[1], n)
+        states, x = np.empty((*ids.shape, n), table.dtype), np.empty((ids.shape[1], 3 * n), table.dtype)
+        gates, resets, news = np.empty((*shape[:2], 2 * n), table.dtype), np.empty(shape, table.dtype), np.empty(shape, table.dtype)
         for t in range(len(ids)):
-            if fresh[t].any():
+            if begins[t]:
                 h = h * (~fresh[t])[:, None]
             states[t] = h
-            x = table[ids[t]]
-            zr = h @ u_zr
+            k = t if keep else 0
+            zr, rh, c = gates[k], resets[k], news[k]
+            np.take(table, ids[t], axis=0, out=x, mode="clip")  # a step's inputs stay in the cache
+            np.matmul(h, u_zr, out=zr)
             zr += x[:, : 2 * n]
-            np.negative(zr, out=zr)
-            np.exp(zr, out=zr)
-            zr += 1
-            np.reciprocal(zr, out=zr)
-            z, r = zr[:, :n], zr[:, n:]
-            rh = r * h
-            c = rh @ u_c
+            np.tanh(zr, out=zr)
+            zr *= half
+            zr += half
+            np.multiply(zr[:, n:], h, out=rh)
+            np.matmul(rh, u_c, out=c)
             c += x[:, 2 * n :]
             np.tanh(c, out=c)
-            if keep:
-                saved.append((h, zr, rh, c))
             h = h - c
-            h *= z
+            h *= zr[:, :n]
             h += c
-        return states, h, saved
+        return states, h, (states, gates, resets, news)
 
     @staticmethod
     def _softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray):
@@ -181,26 +186,39 @@ class Network:
                 ds[rows] += e @ p["ww"][k].T
         return out, ds
 
-    def back(self, ids: np.ndarray, fresh: np.ndarray, saved: list, dstates: np.ndarray, grads: dict) -> None:
+    def back(self, ids: np.ndarray, fresh: np.ndarray, saved: tuple, dstates: np.ndarray, grads: dict) -> None:
         """Backpropagation through one window (truncated at its start)."""
         p, n = self.p, self.hidden
-        u_zr, u_c = p["u"][:, : 2 * n], p["u"][:, 2 * n :]
-        dh = np.zeros((ids.shape[1], n), np.float32)
-        dx_all = np.empty((*ids.shape, 3 * n), np.float32)
-        for t in range(len(ids) - 1, -1, -1):
-            h, zr, rh, c = saved[t]
-            z, r = zr[:, :n], zr[:, n:]
-            dx = dx_all[t]
-            dc = dh * (1 - z) * (1 - c * c)
-            drh = dc @ u_c.T
-            dx[:, 2 * n :] = dc
-            dx[:, :n] = dh * (h - c) * z * (1 - z)
-            dx[:, n : 2 * n] = drh * h * r * (1 - r)
-            grads["u"][:, : 2 * n] += h.T @ dx[:, : 2 * n]
-            grads["u"][:, 2 * n :] += rh.T @ dc
-            dh = dh * z + drh * r + dx[:, : 2 * n] @ u_zr.T + dstates[t]
-            dh *= (~fresh[t])[:, None]
+        states, gates, resets, news = saved
+        u_zr, u_c = np.ascontiguousarray(p["u"][:, : 2 * n].T), np.ascontiguousarray(p["u"][:, 2 * n :].T)
+        begins = fresh.any(1).tolist()
+        dh = np.zeros((ids.shape[1], n), states.dtype)
+        dx_all = np.empty((*ids.shape, 3 * n), states.dtype)
+        for t in range(len(ids) - 1, -1, -1):  # a step's arrays stay in the cache; products of whole windows would not
+            dx, z, r, h, c = dx_all[t], gates[t, :, :n], gates[t, :, n:], states[t], news[t]
+            rest = 1 - z
+            f = c * c
+            np.subtract(1, f, out=f)
+            f *= rest
+            np.multiply(dh, f, out=dx[:, 2 * n :])
+            drh = dx[:, 2 * n :] @ u_c
+            np.subtract(h, c, out=f)
+            f *= z
+            f *= rest
+            np.multiply(dh, f, out=dx[:, :n])
+            np.subtract(1, r, out=f)
+            drh *= r
+            f *= h
+            np.multiply(drh, f, out=dx[:, n : 2 * n])
+            dh *= z
+            dh += drh
+            dh += dx[:, : 2 * n] @ u_zr
+            dh += dstates[t]
+            if begins[t]:
+                dh *= (~fresh[t])[:, None]
         flat = dx_all.reshape(-1, 3 * n)
+        grads["u"][:, : 2 * n] += states.reshape(-1, n).T @ flat[:, : 2 * n]
+        grads["u"][:, 2 * n :] += resets.reshape(-1, n).T @ flat[:, 2 * n :]
         grads["b"] += flat.sum(0)
         flat_ids = ids.ravel()
         order = np.argsort(flat_ids, kind="stable")
@@ -229,13 +247,21 @@ def streams(docs: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray,
     return ids, fresh, place
 
 
-def train(net: Network, docs: list[np.ndarray], opt: Adam, width: int = 512, window: int = 12, stretch: int = 512) -> int:
-    """One pass over whole documents; returns the tokens seen.  The state is carried for ``stretch`` tokens of a
-    document, then the next stretch begins another stream: long documents would leave the streams uneven."""
-    ids, fresh, _ = streams([d[a : a + stretch] for d in docs for a in range(0, len(d), stretch)], width)
+def train(net: Network, docs: list[np.ndarray], opt: Adam, width: int = 512, least: int = 96, step_tokens: int = 6144, longest: int = 128) -> int:
+    """One pass over whole documents; returns the tokens seen.  The state is carried from window to window through each
+    whole document.  The streams are so many (``least`` to ``width``) that all are about as long as the longest
+    document: a long one runs beside the others instead of alone after them.  A window holds about ``step_tokens`` and is
+    at most ``longest`` steps."""
+    tokens = sum(map(len, docs))
+    width = min(width, max(least, tokens // max(map(len, docs))))
+    ids, fresh, _ = streams(docs, width)
+    grads = {k: np.empty_like(a) for k, a in net.p.items()}
     h = np.zeros((ids.shape[1], net.hidden), np.float32)
-    for t in range(0, len(ids), window):
-        x, new = ids[t : t + window], fresh[t : t + window]
+    longest = max(12, min(longest, len(ids) // 64))  # a small corpus is worth several steps too
+    t, end = 0, 0
+    while end < len(ids):
+        t, end = end, end + min(max(12, step_tokens // ids.shape[1]), longest)
+        x, new = ids[t:end], fresh[t:end]
         live = x >= 0
         cols = live.any(0)
         if not cols.all():
@@ -243,13 +269,14 @@ def train(net: Network, docs: list[np.ndarray], opt: Adam, width: int = 512, win
             ids, fresh = ids[:, cols], fresh[:, cols]
         x0 = np.where(live, x, 0)
         states, h, saved = net.run(x0, new, h, True)
-        grads = {k: np.zeros_like(a) for k, a in net.p.items()}
+        for g in grads.values():
+            g.fill(0)
         out, ds = net.loss(states[live], x[live], grads)
         dstates = np.zeros_like(states)
         dstates[live] = ds
         net.back(x0, new, saved, dstates, grads)
         opt.step(net.p, grads)
-    return int(sum(map(len, docs)))
+    return tokens
 
 
 def score(net: Network, docs: list[np.ndarray], width: int = 768, window: int = 24) -> np.ndarray:
@@ -288,10 +315,17 @@ class Adam:
             if k not in self.m:
                 self.m[k], self.s[k] = np.zeros_like(d), np.zeros_like(d)
             m, s = self.m[k], self.s[k]
-            m += 0.1 * (d - m)
+            m *= 0.9
+            m += 0.1 * d
             d *= d
-            s += 0.01 * (d - s)
-            p[k] -= (rate / (1 - 0.9**self.n)) * m / (np.sqrt(s / (1 - 0.99**self.n)) + 1e-7)
+            d *= 0.01
+            s *= 0.99
+            s += d
+            np.sqrt(s, out=d)
+            d += 1e-7
+            np.divide(m, d, out=d)
+            d *= rate / (1 - 0.9**self.n) * (1 - 0.99**self.n) ** 0.5
+            p[k] -= d
 
 
 @dataclass
@@ -339,7 +373,12 @@ class Language:
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         """Token ids of words and the document end."""
-        out = self.id_of[self.places(words)[0]]
+        got = list(map(self.index.get, words))
+        if None in got:
+            n, tail = len(self.head), self.vocab.tail
+            got = [n + tail(w) if k is None else k for k, w in zip(got, words)]
+        got.append(0)
+        out = self.id_of[got]
         out[-1] = self.vocab.words[END]
         return out
 
@@ -347,18 +386,23 @@ class Language:
 def _count(limit: int = 300_000):
     """Partial word counts of training texts."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Counter = Counter()
-        for pdf in batches:
-            for text in pdf["text"]:
-                c.update(lower_space_words(text if isinstance(text, str) else None))
-            c[END] += len(pdf)
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.binary()), pa.array(c.values(), pa.int64())], names=["w", "c"])
+            c.clear()
+            return out
+
+        for batch in batches:
+            for text in text_bytes(batch.column("text")):
+                c.update(text.lower().split())
+            c[END] += len(batch)
             if len(c) > limit:
-                yield pd.DataFrame({"w": list(c.keys()), "c": list(c.values())})
-                c.clear()
-        yield pd.DataFrame({"w": list(c.keys()), "c": list(c.values())})
+                yield flush()
+        yield flush()
 
-    return run
+    return lean(run)
 
 
 CHUNK = 8192
@@ -398,7 +442,7 @@ def _train_task(shared, rate: float, decay: float, buffer: int):
             parts = range(0, len(flat), CHUNK)
             yield pd.DataFrame({"part": [a // CHUNK for a in parts], "tokens": seen, "x": [flat[a : a + CHUNK].astype(np.float32).tobytes() for a in parts]})
 
-    return run
+    return lean(run)
 
 
 def _average(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -414,35 +458,51 @@ def average(parts: DataFrame, fan: int = 32) -> DataFrame:
     return level.groupBy("part").applyInPandas(lambda k, p: _average(k, p), "part int, tokens long, x binary")
 
 
+SCORED = "row long, id long, n_tokens long, n_known long, base double, score double, words array<binary>, times array<int>"
+
+
 def _score_task(shared, buffer: int):
-    """(doc key, counts and scores of head words, and the words outside the head with their numbers)."""
+    """A number of each row, its id, counts and scores of head words, and the words outside the head with their
+    numbers: SCORED."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lang: Language = shared.value.arrange()
         net = Network(lang.vocab, lang.hidden, params=lang.params)
         norm = np.log10(lang.tokens + 0.5 * (lang.distinct + 1))
         base_id, n_tail = lang.vocab.head_classes * lang.vocab.per_class, lang.vocab.tail_classes
         tail_norm = np.log10(lang.tail_tokens + 0.5 * (lang.tail_distinct + 1))
+        row = TaskContext.get().partitionId() << 40
 
-        def flush(held):
+        def flush(held: list[tuple]) -> pa.RecordBatch:
+            nonlocal row
             got = score(net, [h[2] for h in held]) / LN10
-            rows = []
-            for (key, base, ids, known, own, words), s in zip(held, got.tolist()):
-                tails = np.bincount(ids[ids >= base_id] - base_id, minlength=n_tail)
-                rows.append((*key, len(ids), known, base - len(ids) * norm, s + own - float(tails @ tail_norm), list(words), list(words.values())))
-            return pd.DataFrame(rows, columns=["k1", "k2", "n_tokens", "n_known", "base", "score", "words", "times"])
+            n, whole = [], []
+            for (_, _, ids, _, own, _), s in zip(held, got.tolist()):
+                n.append(len(ids))
+                whole.append(s + own - float(np.bincount(ids[ids >= base_id] - base_id, minlength=n_tail) @ tail_norm))
+            rare = [h[5] for h in held]
+            number = np.arange(row, row + len(held))
+            row += len(held)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(number), pa.array([h[0] for h in held], pa.int64()), pa.array(n, pa.int64()), pa.array([h[3] for h in held], pa.int64()),
+                    pa.array([h[1] - k * norm for h, k in zip(held, n)], pa.float64()), pa.array(whole, pa.float64()),
+                    pa.array([list(r) for r in rare], pa.list_(pa.binary())), pa.array([list(r.values()) for r in rare], pa.list_(pa.int32())),
+                ],
+                names=[c.split()[0] for c in SCORED.split(", ")],
+            )
 
         held, n = [], 0
-        for pdf in batches:
-            for k1, k2, text in zip(pdf["k1"], pdf["k2"], pdf["text"]):
-                at, rare = lang.places(lower_space_words(text if isinstance(text, str) else None))
+        for batch in batches:
+            for i, text in zip(batch.column("id").to_pylist(), text_bytes(batch.column("text"))):
+                at, rare = lang.places(text.lower().split())
                 ids, values = lang.id_of[at], lang.log_of[at]
                 ids[-1] = lang.vocab.words[END]
                 if END not in lang.index:
                     values[-1] = np.log10(0.5)
                 known = len(at) - 1 - sum(rare.values()) + (END in lang.index)
                 own = values[:-1][ids[:-1] >= base_id].sum()
-                held.append(((k1, k2), float(values.sum()), ids, known, float(own), rare))
+                held.append((i, float(values.sum()), ids, known, float(own), rare))
                 n += len(ids)
                 if n >= buffer:
                     yield flush(held)
@@ -450,13 +510,13 @@ def _score_task(shared, buffer: int):
         if held:
             yield flush(held)
 
-    return run
+    return lean(run)
 
 
 def fit(rows: DataFrame, head_words: int, vocabulary: int, hidden: int, warm_docs: int, buffer: int) -> tuple[Language, DataFrame]:
-    """The language model of the training rows (k1, k2, text), and the counts of all words (w, c)."""
+    """The language model of the training rows (id, text), and the counts of all words (w, c)."""
     spark = rows.sparkSession
-    counts = stored(spark, rows.select("text").mapInPandas(_count(), "w binary, c long").groupBy("w").agg(F.sum("c").alias("c")), "counts")
+    counts = stored(spark, rows.select("text").mapInArrow(_count(), "w binary, c long").groupBy("w").agg(F.sum("c").alias("c")), "counts")
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     least = frequency_threshold(counts, "c", head_words)
     head = counts.where((F.col("c") >= least) | (F.col("w") == F.lit(END))).toPandas()
@@ -478,8 +538,9 @@ def fit(rows: DataFrame, head_words: int, vocabulary: int, hidden: int, warm_doc
     net.bias_from(np.array([known.get(w, 0) for w in top], float), tail_tokens)
     lang.params = net.p
     # starting point: a bounded sample of documents, those first in the order of their keys' hash
-    drawn = rows.select("k1", "k2").distinct().orderBy(F.xxhash64("k1", "k2"), "k1", "k2").limit(warm_docs)
-    sample = rows.join(F.broadcast(drawn), ["k1", "k2"]).select("k1", "k2", "text").toPandas().sort_values(["k1", "k2"])
+    key = F.xxhash64("id", "text").alias("key")
+    drawn = rows.select(key).distinct().orderBy(F.xxhash64("key"), "key").limit(warm_docs)
+    sample = rows.withColumn("key", key).join(F.broadcast(drawn), "key").dropDuplicates(["key"]).select("key", "text").toPandas().sort_values("key")
     lang.arrange()
     docs = [lang.ids(lower_space_words(t if isinstance(t, str) else None)) for t in sample["text"]]
     if docs:
@@ -500,33 +561,29 @@ def fit(rows: DataFrame, head_words: int, vocabulary: int, hidden: int, warm_doc
 
 
 def score_documents(
-    docs: DataFrame, head_words: int = 150_000, vocabulary: int = 1024, hidden: int = 16, warm_docs: int = 300,
-    buffer: int = 2_500_000, folds: int = 5, fold: int = 1, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, head_words: int = 150_000, vocabulary: int = 1024, hidden: int = 24, warm_docs: int = 300,
+    buffer: int = 6_000_000, folds: int = 5, fold: int = 1, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs; see the
-    module's text.  ``head_words``, ``vocabulary`` and ``warm_docs`` bound the broadcast and the warm-up; counts,
-    training and scores cover all documents."""
+    module's text.  ``head_words``, ``vocabulary`` and ``warm_docs`` bound the broadcast and the warm-up, ``buffer``
+    the tokens that a task holds at a time; counts, training and scores cover all documents."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = keyed(docs, id_col, text_col)
-    learned = rows.withColumn("id", key_id()).where(~held_out("id", fold, folds)).drop("id")
+    integral(docs, id_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    learned = rows.where(~held_out("id", fold, folds))
     lang, counts = fit(learned, head_words, vocabulary, hidden, warm_docs, buffer)
     shared = spark.sparkContext.broadcast(lang)
-    scored = stored(
-        spark,
-        rows.mapInPandas(_score_task(shared, 2 * buffer), "k1 long, k2 long, n_tokens long, n_known long, base double, score double, words array<binary>, times array<int>"),
-        "scored",
-    )
-    # words outside the head: their counts come by a join, once for each word of a document; copies share theirs
-    each = scored.where(F.size("words") > 0).select("k1", "k2", "words", "times").dropDuplicates(["k1", "k2"])
-    each = each.select("k1", "k2", F.explode(F.arrays_zip("words", "times")).alias("x")).select("k1", "k2", F.col("x.words").alias("w"), F.col("x.times").alias("t"))
+    scored = stored(spark, rows.mapInArrow(_score_task(shared, buffer), SCORED), "scored")
+    # words outside the head: their counts come by a join, once for each word of a document
+    each = scored.where(F.size("words") > 0).select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("w"), F.col("x.times").alias("t"))
     rare = counts.where(F.col("c") < lang.least)
-    part = each.join(rare, "w", "left").groupBy("k1", "k2").agg(
+    part = each.join(rare, "w", "left").groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("t")).otherwise(0)).alias("known"),
         F.sum(F.col("t") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("logs"),
     )
-    out = scored.join(part, ["k1", "k2"], "left").select(
-        key_id().alias("doc_id"), "n_tokens",
+    out = scored.select("row", "id", "n_tokens", "n_known", "base", "score").join(part, "row", "left").select(
+        F.col("id").alias("doc_id"), "n_tokens",
         (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         (F.col("base") + F.coalesce("logs", F.lit(0.0))).alias("base_score"),
         (F.col("score") + F.coalesce("logs", F.lit(0.0))).alias("score"),
@@ -538,4 +595,5 @@ def score_documents(
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
