@@ -130,6 +130,19 @@ def test_decontamination(spark, docs, empty, items, block_words):
     assert find_contamination(empty, bench).count() == 0
 
 
+def test_contamination_of_clashing_columns(spark, docs):
+    """Columns with the operator's own names stay as they are, in one pass and in several."""
+    from loomtext.llm.decontamination import _scan, decontaminate
+
+    bench = spark.createDataFrame([(1, data.PASSAGE), (2, data.prose(40, 13))], "item_id long, text string")
+    own = docs.withColumns({"__spans": F.lit("a"), "__n_words": F.lit("b"), "__items": F.lit("c"), "__k1": F.lit("d")})
+    out = decontaminate(own, bench)
+    assert out.columns == own.columns and {tuple(r) for r in out.select("__spans", "__n_words", "__items", "__k1").distinct().collect()} == {("a", "b", "c", "d")}
+    one, several = (_scan(own, bench, 8, n, "doc_id", "text", 0) for n in (100_000, 10))
+    assert one[1] == several[1] and one[0].columns == several[0].columns
+    assert bag(map(str, one[0].collect())) == bag(map(str, several[0].collect()))
+
+
 def test_decontaminated_texts(spark, docs):
     from loomtext.llm.decontamination import decontaminate
 
@@ -166,6 +179,14 @@ def test_quality_learns_and_scores_everything(spark, docs, empty):
     assert classify_quality(docs, labels.limit(0)).select("score").distinct().collect()[0][0] == 0.5
 
 
+def test_long_texts_are_seen_whole():
+    from loomtext.llm.quality_cnn import dealt
+
+    for n, least, epochs in ((13, 12, 2), (300, 12, 10), (31, 1, 4)):
+        parts = [dealt(n, least, e, epochs, (3, 1)).tolist() for e in range(epochs)]
+        assert {k for p in parts for k in p} == set(range(n)) and all(len(set(p)) == len(p) for p in parts)
+
+
 def test_quality_gradients():
     from loomtext.llm.quality_cnn import ByteCNN
 
@@ -203,7 +224,7 @@ def test_repeats(spark, docs, empty, method, window):
 
     run = drop_repeats if method == "seeds" else lambda d, window: find_repeats(d, window, array_rows=3)
     out = run(docs, window=window).collect()
-    got = bag((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out)
+    got = bag((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in out)
     texts = [t for _, t, *_ in data.rows()]
     want = bag(
         (i, len(w), sum(g), hashlib.sha256(" ".join(x for x, k in zip(w, g) if not k).encode()).hexdigest())
@@ -256,6 +277,58 @@ def test_cut_stage(spark, docs):
         assert data.PASSAGE not in left[i] and left[i].strip()
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_salted_arrays_are_exact(spark, seed):
+    """Random short documents that share a 16-word core, so that its array is salted at any size."""
+    from loomtext.llm.substring_dedup import drop_repeats
+    from loomtext.llm.suffix_dedup import find_repeats
+
+    r = np.random.default_rng(seed)
+    core = data.prose(16, f"core{seed}").split()
+    sides = [data.prose(60, f"side{seed}{k}").split() for k in range(4)]
+    rows = []
+    for i in range(40):
+        a, b = sides[r.integers(4)], sides[r.integers(4)]
+        rows.append((i, " ".join([*a[int(r.integers(0, 30)) :], *core, *b[: int(r.integers(20, 60))]]), "en", "s", 1))
+    want = {i: sum(g) for (i, *_), (_, g) in zip(rows, data.repeated([t for _, t, *_ in rows], 50))}
+    df = data.frame(spark, rows)
+    for array_rows in (1, 2, 3, 4096):
+        assert {x.doc_id: x.n_removed for x in find_repeats(df, array_rows=array_rows).collect()} == want, array_rows
+    want = {i: sum(g) for (i, *_), (_, g) in zip(rows, data.repeated([t for _, t, *_ in rows], 35))}
+    assert {x.doc_id: x.n_removed for x in drop_repeats(df).collect()} == want
+
+
+def test_anchors_are_leftmost_minima():
+    from loomtext.llm.common import gram_hashes, word_hashes
+    from loomtext.llm.substring_dedup import anchors
+
+    r = np.random.default_rng(0)
+    for n, kinds in ((3, 2), (40, 1), (200, 3), (500, 400), (36, 9)):
+        h = word_hashes([" ".join(f"v{k}" for k in r.integers(0, kinds, n)).encode()])[0]
+        for window, k in ((35, 12), (9, 3)):
+            at, lo, hi = anchors(h, window, k)
+            g, got = gram_hashes(h, k), {}
+            for a, x, y in zip(at, lo, hi):
+                got |= {i: a for i in range(x, y + 1)}
+            assert got == {i: i + int(g[i : i + window - k + 1].argmin()) for i in range(max(0, n - window + 1))}
+
+
+def test_word_hashes(monkeypatch):
+    """Equal words have equal hashes wherever they stand and however texts are cut for hashing."""
+    from loomtext.llm import common
+
+    texts = [(t or "").encode() for _, t, *_ in data.rows()] + [b"\x0b \x0c", b"x" * 70 + b" y " + b"z" * 90]
+    seen = {}
+    for slab, long in ((1 << 17, 1 << 20), (50, 60), (1, 1 << 20)):
+        monkeypatch.setattr(common, "SLAB", slab)
+        monkeypatch.setattr(common, "LONG", long)
+        for t, h in zip(texts, common.word_hashes(texts)):
+            assert len(h) == len(t.split())
+            for w, x in zip(t.split(), h.tolist()):
+                assert seen.setdefault(w, x) == x
+    assert len(set(seen.values())) == len(seen)
+
+
 # --- near duplicates -----------------------------------------------------------------------------------------------
 
 
@@ -281,14 +354,31 @@ def test_ngram_join(spark, docs, empty, parts):
     assert ngram_join(empty).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Groups without ids, groups whose smallest id is shared, and rows that differ in other columns only."""
+    from loomtext.llm.ngram_join import drop_near_duplicates
+
+    near = [data.edited(data.BASE, 1, k) for k in range(6)]
+    other = data.prose(90, "other")
+    rows = [(None, near[0], "a", "s", 1), (None, near[1], "a", "s", 1)]
+    rows += [(5, other, "x", "s", 1), (5, other, "y", "s", 1), (5, other, "y", "s", 1), (5, data.edited(other, 1, 3), "z", "s", 1), (6, other, "x", "s", 1)]
+    rows += [(7, "", "x", "s", 0), (7, "", "x", "s", 0)]
+    df = spark.createDataFrame(rows, data.DOCS)
+    outs = [sorted(map(tuple, drop_near_duplicates(df.repartition(k)).collect()), key=str) for k in (1, 3)]
+    assert outs[0] == outs[1]
+    assert sorted(str(r[0]) for r in outs[0]) == ["5", "7", "7", "None"]
+    with pytest.raises(TypeError):
+        drop_near_duplicates(df.withColumn("doc_id", F.lit("a")))
+
+
 def test_tree_is_complete():
     from loomtext.llm.ngram_join import count_vector, forest_search
 
     r = np.random.default_rng(3)
     base = r.integers(0, 1 << 63, 400).astype(np.uint64)
     sets = sorted((np.unique(np.concatenate((base[: r.integers(60, 400)], r.integers(0, 1 << 63, r.integers(1, 60)).astype(np.uint64)))) for _ in range(150)), key=len)
-    counts, sizes = np.stack([np.minimum(count_vector(s), 255).astype(np.uint8) for s in sets]), np.array([len(s) for s in sets])
-    found = {(int(a), int(b)) for x, y in forest_search(np.array([0, 50, 150]), counts, sizes, None, 80, leaf=4, memory=20_000) for a, b in zip(x, y)}
+    counts, sizes = np.stack([np.minimum(count_vector(s, 64), 255).astype(np.uint8) for s in sets]), np.array([len(s) for s in sets])
+    found = {(int(a), int(b)) for x, y in forest_search(np.array([0, 50, 150]), counts, sizes, None, 80, fan=4, memory=5_000) for a, b in zip(x, y)}
     for lo, hi in ((0, 50), (50, 150)):
         for i in range(lo, hi):
             for j in range(i + 1, hi):
@@ -306,6 +396,9 @@ def test_license_scan(spark, empty):
     texts = [
         None, "", "x\nLicensed under CC BY-NC 4.0.\ny", "All Rights\nReserved all rights reserved", "cc by cc by", "accc by", "CCé by",
         "This work is licensed under the GNU General Public License, version 3.", "under the Apache license, version 2.0: Licensed!", "released under a license",
+        "Licensed under the\nApache License,\nVersion 2.0 (the License)", "all " + "x " * 9 + "rights " + "y " * 9 + "reserved", "all the rights are reserved",
+        "public " * 40 + data.prose(30, 1) + " this program is free software under terms of the gnu general public license " + data.prose(40, 2) + " mit license under the released",
+        "the of " * 6000 + "all rights reserved" + " of the" * 6000,
     ]
     rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(7, texts[7], "en", "s", 1), (None, texts[2], "en", "s", 1)]
     out = scan_licenses(data.frame(spark, rows)).collect()
@@ -313,19 +406,22 @@ def test_license_scan(spark, empty):
     def brute(t):
         w = data.alnum_words(t)
         places = sorted((k, lab) for p, lab in PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
-        best, labels = 0.0, set()
-        for line in (t or "").split("\n"):
-            own = set(data.alnum_words(line))
-            for lab, tem in TEMPLATES:
-                s = set(tem.split())
-                share = len(own & s) / len(s)
-                if len(own & s) >= math.ceil(0.9 * len(s) - 1e-9):
-                    best = max(best, share)
-                    labels.add(lab)
-        return len(w), places, sorted(labels), best
-
-    got = bag((r.doc_id, r.n_words, sorted((p.start, p.label) for p in r.places), sorted({h.label for h in r.hits}), r.score) for r in out)
+        hits = []
+        for k, (lab, tem) in enumerate(TEMPLATES):
+            s, width = set(tem.split()), 2 * len(tem.split())
+            best = max(((len(set(w[i : i + width]) & s), -i) for i in range(len(w)) if w[i] in s), default=(0, 0))
+            if best[0] >= math.ceil(0.9 * len(s) - 1e-9):
+                hits.append((k, lab, round(best[0] / len(s), 9)))
+        return len(w), places, hits, max((h[2] for h in hits), default=0.0)
+
+    got = bag((r.doc_id, r.n_words, sorted((p.start, p.label) for p in r.places), [(h.template, h.label, round(h.containment, 9)) for h in r.hits], round(r.score, 9)) for r in out)
     assert got == bag((i, *brute(t)) for i, t, *_ in rows)
+    assert {h.label for r in out if r.doc_id == 10 for h in r.hits} == {"apache"} and [r.score for r in out if r.doc_id == 11] == [0.0]
+    for r in out:
+        for h in r.hits:  # the block that starts there holds what it says
+            lab, tem = TEMPLATES[h.template]
+            w = data.alnum_words(dict((i, t) for i, t, *_ in rows)[r.doc_id] if r.doc_id is not None else texts[2])
+            assert len(set(w[h.start : h.start + 2 * len(tem.split())]) & set(tem.split())) / len(set(tem.split())) == pytest.approx(h.containment)
     assert scan_licenses(empty).count() == 0
     assert [c for c in ("Python", "Pandas", "Arrow") if c in scan_licenses(data.frame(spark, rows))._jdf.queryExecution().toString()] == []
 
@@ -412,11 +508,27 @@ def test_training_beats_unigrams(spark):
 
 
 def test_full_size_network(spark, docs, monkeypatch):
-    """Without options, scoring runs on the network of the README: 16 hidden units, 32 tail classes."""
+    """Without options, scoring runs on the network of the README: 24 hidden units, 32 tail classes, 64 words a class."""
     from loomtext.llm import lm_scoring as L
 
     fitted, fit = [], L.fit
     monkeypatch.setattr(L, "fit", lambda *a: fitted.append(fit(*a)) or fitted[-1])
     L.score_documents(docs, warm_docs=5)
     lang = fitted[0][0]
-    assert lang.params["u"].shape == (16, 48) and lang.vocab.tail_classes == len(lang.tail_tokens) == 32
+    assert lang.params["u"].shape == (24, 72) and lang.vocab.tail_classes == len(lang.tail_tokens) == 32
+    assert (lang.vocab.per_class, lang.vocab.head_classes) == (64, -(-len(lang.vocab.words) // 64))
+
+
+def test_training_carries_state_through_long_documents(monkeypatch):
+    """A document is one stretch of a stream, whatever its length, and its state is cleared at its start only."""
+    from loomtext.llm import lm_scoring as L
+
+    v = L.Vocabulary.build([L.END, *(f"w{i}".encode() for i in range(20))], per_class=8, tail_classes=4)
+    net, seen = L.Network(v, 6), []
+    run = L.Network.run
+    monkeypatch.setattr(L.Network, "run", lambda self, ids, fresh, h, keep: seen.append((ids.copy(), fresh.copy(), h.copy())) or run(self, ids, fresh, h, keep))
+    r = np.random.default_rng(1)
+    docs = [r.integers(0, 20, n).astype(np.int32) for n in (5000, 3, 40, 700, 1)]
+    assert L.train(net, docs, L.Adam(1e-3), width=4, least=1) == sum(map(len, docs))
+    assert sum(int(f.sum()) for _, f, _ in seen) == len(docs)
+    assert all(np.abs(h).sum() > 0 for _, _, h in seen[1:])
