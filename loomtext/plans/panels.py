@@ -250,10 +250,10 @@ def full_outlet_panel(spark, sf_dir):
 
 
 @query(f"""WITH {ORDERS}, m AS (SELECT outlet, topic, year(d) AS year, avg(price::DOUBLE) AS v FROM o GROUP BY 1, 2, 3)
- SELECT outlet, year, round(avg(v), 4) AS mean, round(stddev_samp(v) / sqrt(count(v)), 4) AS se, count(v) AS n FROM m GROUP BY 1, 2""")
+ SELECT outlet, year, round(avg(v) * {ODD}::DOUBLE, 4) AS mean, round(stddev_samp(v) / sqrt(count(v)), 4) AS se, count(v) AS n FROM m GROUP BY 1, 2""")
 def composite_means(spark, sf_dir):
     m = _priced(spark, sf_dir).groupBy("outlet", "topic", F.year("d").cast("long").alias("year")).agg(F.avg("p").alias("v"))
-    return panel.composite_by_type(m, ["outlet", "year"], "v").withColumns({"mean": F.round("mean", 4), "se": F.round("se", 4)})
+    return panel.composite_by_type(m, ["outlet", "year"], "v").select("outlet", "year", apart("mean"), F.round("se", 4).alias("se"), "n")
 
 
 @query("""WITH s AS (SELECT c_acctbal::DOUBLE AS x FROM customer), r AS (SELECT x, row_number() OVER (ORDER BY abs(x) DESC) AS r, count(*) OVER () AS n FROM s),
