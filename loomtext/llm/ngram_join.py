@@ -225,15 +225,16 @@ def _frequent(held: list[np.ndarray], report: int) -> pa.RecordBatch:
     return _facts(1, none, none, signed(x[edge[many]]), n[many], [b""] * len(none))
 
 
-def _prefixes(n: int, percent: int, hot: Broadcast):
-    """(key, cid, at) for the prefix elements of each distinct set of a task.  at: twice the element's place, plus one
-    if it may be the first common one where the set is the smaller of a pair."""
+def _prefixes(n: int, percent: int, hot: Broadcast, salt_rows: int):
+    """(key, salt, cid, at) for the prefix elements of each distinct set of a task.  at: twice the element's place, plus
+    one if it may be the first common one where the set is the smaller of a pair.  salt: the part of an element that
+    ``salt_rows`` texts and more hold, else -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = hot.value
         seen: set[int] = set()
         for batch in batches:
-            keys, ids, places = [], [], []
+            keys, salts, ids, places = [], [], [], []
             for s in text_sets(text_bytes(batch.column("text")), n):
                 cid = class_id(s)
                 if not cid or cid in seen:
@@ -248,11 +249,14 @@ def _prefixes(n: int, percent: int, hot: Broadcast):
                 more = int(shared_keys(np.array(len(s)))) - 1
                 p = min(prefix_length(len(s), percent) + more, len(s))
                 place = np.arange(p)
-                keys.append(signed(s[np.lexsort((s, freq))[:p]]))
+                first = np.lexsort((s, freq))[:p]
+                keys.append(signed(s[first]))
+                parts = freq[first] // salt_rows
+                salts.append(np.where(parts > 0, (cid & 0x7FFFFFFF) % (parts + 1), -1))
                 ids.append(np.full(p, cid))
                 places.append(2 * place + (place <= len(s) - needed(len(s), len(s), percent) + more))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, places)], names=["key", "cid", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, salts, ids, places)], names=["key", "salt", "cid", "at"])
 
     return lean(run)
 
@@ -434,7 +438,7 @@ class Clusters:
         return connected_components(self.spark, links, "ngram-cc")
 
 
-def ngram_components(rows: DataFrame, n: int, percent: int, report: int, order_limit: int, chunk: int, hot_rows: int, cluster_rows: int) -> tuple[DataFrame, DataFrame]:
+def ngram_components(rows: DataFrame, n: int, percent: int, report: int, order_limit: int, chunk: int, hot_rows: int, cluster_rows: int, salt_rows: int) -> tuple[DataFrame, DataFrame]:
     """Of keyed() rows: (k1, k2, cid, n) of every row, and (id, component) of the classes with links."""
     spark = rows.sparkSession
     described = rows.mapInArrow(_describe(n, report), "kind int, k1 long, k2 long, cid long, n long, counts binary")
@@ -451,11 +455,20 @@ def ngram_components(rows: DataFrame, n: int, percent: int, report: int, order_l
     keys = hot["cid"].to_numpy(np.int64).view(np.uint64)
     at = np.argsort(keys)
     known = spark.sparkContext.broadcast((keys[at], hot["n"].to_numpy(np.int64)[at]))
-    routed = rows.where("text is not null").mapInArrow(_prefixes(n, percent, known), "key long, cid long, at long")
-    # blocks of one class, and blocks where no element can lead, go; the others' sizes come from the same pass
-    w = Window.partitionBy("key")
+    routed = rows.where("text is not null").mapInArrow(_prefixes(n, percent, known, salt_rows), "key long, salt long, cid long, at long")
+    # blocks of one class, and blocks where no element can lead, go; the others' sizes come from the same pass.  A
+    # frequent element is counted in salted parts, whose few counts are then added up
+    w = Window.partitionBy("key", "salt")
     live = routed.withColumns({"x": F.min("cid").over(w), "y": F.max("cid").over(w), "l": F.max(F.col("at") % 2).over(w), "m": F.count("*").over(w)})
-    blocks = stored(spark, live.where("x != y and l = 1").select("key", "cid", F.shiftright("at", 1).cast("int").alias("place"), F.ceil(F.col("m") / chunk).cast("int").alias("p")), "blocks")
+    part = [F.when(F.col("salt") >= 0, F.col(c)).alias(c) for c in ("salt", "x", "y", "l")]
+    placed = live.where("salt >= 0 or (x != y and l = 1)").select("key", "cid", F.shiftright("at", 1).cast("int").alias("place"), "m", *part)
+    placed = stored(spark, placed, "blocks")
+    sums = placed.where("salt is not null").groupBy("key", "salt").agg(*[F.max(c).alias(c) for c in ("m", "l", "y")], F.min("x").alias("x"))
+    sums = sums.groupBy("key").agg(F.sum("m").alias("m"), F.max("l").alias("l"), F.max("y").alias("y"), F.min("x").alias("x"))
+    sums = sized(spark, sums.where("x != y and l = 1").select("key", "m"), "block-sizes")
+    blocks = placed.where("salt is null").select("key", "cid", "place", "m").unionAll(
+        placed.where("salt is not null").select("key", "cid", "place").join(sums, "key").select("key", "cid", "place", "m")
+    ).withColumn("p", F.ceil(F.col("m") / chunk).cast("int"))
     known.unpersist()
     # a block of several chunks meets in pairs of chunks; vectors come to the rows before these are dealt
     c = F.pmod(F.xxhash64("cid"), F.col("p").cast("long")).cast("int")
@@ -465,7 +478,7 @@ def ngram_components(rows: DataFrame, n: int, percent: int, report: int, order_l
     pairs = grouped(split, ["key", "_i", "_j"], ["n"]).mapInPandas(_block_pairs(percent, hot_rows), CANDIDATES)
     pairs = pairs.groupBy("a", "b").agg(F.sum("keys").alias("keys"), F.min("n").alias("n"))
     pairs = stored(spark, pairs.where((F.col("n") < LARGE) | (F.col("keys") >= F.floor(F.col("n") * SHARE) + 1)).select(F.col("a").alias("u"), F.col("b").alias("v")), "candidates")
-    discard(blocks)
+    discard(placed)
     clusters = stored(spark, connected_components(spark, pairs, "clusters").select(F.col("id").alias("cid"), F.col("component").alias("cluster")), "clusters")
     discard(pairs)
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("m")).where(F.col("m") > cluster_rows)
@@ -479,18 +492,19 @@ def ngram_components(rows: DataFrame, n: int, percent: int, report: int, order_l
 
 def ngram_join(
     docs: DataFrame, n: int = 5, percent: int = 80, report: int = 4, order_limit: int = 200_000,
-    chunk: int = 2048, hot_rows: int = 64, cluster_rows: int = 128, id_col: str = "doc_id", text_col: str = "text",
+    chunk: int = 2048, hot_rows: int = 64, cluster_rows: int = 128, salt_rows: int = 65_536, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Per document: k1, k2 (its row key), n_shingles, component_id, the smallest id reachable by links, and
     component, which also tells groups without any id apart (null for empty sets).
 
     ``percent``: Jaccard similarity in hundredths.  ``report``: from how many texts of a part of a task an element
     counts as frequent; ``order_limit``: how many of those the order knows; ``chunk``, ``hot_rows`` and
-    ``cluster_rows``: sizes at which blocks and clusters are treated in parts.  None of these five changes results.
+    ``cluster_rows``: sizes at which blocks and clusters are treated in parts; ``salt_rows``: from how many texts on an
+    element's rows are counted in several tasks.  None of these six changes results.
     """
     bounded_batches(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
-    described, comps = ngram_components(rows, n, percent, report, order_limit, chunk, hot_rows, cluster_rows)
+    described, comps = ngram_components(rows, n, percent, report, order_limit, chunk, hot_rows, cluster_rows, salt_rows)
     placed = described.join(comps.withColumnRenamed("id", "cid"), "cid", "left").select(
         "k1", "k2", "n", F.when(F.col("n") > 0, F.coalesce("component", "cid")).alias("comp")
     )

@@ -332,7 +332,7 @@ def test_word_hashes(monkeypatch):
 # --- near duplicates -----------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("parts", [{}, {"chunk": 2, "hot_rows": 2, "cluster_rows": 2, "report": 2}])
+@pytest.mark.parametrize("parts", [{}, {"salt_rows": 1, "report": 2}, {"chunk": 2, "hot_rows": 2, "cluster_rows": 2, "salt_rows": 2, "report": 2}])
 def test_ngram_join(spark, docs, empty, parts):
     from loomtext.llm.common import key_id
     from loomtext.llm.ngram_join import drop_near_duplicates, ngram_join
