@@ -161,6 +161,7 @@ def scan_licenses(
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every document."""
     found = scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     base = F.transform("places", lambda p: p["label"])
     mine = F.transform("hits", lambda h: h["label"])
