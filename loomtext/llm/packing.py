@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, claim, integral, lean
+from .common import NO_ID, bounded_batches, claim, integral, key_id, lean
 
 PIECES = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, "
@@ -266,7 +266,7 @@ def pack_documents(
         end = np.array([end_id], "<u4").tobytes()
         top = TaskContext.get().partitionId() << 40
         packer = Packer(context, tiers)
-        held: dict[int, tuple[object, bytes]] = {}
+        held: dict[int, tuple[int, bytes]] = {}
         count, queued, seq = 0, 0, 0
         steps: dict[int, list[int]] = {}
         n_steps = 0
@@ -288,15 +288,12 @@ def pack_documents(
                 seq += 1
             keep = {x[0] for x in packer.rests}
             held = {d: held[d] for d in keep}
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            return out
+            return pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
 
         for pdf in batches:
-            ids = pdf["doc_id"].astype("Int64")
-            for doc_id, coded in zip(ids, tok.encode([t if isinstance(t, str) else None for t in pdf["text"]])):
+            for doc_id, coded in zip(pdf["doc_id"].tolist(), tok.encode([t if isinstance(t, str) else None for t in pdf["text"]])):
                 coded += end
-                held[count] = (None if doc_id is pd.NA else int(doc_id), coded)
+                held[count] = (doc_id, coded)
                 packer.add(count, len(coded) // 4)
                 count += 1
                 queued += len(coded) // 4
@@ -307,8 +304,10 @@ def pack_documents(
 
     bounded_batches(docs.sparkSession)
     integral(docs, id_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(lean(run), PIECES)
+    # a null among the ids would turn the others of its batch into floats
+    doc_id = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id")
+    rows = docs.select(doc_id, F.col(text_col).cast("string").alias("text"))
+    return rows.mapInPandas(lean(run), PIECES).withColumn("doc_id", key_id("doc_id"))
 
 
 def op2_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,6 +64,8 @@ def test_packing_round_trip(spark, docs, empty):
     steps = out.drop_duplicates("sequence_id").groupby(["step_id"]).sequence_tokens.sum()
     assert steps.max() <= 16384
     assert pack_documents(empty, path).count() == 0
+    large = spark.createDataFrame([(2**53 + 1, "a b"), (None, "c"), (-(2**62) - 1, "")], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in pack_documents(large, path).collect()} == {2**53 + 1, None, -(2**62) - 1}
 
 
 @pytest.mark.parametrize("seed", range(5))
