@@ -10,20 +10,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def split_blocks(rows: DataFrame, keys: list[str], by: str, size: int) -> DataFrame:
-    """rows with _i, _j and _c: a block of more than ``size`` rows is dealt into chunks by a hash of ``by``, and a
-    row of chunk c goes to the groups (c, j) and (i, c) of all chunk pairs i <= j.  Other blocks are group (0, 0).
+def block_sizes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """How many rows (_n) each block has, from partial counts."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("_n"))
 
-    Block sizes are partial counts; only those of large blocks are joined back.
+
+def large_blocks(sizes: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """The blocks of more than ``size`` rows and their number of chunks (_p)."""
+    return sizes.where(F.col("_n") > size).select(*keys, F.ceil(F.col("_n") / size).cast("int").alias("_p"))
+
+
+def split_blocks(rows: DataFrame, keys: list[str], by: str, large: DataFrame, wave: tuple[int, int] = (0, 1)) -> DataFrame:
+    """rows with _i, _j and _c: a block of ``large`` is dealt into chunks by a hash of ``by``, and a row of chunk c goes
+    to the groups (c, j) and (i, c) of all chunk pairs i <= j.  Other blocks are group (0, 0).
+
+    Of all groups those of wave[0] come, of wave[1] waves in all; each group is in one wave, with all its rows.
     """
-    large = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > size)
-    large = large.select(*keys, F.ceil(F.col("_n") / size).cast("int").alias("_p"))
     dealt = rows.join(large, keys, "left").withColumn("_p", F.coalesce("_p", F.lit(1)))
     dealt = dealt.withColumn("_c", F.pmod(F.xxhash64(by), F.col("_p")).cast("int"))
     to = F.transform(
         F.sequence(F.lit(0), F.col("_p") - 1),
         lambda o: F.struct(F.least(F.col("_c"), o).alias("i"), F.greatest(F.col("_c"), o).alias("j")),
     )
+    if wave[1] > 1:
+        to = F.filter(to, lambda x: F.pmod(F.xxhash64(F.lit("wave"), *keys, x.i, x.j), F.lit(wave[1])) == wave[0])
     return dealt.withColumn("_to", F.explode(to)).select(
         *rows.columns, F.col("_to.i").alias("_i"), F.col("_to.j").alias("_j"), "_c"
     )

@@ -229,3 +229,34 @@ def test_pipeline_keeps_what_it_should(spark, tmp_path):
     assert all(bench not in (t or "") for _, t in left) and len(left) < len(subs)
     assert sorted(str(x) for x in left) == sorted(str((i, t)) for i, t in subs if bench not in (t or ""))
     assert {r.doc_id for r in out.select("doc_id").collect()} == {i for i, _ in left}
+
+
+def test_embeddings_in_waves(spark, monkeypatch):
+    """However many chunk pairs a label has, no step moves much more than its vectors; links are the same with a grid,
+    without one, and in many waves."""
+    from loomtext.llm import embedding_dedup as E
+
+    r = np.random.default_rng(8)
+    x = r.normal(size=(1000, 32))
+    x[500:] = x[:500] + r.normal(size=(500, 32)) * np.linspace(0.0, 0.3, 500)[:, None]
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, [float(e) for e in v], 1, "c", 1) for i, v in enumerate(x)], VECS)
+    one = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    near = one @ one.T >= 0.98
+    np.fill_diagonal(near, False)
+    want = {i: int(n) for i, n in enumerate(near.sum(1))}
+    moved, kept = [], E.grouped
+
+    def counted(rows, *args):
+        moved.append(rows.count())
+        return kept(rows, *args)
+
+    monkeypatch.setattr(E, "grouped", counted)
+    for options in ({"chunk": 100, "wave_rows": 1}, {"cell_rows": 100}, {"cell_rows": 100, "pays": 1e9, "chunk": 300, "wave_rows": 2500}):
+        moved.clear()
+        assert {v.vec_id: v.n_links for v in E.link_embeddings(df, **options).collect()} == want
+        if "wave_rows" in options:
+            assert len(moved) > 1 and max(moved) <= 2 * max(1000, options["wave_rows"])
+    assert len(moved) * 2500 < sum(moved) + 2500
+    dense = [c + r.normal(size=32) * 0.001 for c in r.normal(size=(20, 32)) for _ in range(40)]
+    assert E.paying_grid(dense, 4, 0.0001, 5, 4.0, 0.5) > 0 and E.paying_grid(list(x), 4, 0.04, 5, 4.0, 0.5) == 0
