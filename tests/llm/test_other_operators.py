@@ -130,6 +130,20 @@ def test_html_template_decides(spark):
     assert H.block_key("#/html/body/div/p", "About this site") in kept[0].fixed
 
 
+def test_html_optional_part_is_no_article(spark):
+    """A box that some pages of a host have, longer than their text, is not the article; where some pages have another
+    layout, that layout's text is."""
+    from loomtext.llm import html_extract as H
+
+    notice = lambda i: f"<div><p>{data.prose(6, f'n{i}')}</p></div>"
+    text, box = lambda i: data.prose(60, f"t{i}"), lambda i: data.prose(100, f"b{i}")
+    boxed = [(i, "http://boxed.example/", f"<body>{notice(i)}<div><p>{text(i)}</p></div>" + (f"<div><p>{box(i)}</p></div>" if i % 4 == 0 else "")) for i in range(16)]
+    two = [(100 + i, "http://two.example/", f"<body>{notice(i)}" + (f"<section><p>{text(i)}</p></section>" if i % 4 else f"<table><tr><td>{box(i)}</table>")) for i in range(16)]
+    out = H.extract_main_text(spark.createDataFrame(boxed + two, "page_id long, url string, html string")).collect()
+    got = {r.page_id: r.text for r in out}
+    assert got == {i: text(i) for i in range(16)} | {100 + i: text(i) if i % 4 else box(i) for i in range(16)}
+
+
 def test_html_vectors_are_whole():
     """Sums of codes tell equal occurrence vectors from others, however the pages are dealt."""
     from loomtext.llm import html_extract as H
