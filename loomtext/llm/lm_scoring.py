@@ -2,7 +2,8 @@
 
 Counts.  Words of all training documents are counted (partial counts in the tasks, summed by word), and so are
 document ends.  The ``head_words`` most frequent words with their counts are broadcast (a fixed bound); the other
-words of each document are joined with their counts by word, pre-aggregated within the tasks.
+words of each document are joined with their counts by word, pre-aggregated within the tasks.  Words are cut and
+looked up in Arrow, some megabytes of text at a time.
 
 Model.  A gated recurrent unit reads one token a step; its output layer is factored: a softmax over classes and, in
 classes of frequent words, a softmax over the words of the class.  Words outside the ``vocabulary`` most frequent
@@ -25,22 +26,60 @@ no rows.
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, frequency_threshold, integral, lean, lower_space_words, release, stored, text_bytes
+from .common import bounded_batches, discard, frequency_threshold, integral, lean, release, stored
 from .quality_cnn import held_out
 
 END = b"\x00\n"  # no word holds a line feed
 LN10 = float(np.log(10))
+BLOCK = 4096  # rows of logits at a time
+
+
+def cut_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    r"""Words ``[^\x20\x09-\x0D]+`` of all texts end to end, A-Z lower-cased, and each text's number of them; null has
+    none.  (Arrow cuts at just those six bytes.)"""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = lists.flatten().cast(pa.binary())
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    full = pc.binary_length(words).to_numpy() > 0  # white space at an end of a text leaves an empty string
+    if not full.all():
+        ends = np.concatenate(([0], np.cumsum(full)))[ends]
+        words = words.filter(pa.array(full))
+    return words, np.diff(ends)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of at most ``size`` bytes, or of one row: a look-up of many words at once is cheap, and long
+    texts don't add up."""
+
+    def halved(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if batch.num_rows < 2 or batch.nbytes <= size:
+            yield batch
+        else:
+            yield from halved(batch.slice(0, batch.num_rows // 2))
+            yield from halved(batch.slice(batch.num_rows // 2))
+
+    held, n = [], 0
+    for whole in batches:
+        for batch in halved(whole):
+            if held and n + batch.nbytes > size:
+                yield pa.concat_batches(held)
+                held, n = [], 0
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
 
 
 @dataclass
@@ -70,6 +109,18 @@ class Vocabulary:
         kind = 0 if word.isascii() else 1 + (max(word) & 3)
         return (word[-1] * 7 + (word[-2] if len(word) > 1 else 0) * 3 + kind * 11) % self.tail_classes
 
+    def tails(self, words: pa.Array) -> np.ndarray:
+        """tail() of every word of an Arrow array; none is null or empty."""
+        if not len(words):
+            return np.empty(0, np.int64)
+        words = words.cast(pa.binary())
+        at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        data = np.frombuffer(words.buffers()[2], np.uint8)[: at[-1]]
+        most = np.maximum.reduceat(data, at[:-1]).astype(np.int64)
+        kind = np.where(most < 128, 0, 1 + (most & 3))
+        second = np.where(np.diff(at) > 1, data[at[1:] - 2], 0)
+        return (data[at[1:] - 1] * np.int64(7) + second * np.int64(3) + kind * 11) % self.tail_classes
+
 
 class Network:
     """GRU with class-factored output; parameters in one dict of float32 arrays."""
@@ -107,124 +158,151 @@ class Network:
         backpropagation needs."""
         p, n = self.p, self.hidden
         half = np.float32(0.5)
-        u_zr, u_c = p["u"][:, : 2 * n] * half, np.ascontiguousarray(p["u"][:, 2 * n :])
-        table = p["in"] + p["b"]
-        table[:, : 2 * n] *= half  # the logistic function is half a tanh of the half, plus a half
+        u_zr, u_c = _gates(p["u"])[:2] * half, np.ascontiguousarray(p["u"][:, 2 * n :])
+        table = _gates(p["in"] + p["b"])
+        table[:2] *= half  # the logistic function is half a tanh of the half, plus a half
         begins = fresh.any(1).tolist()
         shape = (len(ids) if keep else 1, ids.shape[1], n)
-        states, x = np.empty((*ids.shape, n), table.dtype), np.empty((ids.shape[1], 3 * n), table.dtype)
-        gates, resets, news = np.empty((*shape[:2], 2 * n), table.dtype), np.empty(shape, table.dtype), np.empty(shape, table.dtype)
+        states, x = np.empty((*ids.shape, n), table.dtype), np.empty((3, ids.shape[1], n), table.dtype)
+        gates, resets, news = np.empty((shape[0], 2, *shape[1:]), table.dtype), np.empty(shape, table.dtype), np.empty(shape, table.dtype)
         for t in range(len(ids)):
             if begins[t]:
                 h = h * (~fresh[t])[:, None]
             states[t] = h
             k = t if keep else 0
             zr, rh, c = gates[k], resets[k], news[k]
-            np.take(table, ids[t], axis=0, out=x, mode="clip")  # a step's inputs stay in the cache
+            for gate in range(3):
+                np.take(table[gate], ids[t], axis=0, out=x[gate], mode="clip")  # a step's inputs stay in the cache
             np.matmul(h, u_zr, out=zr)
-            zr += x[:, : 2 * n]
+            zr += x[:2]
             np.tanh(zr, out=zr)
             zr *= half
             zr += half
-            np.multiply(zr[:, n:], h, out=rh)
+            np.multiply(zr[1], h, out=rh)
             np.matmul(rh, u_c, out=c)
-            c += x[:, 2 * n :]
+            c += x[2]
             np.tanh(c, out=c)
             h = h - c
-            h *= zr[:, :n]
+            h *= zr[0]
             h += c
         return states, h, (states, gates, resets, news)
 
-    @staticmethod
-    def _softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray):
-        """Logits, their exponentials, and the sums of those."""
-        logit = h @ w
-        logit += b
-        if np.abs(w).sum(0).max() + np.abs(b).max() > 60:  # states are within -1 and 1: else nothing overflows
-            logit -= logit.max(1, keepdims=True)
-        e = np.exp(logit)
-        return logit, e, e @ np.ones((e.shape[1], 1), np.float32)
-
     def loss(self, states: np.ndarray, target: np.ndarray, grads: dict | None = None):
         """Log probabilities (natural) of the class, and of the word within head classes; adds gradients of the
         mean (over 1024 tokens at least) negative log likelihood and returns that of the states."""
         p, v = self.p, self.v
-        n = len(target)
+        n, m = len(target), self.hidden
         scale = np.float32(1 / max(n, 1024))  # small windows take small steps
-        head = target < v.head_classes * v.per_class
-        cls = np.where(head, target // v.per_class, target - v.head_classes * v.per_class + v.head_classes)
-        logit, e, s = self._softmax(states, p["wc"], p["bc"])
-        at = np.arange(n)
-        out = logit[at, cls] - np.log(s[:, 0])
-        ds = None
-        if grads is not None:
-            e /= s
-            e[at, cls] -= 1
-            e *= scale
-            grads["wc"] += states.T @ e
-            grads["bc"] += e.sum(0)
-            ds = e @ p["wc"].T
-        order = np.flatnonzero(head)
-        order = order[np.argsort(cls[order], kind="stable")]
-        sorted_cls = cls[order]
-        cut = np.searchsorted(sorted_cls, np.arange(v.head_classes + 1))
+        base = v.head_classes * v.per_class
+        cls = np.where(target < base, target // v.per_class, target - base + v.head_classes)
+        order = np.argsort(_narrow(cls, v.classes), kind="stable")  # a class's tokens lie together, those of head classes first
+        cls, place = cls[order], target[order] % v.per_class
+        cut = np.searchsorted(cls, np.arange(v.head_classes + 1)).tolist()
+        h = np.empty((n, m + 1), states.dtype)  # a last column of ones stands for the biases
+        h[:, :m] = np.take(states, order, axis=0)
+        h[:, m] = 1
+        wc = np.concatenate((p["wc"], p["bc"][None]))
+        ww = np.concatenate((p["ww"], p["bw"][:, None]), axis=1)
+        high = (np.abs(ww).sum(1).max(1) > 60).tolist()  # states are within -1 and 1: else nothing overflows
+        got, sums = np.zeros((2, n), h.dtype), np.ones((2, n), h.dtype)
+        ds = None if grads is None else np.empty_like(states)
+        wide = max(v.classes, v.per_class)
+        one, at, room = np.ones(wide, wc.dtype), np.arange(BLOCK), np.empty(BLOCK * wide, np.result_type(h, wc))
+
+        def softmax(level: int, a: int, b: int, own: np.ndarray, w: np.ndarray, high: bool, add: tuple | None) -> None:
+            """Logits of own and sums of exponentials of tokens a to b; gradients go to add and ds."""
+            back = np.ascontiguousarray(w[:m].T) if add else None
+            for a in range(a, b, BLOCK):  # a block's logits stay in the cache
+                x = h[a : min(b, a + BLOCK)]
+                i, part = at[: len(x)], slice(a, a + len(x))
+                e = room[: len(x) * w.shape[1]].reshape(len(x), -1)
+                np.matmul(x, w, out=e)
+                if high:
+                    e -= e.max(1, keepdims=True)
+                got[level, part] = e[i, own[part]]
+                np.exp(e, out=e)
+                s = np.matmul(e, one[: e.shape[1]], out=sums[level, part])
+                if add:
+                    e *= (scale / s)[:, None]
+                    e[i, own[part]] -= scale
+                    g = x.T @ e
+                    add[0][:] += g[:m]
+                    add[1][:] += g[m]
+                    if level:
+                        ds[part] += e @ back
+                    else:
+                        np.matmul(e, back, out=ds[part])
+
+        softmax(0, 0, n, cls, wc, np.abs(wc).sum(0).max() > 60, grads and (grads["wc"], grads["bc"]))
         for k in range(v.head_classes):
-            rows = order[cut[k] : cut[k + 1]]
-            if not len(rows):
-                continue
-            h = states[rows]
-            logit, e, s = self._softmax(h, p["ww"][k], p["bw"][k])
-            w = target[rows] - k * v.per_class
-            i = np.arange(len(rows))
-            out[rows] += logit[i, w] - np.log(s[:, 0])
-            if grads is not None:
-                e /= s
-                e[i, w] -= 1
-                e *= scale
-                grads["ww"][k] += h.T @ e
-                grads["bw"][k] += e.sum(0)
-                ds[rows] += e @ p["ww"][k].T
+            softmax(1, cut[k], cut[k + 1], place, ww[k], high[k], grads and (grads["ww"][k], grads["bw"][k]))
+        got -= np.log(sums, out=sums)
+        got[0, : cut[-1]] += got[1, : cut[-1]]
+        got = got[0]
+        out = np.empty_like(got)
+        out[order] = got
+        if ds is not None:
+            own, ds = ds, np.empty_like(ds)
+            ds[order] = own
         return out, ds
 
     def back(self, ids: np.ndarray, fresh: np.ndarray, saved: tuple, dstates: np.ndarray, grads: dict) -> None:
         """Backpropagation through one window (truncated at its start)."""
         p, n = self.p, self.hidden
         states, gates, resets, news = saved
-        u_zr, u_c = np.ascontiguousarray(p["u"][:, : 2 * n].T), np.ascontiguousarray(p["u"][:, 2 * n :].T)
+        u_z, u_r, u_c = (np.ascontiguousarray(u.T) for u in _gates(p["u"]))
         begins = fresh.any(1).tolist()
         dh = np.zeros((ids.shape[1], n), states.dtype)
-        dx_all = np.empty((*ids.shape, 3 * n), states.dtype)
+        dx_all = np.empty((3, *ids.shape, n), states.dtype)
+        f, rest, drh = np.empty_like(dh), np.empty_like(dh), np.empty_like(dh)
         for t in range(len(ids) - 1, -1, -1):  # a step's arrays stay in the cache; products of whole windows would not
-            dx, z, r, h, c = dx_all[t], gates[t, :, :n], gates[t, :, n:], states[t], news[t]
-            rest = 1 - z
-            f = c * c
-            np.subtract(1, f, out=f)
-            f *= rest
-            np.multiply(dh, f, out=dx[:, 2 * n :])
-            drh = dx[:, 2 * n :] @ u_c
+            (z, r), h, c = gates[t], states[t], news[t]
+            dz, dr, dc = dx_all[0, t], dx_all[1, t], dx_all[2, t]
+            np.subtract(1, z, out=rest)
+            np.multiply(dh, rest, out=dc)
+            np.multiply(dc, z, out=dz)
             np.subtract(h, c, out=f)
-            f *= z
-            f *= rest
-            np.multiply(dh, f, out=dx[:, :n])
-            np.subtract(1, r, out=f)
+            dz *= f
+            np.multiply(c, c, out=f)
+            np.subtract(1, f, out=f)
+            dc *= f
+            np.matmul(dc, u_c, out=drh)
             drh *= r
+            np.subtract(1, r, out=f)
             f *= h
-            np.multiply(drh, f, out=dx[:, n : 2 * n])
+            np.multiply(drh, f, out=dr)
             dh *= z
             dh += drh
-            dh += dx[:, : 2 * n] @ u_zr
+            np.matmul(dz, u_z, out=f)
+            dh += f
+            np.matmul(dr, u_r, out=f)
+            dh += f
             dh += dstates[t]
             if begins[t]:
                 dh *= (~fresh[t])[:, None]
-        flat = dx_all.reshape(-1, 3 * n)
-        grads["u"][:, : 2 * n] += states.reshape(-1, n).T @ flat[:, : 2 * n]
-        grads["u"][:, 2 * n :] += resets.reshape(-1, n).T @ flat[:, 2 * n :]
-        grads["b"] += flat.sum(0)
+        flat = dx_all.reshape(3, -1, n)
+        before, reset = states.reshape(-1, n).T, resets.reshape(-1, n).T
         flat_ids = ids.ravel()
-        order = np.argsort(flat_ids, kind="stable")
+        order = np.argsort(_narrow(flat_ids, self.v.inputs), kind="stable")
         own = flat_ids[order]
         first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        grads["in"][own[first]] += np.add.reduceat(flat[order], first, axis=0)
+        rows = own[first]
+        for gate, source in enumerate((before, before, reset)):
+            part = slice(gate * n, gate * n + n)
+            grads["u"][:, part] += source @ flat[gate]
+            sums = np.add.reduceat(np.take(flat[gate], order, axis=0), first, axis=0)
+            grads["b"][part] += sums.sum(0)
+            grads["in"][rows, part] += sums
+
+
+def _gates(a: np.ndarray) -> np.ndarray:
+    """Columns of the three gates as arrays of their own: (rows, 3 n) to (3, rows, n)."""
+    return np.ascontiguousarray(a.reshape(len(a), 3, -1).transpose(1, 0, 2))
+
+
+def _narrow(a: np.ndarray, most: int) -> np.ndarray:
+    """Numbers below most in 16 bits where they fit: numpy sorts those by radix."""
+    return a.astype(np.uint16) if most <= 1 << 16 else a
 
 
 def streams(docs: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
@@ -271,9 +349,11 @@ def train(net: Network, docs: list[np.ndarray], opt: Adam, width: int = 512, lea
         states, h, saved = net.run(x0, new, h, True)
         for g in grads.values():
             g.fill(0)
-        out, ds = net.loss(states[live], x[live], grads)
-        dstates = np.zeros_like(states)
-        dstates[live] = ds
+        if live.all():
+            dstates = net.loss(states.reshape(-1, net.hidden), x.ravel(), grads)[1].reshape(states.shape)
+        else:
+            dstates = np.zeros_like(states)
+            dstates[live] = net.loss(states[live], x[live], grads)[1]
         net.back(x0, new, saved, dstates, grads)
         opt.step(net.p, grads)
     return tokens
@@ -342,65 +422,64 @@ class Language:
     hidden: int = 16
     least: int = 0  # the least count of a head word
 
-    def __post_init__(self):
-        self.index: dict[bytes, int] = {}
+    known: pa.Array | None = None  # the head words, in a process that looks words up
 
     def arrange(self) -> Language:
-        """Once in a process: places of head words with their ids and logs; a place for each tail class follows."""
-        if not self.index:
+        """Once in a process: places of head words with their ids and logs; a place for each tail class follows, and one
+        for the document end is the last."""
+        if self.known is None:
             v = self.vocab
             base = v.head_classes * v.per_class
-            own = [v.words.get(w) for w in self.head]
-            own = [base + v.tail(w) if k is None else k for w, k in zip(self.head, own)]
-            self.id_of = np.array([*own, *range(base, base + v.tail_classes)], np.int32)
-            self.log_of = np.concatenate((np.log10(np.array([*self.head.values()], float) + 0.5), np.zeros(v.tail_classes)))
-            self.index = {w: i for i, w in enumerate(self.head)}
+            self.known = pa.array(list(self.head), pa.binary())
+            own = np.array([v.words.get(w, -1) for w in self.head], np.int64)
+            own[own < 0] = base + v.tails(self.known.filter(pa.array(own < 0)))
+            self.id_of = np.concatenate((own, np.arange(base, base + v.tail_classes), [v.words[END]])).astype(np.int32)
+            logs = np.log10(np.array([*self.head.values(), self.head.get(END, 0)], float) + 0.5)
+            self.log_of = np.concatenate((logs[:-1], np.zeros(v.tail_classes), logs[-1:]))
         return self
 
-    def places(self, words: list[bytes]) -> tuple[np.ndarray, dict[bytes, int]]:
-        """Places of words and of the document end, and the words outside the head with their numbers."""
-        got = list(map(self.index.get, words))
-        rare: dict[bytes, int] = {}
-        if None in got:
-            n, tail = len(self.head), self.vocab.tail
-            for i, k in enumerate(got):
-                if k is None:
-                    w = words[i]
-                    got[i] = n + tail(w)
-                    rare[w] = rare.get(w, 0) + 1
-        got.append(self.index[END] if END in self.index else -1)
-        return np.array(got, np.int64), rare
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        """Token ids of words and the document end."""
-        got = list(map(self.index.get, words))
-        if None in got:
-            n, tail = len(self.head), self.vocab.tail
-            got = [n + tail(w) if k is None else k for k, w in zip(got, words)]
-        got.append(0)
-        out = self.id_of[got]
-        out[-1] = self.vocab.words[END]
-        return out
-
-
-def _count(limit: int = 300_000):
+    def places(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """Places of the tokens of all texts end to end, each text's number of them, and the words outside the head with
+        the numbers of their texts."""
+        words, n = cut_words(texts)
+        got = pc.index_in(words, value_set=self.known)
+        rare = got.is_null()
+        outside, rare = words.filter(rare), rare.to_numpy(zero_copy_only=False)
+        got = got.fill_null(0).to_numpy().copy()
+        got[rare] = len(self.head) + self.vocab.tails(outside)
+        at = np.full(len(got) + len(n), len(self.id_of) - 1, np.int32)
+        inner = np.ones(len(at), bool)
+        inner[np.cumsum(n + 1) - 1] = False
+        at[inner] = got
+        return at, n + 1, outside, np.repeat(np.arange(len(n)), n)[rare]
+
+    def documents(self, texts: pa.Array) -> list[np.ndarray]:
+        """Token ids of each text's words and its end."""
+        at, n, _, _ = self.places(texts)
+        return np.split(self.id_of[at], np.cumsum(n)[:-1]) if len(n) else []
+
+
+def _count(size: int = 1 << 23):
     """Partial word counts of training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter = Counter()
+        ends = 0
+        for batch in grouped(batches, size):
+            c = cut_words(batch.column("text"))[0].value_counts()
+            ends += len(batch)
+            yield pa.RecordBatch.from_arrays([c.field("values"), c.field("counts")], names=["w", "c"])
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([ends], pa.int64())], names=["w", "c"])
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.binary()), pa.array(c.values(), pa.int64())], names=["w", "c"])
-            c.clear()
-            return out
+    return lean(run)
 
+
+def _tail_counts(vocab: Vocabulary):
+    """Tail classes of words in place of the words (w, c)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in text_bytes(batch.column("text")):
-                c.update(text.lower().split())
-            c[END] += len(batch)
-            if len(c) > limit:
-                yield flush()
-        yield flush()
+            yield pa.RecordBatch.from_arrays([pa.array(vocab.tails(batch.column("w")), pa.int32()), batch.column("c")], names=["k", "c"])
 
     return lean(run)
 
@@ -423,13 +502,12 @@ def _unpack(flat: np.ndarray, like: dict) -> dict:
 def _train_task(shared, rate: float, decay: float, buffer: int):
     """Train on all texts of the partition from the shared start; parameters by chunk, times the tokens seen."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lang: Language = shared.value.arrange()
         net = Network(lang.vocab, lang.hidden, params={k: v.copy() for k, v in lang.params.items()})
         opt, seen, held, n = Adam(rate, decay), 0, [], 0
-        for pdf in batches:
-            for text in pdf["text"]:
-                d = lang.ids(lower_space_words(text if isinstance(text, str) else None))
+        for batch in grouped(batches):
+            for d in lang.documents(batch.column("text")):
                 held.append(d)
                 n += len(d)
                 if n >= buffer:
@@ -440,7 +518,13 @@ def _train_task(shared, rate: float, decay: float, buffer: int):
         if seen:
             flat = _pack(net.p)
             parts = range(0, len(flat), CHUNK)
-            yield pd.DataFrame({"part": [a // CHUNK for a in parts], "tokens": seen, "x": [flat[a : a + CHUNK].astype(np.float32).tobytes() for a in parts]})
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([a // CHUNK for a in parts], pa.int32()), pa.array([seen for _ in parts], pa.int64()),
+                    pa.array([flat[a : a + CHUNK].astype(np.float32).tobytes() for a in parts], pa.binary()),
+                ],
+                names=["part", "tokens", "x"],
+            )
 
     return lean(run)
 
@@ -469,44 +553,44 @@ def _score_task(shared, buffer: int):
         lang: Language = shared.value.arrange()
         net = Network(lang.vocab, lang.hidden, params=lang.params)
         norm = np.log10(lang.tokens + 0.5 * (lang.distinct + 1))
-        base_id, n_tail = lang.vocab.head_classes * lang.vocab.per_class, lang.vocab.tail_classes
+        base_id = lang.vocab.head_classes * lang.vocab.per_class
         tail_norm = np.log10(lang.tail_tokens + 0.5 * (lang.tail_distinct + 1))
+        share = np.where(lang.id_of < base_id, 0, lang.log_of - tail_norm[np.maximum(lang.id_of - base_id, 0)])  # of a place in its tail class
         row = TaskContext.get().partitionId() << 40
 
         def flush(held: list[tuple]) -> pa.RecordBatch:
             nonlocal row
-            got = score(net, [h[2] for h in held]) / LN10
-            n, whole = [], []
-            for (_, _, ids, _, own, _), s in zip(held, got.tolist()):
-                n.append(len(ids))
-                whole.append(s + own - float(np.bincount(ids[ids >= base_id] - base_id, minlength=n_tail) @ tail_norm))
-            rare = [h[5] for h in held]
-            number = np.arange(row, row + len(held))
-            row += len(held)
+            docs, ids, n, known, base, own, words, times = zip(*held)
+            got = score(net, [d for group in docs for d in group]) / LN10
+            number = np.arange(row, row + len(got))
+            row += len(got)
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(number), pa.array([h[0] for h in held], pa.int64()), pa.array(n, pa.int64()), pa.array([h[3] for h in held], pa.int64()),
-                    pa.array([h[1] - k * norm for h, k in zip(held, n)], pa.float64()), pa.array(whole, pa.float64()),
-                    pa.array([list(r) for r in rare], pa.list_(pa.binary())), pa.array([list(r.values()) for r in rare], pa.list_(pa.int32())),
+                    pa.array(number), pa.concat_arrays(ids), *(pa.array(np.concatenate(x)) for x in (n, known, base)),
+                    pa.array(got + np.concatenate(own)), pa.concat_arrays(words), pa.concat_arrays(times),
                 ],
                 names=[c.split()[0] for c in SCORED.split(", ")],
             )
 
         held, n = [], 0
-        for batch in batches:
-            for i, text in zip(batch.column("id").to_pylist(), text_bytes(batch.column("text"))):
-                at, rare = lang.places(text.lower().split())
-                ids, values = lang.id_of[at], lang.log_of[at]
-                ids[-1] = lang.vocab.words[END]
-                if END not in lang.index:
-                    values[-1] = np.log10(0.5)
-                known = len(at) - 1 - sum(rare.values()) + (END in lang.index)
-                own = values[:-1][ids[:-1] >= base_id].sum()
-                held.append((i, float(values.sum()), ids, known, float(own), rare))
-                n += len(ids)
-                if n >= buffer:
-                    yield flush(held)
-                    held, n = [], 0
+        for batch in grouped(batches):
+            at, size, outside, owner = lang.places(batch.column("text"))
+            ends = np.cumsum(size)
+            base = np.add.reduceat(lang.log_of[at], ends - size) - size * norm
+            own = np.add.reduceat(share[at], ends - size)
+            known = size - np.bincount(owner, minlength=len(size)) - (END not in lang.head)
+            # a text's words outside the head, each once with its number of times
+            codes = outside.dictionary_encode()
+            kinds = max(1, len(codes.dictionary))
+            pairs, times = np.unique(owner * kinds + codes.indices.to_numpy(), return_counts=True)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(pairs // kinds, minlength=len(size))))), pa.int32())
+            words = pa.ListArray.from_arrays(offsets, codes.dictionary.take(pa.array(pairs % kinds)))
+            times = pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32()))
+            held.append((np.split(lang.id_of[at], ends[:-1]), batch.column("id"), size, known, base, own, words, times))
+            n += len(at)
+            if n >= buffer:
+                yield flush(held)
+                held, n = [], 0
         if held:
             yield flush(held)
 
@@ -527,8 +611,7 @@ def fit(rows: DataFrame, head_words: int, vocabulary: int, hidden: int, warm_doc
         top = [END, *top[: vocabulary - 1]]
     vocab = Vocabulary.build(top)
     in_vocab = spark.createDataFrame([(bytearray(w),) for w in top], "w binary")
-    tail_class = F.pandas_udf(lambda s: pd.Series([vocab.tail(bytes(w)) for w in s]), "int")
-    tails = counts.join(F.broadcast(in_vocab), "w", "left_anti").select(tail_class("w").alias("k"), "c").groupBy("k").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()  # a row a class
+    tails = counts.join(F.broadcast(in_vocab), "w", "left_anti").mapInArrow(_tail_counts(vocab), "k int, c long").groupBy("k").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()  # a row a class
     tail_tokens, tail_distinct = np.zeros(vocab.tail_classes), np.zeros(vocab.tail_classes)
     for r in tails:
         tail_tokens[r.k], tail_distinct[r.k] = r.c, r.v
@@ -542,14 +625,14 @@ def fit(rows: DataFrame, head_words: int, vocabulary: int, hidden: int, warm_doc
     drawn = rows.select(key).distinct().orderBy(F.xxhash64("key"), "key").limit(warm_docs)
     sample = rows.withColumn("key", key).join(F.broadcast(drawn), "key").dropDuplicates(["key"]).select("key", "text").toPandas().sort_values("key")
     lang.arrange()
-    docs = [lang.ids(lower_space_words(t if isinstance(t, str) else None)) for t in sample["text"]]
+    docs = lang.documents(pa.array(sample["text"], pa.string(), from_pandas=True))
     if docs:
         opt = Adam(5e-3)
         for _ in range(2):
             train(net, docs, opt, width=128)
-    lang.params, lang.index = net.p, {}
+    lang.params, lang.known = net.p, None
     shared = spark.sparkContext.broadcast(lang)
-    trained = rows.select("text").mapInPandas(_train_task(shared, 3e-3, 2e-3, buffer), "part int, tokens long, x binary")
+    trained = rows.select("text").mapInArrow(_train_task(shared, 3e-3, 2e-3, buffer), "part int, tokens long, x binary")
     trained = stored(spark, trained, "trained")
     means = average(trained).toPandas().sort_values("part")
     discard(trained)

@@ -534,3 +534,96 @@ def test_training_carries_state_through_long_documents(monkeypatch):
     assert L.train(net, docs, L.Adam(1e-3), width=4, least=1) == sum(map(len, docs))
     assert sum(int(f.sum()) for _, f, _ in seen) == len(docs)
     assert all(np.abs(h).sum() > 0 for _, _, h in seen[1:])
+
+
+def test_words_are_cut_and_looked_up_by_the_group(monkeypatch):
+    """op1's time: a look-up serves thousands of texts, not one, and gives each text what looking up its words alone gives."""
+    import pyarrow as pa
+
+    from loomtext.llm import lm_scoring as L
+
+    r = np.random.default_rng(4)
+    letters = [*map(chr, range(40)), *"AZaz09 \t\n", "\x7f", "\u0085", "\u00a0", "\u2003", "é", "İ", "\U0001f600"]
+    texts = ["".join(r.choice(letters, n)) for n in r.integers(0, 60, 3000)] + [None, "", " ", "\n a \n"]
+    words = [[w.encode() for w in data.space_words(data.lower(t))] for t in texts]
+    flat = [w for ws in words for w in ws]
+    got, n = L.cut_words(pa.array(texts))
+    assert got.to_pylist() == flat and n.tolist() == [len(ws) for ws in words]
+    most = [w for w, _ in Counter(flat).most_common(60)]
+    for head in ([L.END, *most], most[:1], []):
+        v = L.Vocabulary.build([L.END, *most[:20]], per_class=8, tail_classes=7)
+        assert v.tails(got.slice(5, 900)).tolist() == [v.tail(w) for w in flat[5:905]]
+        lang = L.Language(v, {w: 2 for w in head}, 9, 9).arrange()
+        calls, index_in = [], L.pc.index_in
+        monkeypatch.setattr(L.pc, "index_in", lambda *a, **k: calls.append(1) or index_in(*a, **k))
+        ids = [d.tolist() for batch in L.grouped(pa.RecordBatch.from_arrays([pa.array(texts[i : i + 512])], ["text"]) for i in range(0, len(texts), 512)) for d in lang.documents(batch.column("text"))]
+        monkeypatch.undo()
+        assert len(calls) == 1
+        base = v.head_classes * v.per_class
+        assert ids == [[v.words[w] if w in v.words and w in head else base + v.tail(w) for w in ws] + [0] for ws in words]
+        _, _, outside, owner = lang.places(pa.array(texts))
+        assert list(zip(owner, outside.to_pylist())) == [(i, w) for i, ws in enumerate(words) for w in ws if w not in head]
+    assert lang.documents(pa.array([], pa.string())) == []
+    whole = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    for size in (1, 4000):
+        parts = list(L.grouped(iter([whole, whole.slice(0, 0), whole.slice(7, 9)]), size))
+        assert [t for b in parts for t in b.column("text").to_pylist()] == texts + texts[7:16]
+        assert all(b.num_rows == 1 or b.nbytes <= size for b in parts)
+
+
+def test_counting_makes_no_call_for_each_text():
+    """op1's time, as far as a test can hold it: calls from Python, not seconds."""
+    import sys
+
+    import pyarrow as pa
+
+    from loomtext.llm import lm_scoring as L
+
+    texts = [None, "", *(f"  W{i % 9} w{i % 9}\x0b{i} é\u00a0É " for i in range(3000))]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 500])], ["text"]) for i in range(0, len(texts), 500)]
+    calls = [0]
+
+    def count(_, event, __):
+        calls[0] += event in ("call", "c_call")
+
+    run = L._count()(iter(batches))
+    sys.setprofile(count)
+    try:
+        out = list(run)
+    finally:
+        sys.setprofile(None)
+    got, want = Counter(), Counter({L.END: len(texts)})
+    for batch in out:
+        for w, c in zip(batch.column("w").to_pylist(), batch.column("c").to_pylist()):
+            got[w] += c
+    for t in texts:
+        want.update(w.encode() for w in data.space_words(data.lower(t)))
+    assert got == want
+    assert calls[0] < len(texts)
+
+
+def test_softmax_in_blocks(monkeypatch):
+    """Log probabilities and gradients don't depend on the block, and large logits don't overflow."""
+    from loomtext.llm import lm_scoring as L
+
+    v = L.Vocabulary.build([L.END, *(f"w{i}".encode() for i in range(30))], per_class=8, tail_classes=5)
+    r = np.random.default_rng(6)
+    for size in (0.5, 200):
+        net = L.Network(v, 6)
+        net.p = {k: r.normal(0, size, a.shape).astype(np.float32) for k, a in net.p.items()}
+        h, target = r.uniform(-1, 1, (500, 6)).astype(np.float32), r.choice([*range(10), *range(24, 37)], 500)  # none in the third class
+        cls = np.where(target < 32, target // 8, target - 32 + 4)
+        log = lambda x: x - x.max(1, keepdims=True) - np.log(np.exp(x - x.max(1, keepdims=True)).sum(1, keepdims=True))
+        p = {k: a.astype(float) for k, a in net.p.items()}
+        want = log(h @ p["wc"] + p["bc"])[np.arange(500), cls]
+        for i in np.flatnonzero(target < 32):
+            want[i] += log((h[i] @ p["ww"][cls[i]] + p["bw"][cls[i]])[None])[0, target[i] % 8]
+        results = []
+        for block in (4096, 7):
+            monkeypatch.setattr(L, "BLOCK", block)
+            grads = {k: np.zeros_like(a) for k, a in net.p.items()}
+            out, ds = net.loss(h, target, grads)
+            assert np.allclose(out, want, rtol=1e-4, atol=1e-4)
+            assert np.allclose(out, net.loss(h, target)[0])
+            results.append([ds, *grads.values()])
+        assert all(np.allclose(a, b, rtol=1e-3, atol=1e-5 * size) for a, b in zip(*results))
