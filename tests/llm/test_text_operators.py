@@ -68,6 +68,53 @@ def test_packing_round_trip(spark, docs, empty):
     assert {r.doc_id for r in pack_documents(large, path).collect()} == {2**53 + 1, None, -(2**62) - 1}
 
 
+def test_packed_ids_are_the_tokenizers(spark):
+    """Also where a small letter and a mark compose but the capital and the mark do not."""
+    from loomtext.llm.packing import pack_documents
+
+    path, tok = tokenizer()
+    texts = ["J\u030c H\u0331 T\u0308", "\u00c9t\u00c9 \u00d7 a\u00f7b 12.5 3-4x", "it's L'\u00c9T\u00c9 <|endoftext|>A <|", "a\u00a0b\u0085c \u4e2d\u6587,", " \n", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {}
+    for r in sorted(pack_documents(docs, path).collect(), key=lambda r: r.start):
+        got[r.doc_id] = got.get(r.doc_id, b"") + bytes(r.ids)
+    for i, t in enumerate(texts):
+        assert np.frombuffer(got[i], "<u4").tolist() == tok.encode(t or "", add_special_tokens=False).ids + [1]
+
+
+def test_each_different_piece_is_encoded_once():
+    """Capitals, digits and punctuation cost no encoding of their own; the cache keeps its bounds."""
+    import pyarrow as pa
+
+    from loomtext.llm.packing import ChunkTokenizer
+
+    class Spy:
+        def __init__(self, inner):
+            self.inner, self.n = inner, Counter()
+
+        def tokenize(self, text):
+            self.n[text] += 1
+            return self.inner.tokenize(text)
+
+        def encode_batch_fast(self, texts, **how):
+            self.n.update(texts)
+            return self.inner.encode_batch_fast(texts, **how)
+
+    path, whole = tokenizer()
+    tok = ChunkTokenizer(path, limit=60)
+    tok.model, tok.tokenizer = Spy(tok.model), Spy(tok.tokenizer)
+    words = [a + b for a in "bdfgklmn" for b in ("ana", "elo", "iru", "ot\u00e9")]
+    texts = [f"{w.title()}, {w}. {w.upper()}-{i}! don't" for i, w in enumerate(words)] * 3
+    for _ in range(2):
+        coded = tok.encode(pa.array(texts))
+        assert [np.frombuffer(c, "<u4").tolist() for c in coded] == [e.ids for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    assert tok.tokenizer.n == {"don't": 1}
+    assert len(tok.model.n) == 32 + 10 + 4 and set(tok.model.n.values()) == {1}
+    rare = pa.array([" ".join(f"{w}{v}" for w in words for v in "aeiou")])
+    assert tok.encode(rare) == ChunkTokenizer(path).encode(rare)
+    assert len(tok.known) == len(tok.n) == len(tok.used) <= 60 and len(tok.ids) == tok.n.sum()
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_packer_keeps_every_token(seed):
     from loomtext.llm.packing import Packer
