@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from statistics import NormalDist
 
 import pandas as pd
@@ -40,19 +41,25 @@ def welch(stats: dict[str, Column]) -> tuple[Column, Column]:
     return t, df
 
 
-def benjamini_hochberg(df: DataFrame, p: str, within: list[str] = (), out: str = "p_adj") -> DataFrame:
+def benjamini_hochberg(df: DataFrame, p: str, within: list[str] = (), out: str = "p_adj", large: bool = False) -> DataFrame:
     """Adjusted p-values within groups; null p-values stay null and do not count.
 
-    Ranks come from one window over the group, the suffix minimum from the same order, so one shuffle serves both.
-    Ties are broken by nothing: equal p-values get equal results whatever their order.
+    The rank of a value is the number of rows up to it, so equal p-values get equal results whatever their order.  The
+    minimum over a value and all larger ones runs downwards: a frame that begins at the row and ends with the group
+    would be gone through anew for each row.  ``large``: equal values are counted first, so that a group's window holds
+    its distinct values, not its rows, and are joined back; df is then read twice.
     """
-    keys = [F.col(k) for k in within] or [F.lit(1)]
-    w = Window.partitionBy(*keys, F.col(p).isNull())
-    up = w.orderBy(F.col(p))
-    raw = F.col(p) * F.count(p).over(w) / F.row_number().over(up)
-    df = df.withColumn("__raw", F.when(F.col(p).isNotNull(), raw)).withColumn("__r", F.row_number().over(up))
-    least = F.min("__raw").over(w.orderBy("__r").rowsBetween(0, Window.unboundedFollowing))
-    return df.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), least))).drop("__raw", "__r")
+    known = F.col(p).isNotNull()
+    level = df.where(known).groupBy(*within, p).agg(F.count("*").alias("__t")) if large else df.withColumn("__t", F.lit(1))
+    w = Window.partitionBy(*([F.col(k) for k in within] or [F.lit(1)]), F.col(p).isNull())
+    raw = F.col(p) * F.sum("__t").over(w) / F.sum("__t").over(w.orderBy(p))
+    level = level.withColumn("__raw", F.when(known, raw))
+    level = level.withColumn(out, F.when(known, F.least(F.lit(1.0), F.min("__raw").over(w.orderBy(F.desc(p)))))).drop("__t", "__raw")
+    if not large:
+        return level
+    level = level.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(within)], F.col(p).alias("__p"), out)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(within)], F.col(p) == F.col("__p"))
+    return df.join(level, same, "left").drop("__p", *[f"__k{i}" for i in range(len(within))])
 
 
 def mann_whitney(df: DataFrame, group: list[str], side: str, value: str) -> DataFrame:

@@ -367,7 +367,7 @@ def shift_summary(spark, sf_dir):
 def bh_adjust(spark, sf_dir):
     """Pseudo p-values; equal ones have equal results whatever their order."""
     df = read(spark, sf_dir, "documents", "doc_id", "lang").withColumn("p", (F.col("doc_id") % 97) / 97.0)
-    return stats.benjamini_hochberg(df, "p", ["lang"]).select("doc_id", r6("p_adj").alias("p_adj"))
+    return stats.benjamini_hochberg(df, "p", ["lang"], large=True).select("doc_id", r6("p_adj").alias("p_adj"))
 
 
 SQL["bh_adjust"] = """WITH p AS (SELECT doc_id, lang, (doc_id % 97) / 97.0::DOUBLE AS p FROM documents),

@@ -173,6 +173,27 @@ def test_bh_properties(spark):
         assert (part.p_adj >= part.p - 1e-12).all() and (part.p_adj.diff().dropna() >= -1e-12).all()
 
 
+def test_bh_large(spark):
+    r = np.random.default_rng(1)
+    rows = [(None if v < 0.2 else int(v * 3), None if v > 0.9 else v) for v in r.uniform(size=300).round(2).tolist()]
+    df = spark.createDataFrame(rows, "g int, p double")
+    small, large = (stats.benjamini_hochberg(df, "p", ["g"], large=x) for x in (False, True))
+    assert small.columns == large.columns and sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+    # a frame that ends with the group is gone through anew for each row
+    assert all("unboundedfollowing$()" not in line or "unboundedpreceding$()" in line for x in (small, large) for line in windows(x))
+    # p_i = i / n: every adjusted value is the largest
+    n = 60_000
+    one_group = spark.range(1, n + 1).select(F.lit("a").alias("g"), (F.col("id") / n).alias("p"))
+    for x in (False, True):
+        got = stats.benjamini_hochberg(one_group, "p", ["g"], large=x).agg(F.count("p_adj").alias("n"), F.min("p_adj").alias("a"), F.max("p_adj").alias("b")).first()
+        assert got.n == n and math.isclose(got.a, 1) and got.b == 1
+
+
+def windows(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [f for line in plan.splitlines() for f in line.split("specifiedwindowframe")[1:]]
+
+
 def test_mann_whitney(spark):
     df = spark.createDataFrame([("a", True, 3.0), ("a", True, 4.0), ("a", False, 1.0), ("a", False, 2.0), ("b", True, 1.0)], "g string, s boolean, v double")
     got = {r.g: r for r in stats.mann_whitney(df, ["g"], "s", "v").collect()}
