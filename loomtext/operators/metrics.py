@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.text import c, let, word_count
+from ..shared import stored
 
 #: Part-of-speech sets, suffixes, category lemmas and thresholds.
 CONTENT = ["NOUN", "VERB", "ADJ", "ADV"]
@@ -140,11 +141,14 @@ def mtld(lemmas: pd.Series) -> pd.Series:
 
 
 def zipf_lexicon(counts: DataFrame, lemma: str = "lemma", count: str = "frequency", order: str | None = None, corpus_size: int | None = None) -> DataFrame:
-    """(lemma, zipf): the last count of a lemma wins; counts up to 0 give 1.0."""
+    """(lemma, zipf): the last count of a lemma wins; counts up to 0 give 1.0.
+
+    Without ``corpus_size`` the counts are stored, since their sum and they themselves are both read."""
     last = F.max_by(count, order) if order else F.last(count)
     kept = counts.where(F.col(count).isNotNull()).groupBy(F.lower(F.trim(lemma)).alias("lemma")).agg(last.alias("n"))
     total = F.lit(corpus_size) if corpus_size else None
     if total is None:
+        kept = stored(counts.sparkSession, kept, "lemma-counts")
         kept = kept.crossJoin(F.broadcast(kept.agg(F.sum("n").alias("__total"))))  # a single row
         total = F.col("__total")
     z = F.when(F.col("n") > 0, F.log10(F.col("n") / total * 1e6) + 3).otherwise(1.0)
@@ -154,20 +158,36 @@ def zipf_lexicon(counts: DataFrame, lemma: str = "lemma", count: str = "frequenc
 def lexical_sophistication(df: DataFrame, key: str, lemmas: str, lexicon: DataFrame, low: float = LOW_ZIPF, high: float = HIGH_ZIPF, broadcast_rows: int = 500_000) -> DataFrame:
     """Shares of rare and common content words and the mean Zipf value of known ones, per key.
 
-    Words are counted per article before the join, so the join sees distinct words.  A lexicon of at most
-    ``broadcast_rows`` rows is broadcast, so that common words, a row for each article, meet in no task; a larger one
-    is joined by a shuffle, whose large keys Spark splits.
+    A lexicon of at most ``broadcast_rows`` rows is broadcast and joined word by word, and only sums per article are
+    shuffled.  Of a larger one so many of the commonest words are broadcast; only the words that are not among them go
+    through a shuffle, counted per article.  The lexicon is stored, since it is read more than once.
     """
-    if lexicon.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        lexicon = F.broadcast(lexicon)
-    each = df.select(key, F.explode(lemmas).alias("lemma")).groupBy(key, "lemma").agg(F.count("*").alias("t"))
-    z = F.coalesce("zipf", F.lit(UNSEEN_ZIPF))
-    n = F.sum("t")
-    return each.join(lexicon, "lemma", "left").groupBy(key).agg(
-        (F.sum(F.when(z < low, F.col("t")).otherwise(0)) / n).alias("prop_low_freq"),
-        (F.sum(F.when(z >= high, F.col("t")).otherwise(0)) / n).alias("prop_high_freq"),
-        (F.sum(F.col("zipf") * F.col("t")) / F.nullif(F.sum(F.when(F.col("zipf").isNotNull(), F.col("t"))), F.lit(0))).alias("mean_zipf"),
-    )
+    lexicon = stored(df.sparkSession, lexicon.select("lemma", "zipf"), "lexicon")
+    words = lexicon.count()
+    share = 1 - broadcast_rows / max(words, 1)
+    cut = lexicon.agg(F.percentile_approx("zipf", share)).first()[0] if share > 0 else None
+    head = lexicon if cut is None else lexicon.where(F.col("zipf") > cut)
+    each = df.select(key, F.explode(lemmas).alias("lemma")).join(F.broadcast(head.withColumn("__head", F.lit(True))), "lemma", "left")
+
+    def sums(zipf: str, t: Column) -> dict[str, Column]:
+        z = F.coalesce(zipf, F.lit(UNSEEN_ZIPF))
+        return {"__n": t, "__low": F.when(z < low, t).otherwise(0), "__high": F.when(z >= high, t).otherwise(0), "__z": F.col(zipf) * t, "__known": F.when(F.col(zipf).isNotNull(), t)}
+
+    total = lambda parts: [F.sum(v).alias(k) for k, v in parts.items()]
+    if cut is not None:
+        rare = F.col("__head").isNull() & F.col("lemma").isNotNull()
+        each = each.groupBy(key, F.when(rare, F.col("lemma")).alias("__word")).agg(*total(sums("zipf", F.lit(1))))
+        # an article's sums over the head have a word of their own in place of null, so that they do not meet in one task
+        own = F.coalesce("__word", F.xxhash64(key).cast("string"))
+        each = each.withColumn("__rare", F.col("__word").isNotNull()).withColumn("__word", own)
+        tail = lexicon.where(F.col("zipf") <= cut).select(F.lit(True).alias("__rare"), F.col("lemma").alias("__word"), F.col("zipf").alias("__tail"))
+        found = sums("__tail", F.col("__n"))
+        each = each.join(tail, ["__rare", "__word"], "left").groupBy(key).agg(*[F.sum(F.when(F.col("__rare"), v).otherwise(F.col(k))).alias(k) for k, v in found.items()])
+    else:
+        each = each.groupBy(key).agg(*total(sums("zipf", F.lit(1))))
+    share_of = lambda c: F.col(c) / F.col("__n")
+    mean = F.col("__z") / F.nullif(F.col("__known"), F.lit(0))
+    return each.select(key, share_of("__low").alias("prop_low_freq"), share_of("__high").alias("prop_high_freq"), mean.alias("mean_zipf"))
 
 
 def article_metrics(

@@ -400,7 +400,9 @@ def lex_sophistication(spark, sf_dir):
     counts = l.select(F.explode("l").alias("lemma")).groupBy("lemma").agg(F.count("*").alias("frequency"))
     lexicon = metrics.zipf_lexicon(counts, order="lemma").withColumn("zipf", F.round("zipf", 9))
     out = metrics.lexical_sophistication(l, "doc_id", "l", lexicon)
-    return out.select("doc_id", r6("prop_low_freq").alias("prop_low_freq"), r6("prop_high_freq").alias("prop_high_freq"), F.round("mean_zipf", 5).alias("mean_zipf"))
+    # as DuckDB rounds: the scaled double, not its decimal digits (41 of 640 words come out as 0.064062)
+    near = lambda c, digits: (F.round(F.col(c) * 10.0**digits) / 10.0**digits).alias(c)
+    return out.select("doc_id", near("prop_low_freq", 6), near("prop_high_freq", 6), near("mean_zipf", 5))
 
 
 @query(r"""WITH s AS (SELECT doc_id, len(regexp_extract_all(unnest(string_split(text, chr(10))), '\S+'))::DOUBLE AS n FROM documents)

@@ -282,6 +282,34 @@ def test_lexicon(spark):
     assert (r.prop_low_freq, r.prop_high_freq) == (0.5, 0.5) and math.isclose(r.mean_zipf, 3.0)
 
 
+def test_large_lexicon(spark):
+    texts = spark.createDataFrame([(1, "a a b q c d"), (2, "d e"), (3, "q"), (None, "a a b"), (4, None), (5, "a b c")], "k int, t string")
+    lemmas = texts.select("k", F.split("t", " ").alias("l"))
+    lemmas = lemmas.unionAll(spark.createDataFrame([(6, ["a", None])], "k int, l array<string>"))
+    z = {"a": 6.0, "b": 5.0, "c": 4.0, "d": 2.5, "e": 2.0}
+    want = {}
+    for r in lemmas.collect():
+        if r.l:
+            v, known = [z.get(w, 1.0) for w in r.l], [z[w] for w in r.l if w in z]
+            want[r.k] = (sum(x < 3 for x in v) / len(v), sum(x >= 4 for x in v) / len(v), sum(known) / len(known) if known else None)
+    lexicon = spark.createDataFrame(list(z.items()), "lemma string, zipf double")
+    for rows in (1, 2, 4, 5, 500):
+        out = metrics.lexical_sophistication(lemmas, "k", "l", lexicon, broadcast_rows=rows)
+        got = {r.k: (r.prop_low_freq, r.prop_high_freq, r.mean_zipf) for r in out.collect()}
+        assert got.keys() == want.keys()
+        assert all((a is None and b is None) or math.isclose(a, b) for k in want for a, b in zip(got[k], want[k]))
+        # the common words of a larger lexicon are broadcast, and texts are cut once
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Generate explode") == 1 and ("strategy=broadcast" in plan)
+
+
+def test_lexicon_reads_texts_once(spark):
+    counts = spark.createDataFrame([("a b a",)], "t string").select(F.explode(F.split("t", " ")).alias("lemma")).groupBy("lemma").agg(F.count("*").alias("frequency"))
+    lexicon = metrics.zipf_lexicon(counts, order="lemma")
+    assert {r.lemma: round(r.zipf, 9) for r in lexicon.collect()} == {"a": round(3 + math.log10(2e6 / 3), 9), "b": round(3 + math.log10(1e6 / 3), 9)}
+    assert "Generate explode" not in lexicon._jdf.queryExecution().optimizedPlan().toString()
+
+
 # --- shift ---------------------------------------------------------------------------------------------------------
 
 
