@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ai_use, figures, inference, metrics, panel, sampling, shift
+from ..shared import stored
 from .catalogue import LEMMAS, ORDERS, SPLIT, _lemmas, flagged, orders, query, r6, read
 
 FLAG_SQL = """f AS (SELECT d.doc_id, d.lang, d.source, l.toxic = 1 AS s, (l.toxic = 1 OR l.quality = 0) AS b FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
@@ -181,10 +182,9 @@ def set_changes(spark, sf_dir):
 def lexicon_cover(spark, sf_dir):
     """Zipf values of half of the words, unseen ones rated lowest, over all texts: what the lexical join is made of."""
     l = _lemmas(spark, sf_dir)  # noqa: E741
-    counts = l.select(F.explode("l").alias("lemma")).groupBy("lemma").agg(F.count("*").alias("frequency"))
+    counts = stored(spark, l.select(F.explode("l").alias("lemma")).groupBy("lemma").agg(F.count("*").alias("frequency")), "lemmas")
     lexicon = metrics.zipf_lexicon(counts, order="lemma").where("lemma < 'n'")
-    each = counts.join(F.broadcast(lexicon), "lemma", "left") if lexicon.limit(500_001).count() <= 500_000 else counts.join(lexicon, "lemma", "left")
-    return each.agg(
+    return counts.join(lexicon, "lemma", "left").agg(
         F.sum("frequency").alias("words"), F.sum(F.when(F.col("zipf").isNotNull(), F.col("frequency"))).alias("known"),
         F.round(F.sum(F.coalesce("zipf", F.lit(1.0)) * F.col("frequency")) / F.sum("frequency"), 5).alias("mean_zipf"),
     )

@@ -50,3 +50,8 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_lexicon_cover_reads_texts_once(spark):
+    plan = catalogue.queries()["lexicon_cover"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan
